@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from factfold.llm.common import read
 from factfold.llm.simhash import _segments, balls
 
-WIDTH, SIMILARITY, RADIUS, BLOCKS, MAX_BYTES, CHUNK = 5, 0.8, 20, 8, 32_000_000, 1_000_000
+WIDTH, SIMILARITY, RADIUS, BLOCKS, MAX_BYTES, CHUNK = 5, 0.8, 20, 8, 32_000_000, 250_000
 _PRIME, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = np.array([bytes([b]).isalnum() or b >= 128 for b in range(256)])
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from factfold.llm.decontam import _mix
 
-CHUNK, STEM = 1_000_000, 5
+CHUNK, STEM = 250_000, 5
 #: Second-person words of the four languages of the corpus.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch euer sie tu te toi ton ta tes vous votre vos usted ustedes ti vosotros os su".split()
 _P, _PI = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
