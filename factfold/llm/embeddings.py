@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from factfold.llm.common import components, cut, read
 
 THRESHOLD, SHARD_ROWS, SAMPLE, MAX_CENTROIDS = 0.9, 600, 16_384, 2_048
-DEGREE, NEAREST, ALPHA, BEAM, SLACK, MARGIN = 24, 48, 1.2, 24, 0.1, 2.5
-AUDIT_ROWS, RECALL, ROUNDS, BLOCK = 64, 0.97, 3, 256
+DEGREE, NEAREST, ALPHA, BEAM, SLACK, MARGIN = 24, 48, 1.2, 24, 0.1, 1.0
+AUDIT_ROWS, RECALL, ROUNDS, BLOCK = 128, 0.98, 4, 256
 ROUTED = "shard int, rep long, e array<float>, n long, member boolean, home boolean"
 
 
