@@ -20,13 +20,13 @@ KEY, ROUNDS = "factfold demonstration key", 8
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:[Pp]assword|[Tt]oken|[Ss]ecret|[Aa]pi_key) ?[=:] ?[\"']?[A-Za-z0-9]{8,}",
+    "secret": r"(?<![A-Za-z0-9])(?:[Pp]assword|[Tt]oken|[Ss]ecret|[Aa]pi_key) ?[=:] ?[\"']?[A-Za-z0-9][A-Za-z0-9_+/~-]{6,}[A-Za-z0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "card": r"(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]|-[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 _DAYS, _FIRST = 73_000, "1900-01-01"
@@ -184,7 +184,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     Null texts stay null with no values; texts without a value stay as they are. Rows are treated one by one, so repeated
     rows stay repeated and an empty table gives an empty result. Columns of docs by the two new names are replaced.
     """
-    found = F.when(F.col("text").rlike("[0-9@=:]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.col("text").rlike("[0-9@=:]|AKIA"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     new = F.transform("__found", lambda m: pseudonym(key, m))
     joined = F.concat_ws("", F.transform(F.split("text", ANY, -1), lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__new.value"), i), F.get(F.col("__found"), i), F.lit("")))))
     kinds = F.filter(F.transform("__new", lambda x: F.when(x["value"].isNotNull(), x["kind"])), lambda k: k.isNotNull())
