@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from factfold import schema
 
 #: First bit, width and the names of the values, of the symbol flags of stored schema version 2.
-SYMBOL_FIELDS = {"access": (0, 2, schema.ACCESS), "ref_qualifier": (19, 2, schema.REF_QUALIFIERS), "constant_evaluation": (22, 2, schema.CONSTANT_EVALUATION)}
+SYMBOL_FIELDS = {"access": (0, 2, schema.ACCESS), "ref_qualifier": (9, 2, schema.REF_QUALIFIERS), "constant_evaluation": (22, 2, schema.CONSTANT_EVALUATION)}
+#: The bit of each flag between and beyond those fields.
+SYMBOL_BITS = {
+    "is_definition": 2, "is_implicit": 3, "is_static": 4, "is_virtual": 5, "is_const": 6, "is_inline": 7, "is_pure": 8, "is_override": 11, "has_internal_linkage": 12,
+    "is_external": 13, "is_variadic": 14, "is_deleted": 15, "is_defaulted": 16, "is_explicit": 17, "is_final": 18, "is_abstract": 19, "is_polymorphic": 20,
+    "has_extern_storage": 21, "is_noexcept": 24,
+}
 
 
 def bit(flags: Column, place: int) -> Column:

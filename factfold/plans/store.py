@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factfold.functions import flags
+
 
 class Store:
     """One writer at a time; readers need no lock."""
@@ -70,12 +72,6 @@ class Store:
 
 def migrate_symbol_flags(symbols: DataFrame) -> DataFrame:
     """Symbols of schema versions that packed semantics into ``flags``, with one column for each."""
-    from factfold import schema
-    from factfold.functions import flags
-
-    places = {"is_definition": 2, "is_implicit": 3, "is_static": 4, "is_virtual": 5, "is_const": 6, "is_inline": 7, "is_pure": 8, "is_override": 9}
     f = F.col("flags")
-    return symbols.select(
-        *(c for c in symbols.columns if c != "flags"), flags.field(f, 0, 2, schema.ACCESS).alias("access"), *flags.decode(f, places),
-        flags.field(f, 19, 2, schema.REF_QUALIFIERS).alias("ref_qualifier"), flags.field(f, 22, 2, schema.CONSTANT_EVALUATION).alias("constant_evaluation"),
-    )
+    fields = [flags.field(f, place, width, names).alias(name) for name, (place, width, names) in flags.SYMBOL_FIELDS.items()]
+    return symbols.select(*(c for c in symbols.columns if c != "flags"), *fields, *flags.decode(f, flags.SYMBOL_BITS))
