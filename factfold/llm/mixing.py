@@ -75,6 +75,8 @@ def fit(soft: DataFrame, names: list[str], weights: dict[str, float] | None, rou
     gradient step of length one never overshoots.
     """
     k = len(names)
+    if not k:
+        return [], {"targets": {}, "reached": {}}
     first = soft.agg(*(F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(k)), *(F.coalesce(F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i in range(k) for j in range(k))).first()
     now, gram = np.array(first[:k], float), np.array(first[k:], float).reshape(k, k)
     everything = now.sum()
