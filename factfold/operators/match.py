@@ -106,7 +106,8 @@ def prune(tree: Tree, roots: Matcher) -> DataFrame:
 
 def as_spelled(tree: Tree, implicit: Column | str = "is_implicit") -> DataFrame:
     """Explicit nodes, each below its nearest explicit ancestor."""
-    shown = tree.nodes.where(~(F.expr(implicit) if isinstance(implicit, str) else implicit))
+    hidden = (F.expr(implicit) if isinstance(implicit, str) else implicit).cast("boolean")
+    shown = tree.nodes.where(~F.coalesce(hidden, F.lit(False)))
     near = tree.paths.join(shown.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").groupBy("descendant").agg(F.min_by("ancestor", "distance").alias("parent_id"))
     return shown.drop("parent_id").join(near.withColumnRenamed("descendant", "id"), "id", "left")
 

@@ -6,38 +6,13 @@ orders, parts and suppliers, nations and regions form a containment tree, docume
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factfold.functions import argv, flags, ids, paths, text
 from factfold.operators import allocate, edits, graph, match, merge, resolve, validate
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-class Tables:
-    """The tables of a directory, read when asked for."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-
-def query(sql: str):
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-big = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
+from factfold.plans import patterns  # noqa: F401  registers its queries
+from factfold.plans.registered import ORACLE_SQL, QUERIES, big, query  # noqa: F401
 
 # filters, scalars ---------------------------------------------------------------------------------------------------
 
@@ -100,9 +75,9 @@ def url_path_split(t):
     return t.pages.select("page_id", F.regexp_extract("url", "^(https?)://", 1).alias("scheme"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), path.alias("path"), paths.basename(path).alias("base"))
 
 
-@query("SELECT doc_id, length(substr(text, 1, 50)) - length(replace(substr(text, 1, 50), chr(10), '')) + 1 AS line, length(string_split(substr(text, 1, 50), chr(10))[-1]) + 1 AS col FROM documents")
+@query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS line, length(string_split(text, chr(10))[-1]) + 1 AS col FROM documents")
 def offset_line_column(t):
-    at = F.least(F.lit(50), F.length("text"))
+    at = F.length("text")
     return t.documents.select("doc_id", big(text.line_of(F.col("text"), at)).alias("line"), big(text.column_of(F.col("text"), at)).alias("col"))
 
 
@@ -451,10 +426,10 @@ def topological_levels(t):
     return graph.levels(_tree(t)).select("node", big("level").alias("level"))
 
 
-@query(f"{_UP} SELECT src AS node, arg_min(dst, d) AS ancestor, min(d)::BIGINT AS distance FROM c WHERE dst % 5 = 0 GROUP BY 1")
+@query(f"{_UP} SELECT src AS node, arg_min(dst, d) AS ancestor, min(d)::BIGINT AS distance FROM c WHERE dst IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
 def nearest_ancestor(t):
     tree = _tree(t)
-    wanted = tree.select(F.col("dst").alias("node")).where("node % 5 = 0")
+    wanted = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("node"))
     return graph.nearest_ancestor(tree.withColumnsRenamed({"src": "node", "dst": "parent"}), wanted).select("node", "ancestor", big("distance").alias("distance"))
 
 
@@ -513,10 +488,10 @@ def overlap_rejection(t):
     return edits.overlaps(edits.deduplicate(e)).drop("text")
 
 
-@query("SELECT doc_id AS file, '/*' || substr(text, 1, 3) || '<' || substr(text, 7) AS text FROM documents WHERE length(text) >= 10")
+@query("SELECT doc_id AS file, CASE WHEN length(text) >= 10 THEN '/*' || substr(text, 1, 3) || '<' || substr(text, 7) ELSE text END AS text FROM documents")
 def apply_edits(t):
-    files = t.documents.where(F.length("text") >= 10).select(F.col("doc_id").alias("file"), "text")
-    edit = lambda offset, length, new: files.select("file", F.lit(offset).alias("offset"), F.lit(length).alias("length"), F.lit(new).alias("text"))
+    files = t.documents.select(F.col("doc_id").alias("file"), "text")
+    edit = lambda offset, length, new: files.where(F.length("text") >= 10).select("file", F.lit(offset).alias("offset"), F.lit(length).alias("length"), F.lit(new).alias("text"))
     return edits.rewrite(files, edit(0, 0, "/*").unionByName(edit(3, 3, "<")).unionByName(edit(3, 3, "<")).unionByName(edit(4, 1, "?")))
 
 
