@@ -4,9 +4,10 @@ Rows with equal texts are one group and stay together, unless the group would fi
 a group is split into pieces. Each piece goes to the shard where the weighted dot product of its (bytes, tokens, rows) with
 the shard's residual capacity is highest, large pieces first.
 
-No task or driver sees all groups. Pieces over a hundredth of a shard (at most 300 for each shard, which bounds them) are
-packed first, on the driver. The others are dealt by hash into cells of about ``cell_rows`` rows, and each cell fills the 40
-shards in proportion to the room that the large pieces left.
+Packing sees groups, not rows: one aggregation makes one row per distinct text. Groups over a hundredth of a shard (at most 300
+for each shard, which bounds them) are packed first, on the driver, in pieces if they are split. The others are dealt by hash
+into cells of about ``cell_rows`` groups, and each cell fills the shards in proportion to the room that the large pieces left.
+A join takes the shards back to the rows, so that no task holds the rows of a group, however many they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from factfold.llm.common import cut, read
 
-SHARDS, CELL_ROWS, OVERHEAD = 40, 2_500, 16
+SHARDS, CELL_ROWS, BLOCK_ROWS, OVERHEAD = 40, 2_500, 25_000, 16
 DIMENSIONS = ["size", "tokens", "one"]
 #: Weights of the dimensions in the dot product. The law is ``bytes``, so bytes lead and the others settle near-ties.
 WEIGHTS = np.array([1.0, 0.02, 0.02])
@@ -54,45 +55,41 @@ def shard(docs: DataFrame, shards: int = SHARDS, cell_rows: int = CELL_ROWS) ->
     empty result. slot numbers the rows of a shard from 0 without gaps. grown_shard is null under this law.
     """
     rows = cut(measured(docs))
-    total = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in DIMENSIONS)).first()
-    full = np.array([total[c] / shards for c in DIMENSIONS], float)
     identity = ["key", "text_crc32", "size"]
-    loads = [F.sum(c).alias(f"all_{c}") for c in DIMENSIONS]
-    share = lambda of: F.greatest(*(F.col(f"all_{c}") / F.lit(max(f, 1e-9) * of) for c, f in zip(DIMENSIONS, full, strict=True)))
-    groups = cut(rows.groupBy(*identity).agg(*loads).where(share(0.01) > 1))
-    split = groups.where(share(0.5) > 1).select(*identity, F.ceil(share(0.5)).cast("int").alias("pieces"))
-    rows = rows.join(F.broadcast(split), identity, "left").withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), "pieces")).cast("int")).drop("pieces")
-    large = rows.join(F.broadcast(groups.select(*identity)), identity, "left_semi").groupBy(*identity, "piece").agg(*loads).orderBy(*identity, "piece").collect()
+    loads = [f"all_{c}" for c in DIMENSIONS]
+    summed = [F.sum(c).alias(f"all_{c}") for c in DIMENSIONS]
+    groups = cut(rows.groupBy(*identity).agg(*summed))
+    total = groups.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in loads), F.count("*").alias("groups")).first()
+    full = np.array([total[c] / shards for c in loads], float)
+    share = lambda of: F.greatest(*(F.col(c) / F.lit(max(f, 1e-9) * of) for c, f in zip(loads, full, strict=True)))
+    large = F.broadcast(groups.where(share(0.01) > 1).select(*identity, F.ceil(share(0.5)).cast("int").alias("pieces")))
+    heavy = rows.join(large, identity).withColumn("piece", F.pmod(F.xxhash64("row"), "pieces").cast("int")).drop("pieces")
+    pieces = heavy.groupBy(*identity, "piece").agg(*summed).orderBy(*identity, "piece").collect()
     room = np.tile(full, (shards, 1))
-    weights = np.array([[r[f"all_{c}"] for c in DIMENSIONS] for r in large], float).reshape(-1, 3)
+    weights = np.array([[r[c] for c in loads] for r in pieces], float).reshape(-1, 3)
     where = pack(weights, room)
     np.subtract.at(room, where, weights)
-    placed = {(r.key, r.text_crc32, r.size, r.piece): int(s) for r, s in zip(large, where, strict=True)}
-    placed_rows = pd.DataFrame([(*k, s) for k, s in placed.items()], columns=[*identity, "piece", "fixed"])
-    held = docs.sparkSession.createDataFrame(placed_rows, "key long, text_crc32 long, size long, piece int, fixed int") if placed else docs.sparkSession.createDataFrame([], "key long, text_crc32 long, size long, piece int, fixed int")
-    cells = max(1, round(total["one"] / cell_rows))
     room = room.clip(0)
+    fixed = [(r["key"], r["text_crc32"], r["size"], r["piece"], int(s)) for r, s in zip(pieces, where, strict=True)]
+    held = docs.sparkSession.createDataFrame(fixed, "key long, text_crc32 long, size long, piece int, shard int")
 
     def fill(cell: pd.DataFrame) -> pd.DataFrame:
-        out, free = cell[["cell", "doc_id", "size", "text_crc32"]].copy(), cell["fixed"].isna().to_numpy()
-        shard_of = cell["fixed"].fillna(-1).to_numpy(np.int32).copy()
-        if free.any():
-            code, group = pd.factorize(pd.MultiIndex.from_frame(cell.loc[free, [*identity, "piece"]]), sort=True)
-            pieces = np.stack([np.bincount(code, cell.loc[free, c].to_numpy(float), len(group)) for c in DIMENSIONS], 1)
-            own = room / np.maximum(room.sum(axis=0), 1e-9) * pieces.sum(axis=0)
-            shard_of[free] = pack(pieces, own)[code]
-        out["shard"] = shard_of
-        order = np.lexsort([cell["row"].to_numpy(), shard_of])
-        out = out.iloc[order]
-        out["at"] = out.groupby("shard").cumcount().to_numpy(np.int64)
-        return out
-
-    cell = F.pmod(F.when(F.col("fixed").isNull(), F.xxhash64(*identity, "piece")).otherwise(F.xxhash64("row")), F.lit(cells)).cast("int")
-    dealt = rows.join(F.broadcast(held), [*identity, "piece"], "left").withColumn("cell", cell)
-    filled = cut(dealt.groupBy("cell").applyInPandas(fill, "cell int, doc_id long, size long, text_crc32 long, shard int, at long"))
-    counts = filled.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = filled.join(counts.select("shard", "cell", before.alias("before")), ["shard", "cell"])
+        cell = cell.sort_values(identity, ignore_index=True)
+        own = cell[loads].to_numpy(float)
+        return cell[identity].assign(shard=pack(own, room / np.maximum(room.sum(axis=0), 1e-9) * own.sum(axis=0)))
+
+    cells = max(1, round(total["groups"] / cell_rows))
+    cell = F.pmod(F.xxhash64(*identity), F.lit(cells)).alias("cell")
+    packed = groups.where(share(0.01) <= 1).select(cell, *identity, *loads).groupBy("cell").applyInPandas(fill, "key long, text_crc32 long, size long, shard int")
+    light = rows.join(large.drop("pieces"), identity, "left_anti").join(packed, identity)
+    columns = ["doc_id", "size", "text_crc32", "row", "shard"]
+    blocks = int(-(-total["all_one"] // (shards * BLOCK_ROWS))) or 1
+    placed = heavy.join(F.broadcast(held), [*identity, "piece"]).select(*columns).unionByName(light.select(*columns))
+    placed = cut(placed.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")))
+    counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy("shard", "block").orderBy("row")) - 1
+    slots = placed.withColumn("at", at.cast("long")).join(counts.select("shard", "block", before.alias("before")), ["shard", "block"])
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("before")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

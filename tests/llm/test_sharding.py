@@ -47,6 +47,21 @@ def test_hot_group_is_split_and_shards_are_level(spark):
     assert max(r.b for r in rows) < 1.1 * min(r.b for r in rows)
 
 
+def test_packing_sees_groups_not_rows(spark):
+    texts = ["copied text"] * 60 + [prose("aa", 5, i) for i in range(900)]
+    rows = sharding.shard(documents(spark, texts * 20), 4, cell_rows=50).collect()
+    shards = defaultdict(set)
+    for r in rows:
+        shards[(r.text_crc32, r["size"])].add(r.shard)
+    assert len(rows) == len(texts) * 20
+    assert len(shards) == len(set(texts))
+    assert sum(len(s) > 1 for s in shards.values()) <= 1
+    loads = Counter()
+    for r in rows:
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) < 1.1 * min(loads.values())
+
+
 def test_odd_rows(spark):
     rows = sharding.shard(odd_documents(spark), 3).collect()
     assert len(rows) == 12
