@@ -2,10 +2,13 @@
 
 Counting runs over all labelled training texts as a Spark job: each task sums the character n-grams of its rows and the
 sums meet by (language, n-gram). The Kneser-Ney quantities of every order (discounts, continuation counts, context totals)
-are DataFrame aggregations of those counts. The ``max_grams`` most frequent n-grams over all languages and orders (the bound
-of what is broadcast) become sorted hash arrays with one row of log probabilities per n-gram, a column per language. A text
-gets the language of lowest cross-entropy per character. Temperature and rejection limits are set on ``sample_rows`` training
-texts at most.
+are DataFrame aggregations of those counts. All n-grams become sorted hash arrays with one row of log probabilities per n-gram,
+a column per language. About ``max_grams`` of them (the bound of what is broadcast) make one part; a larger model takes several
+passes over the texts, whose log probabilities add up. A text gets the language of lowest cross-entropy per character.
+Temperature and rejection limits are set on ``sample_rows`` training texts at most.
+
+The parts are ranges of the n-grams' contexts read backwards, so that an n-gram meets all it backs off to in its own part but
+for the contexts that the first of the range ends with, which are added to it. Each character of a text belongs to one part.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factfold.llm.common import crc_bucket, cut, read
+from factfold.llm.common import crc_bucket, cut, join_ids, read
 
 ORDER, MAX_GRAMS, SAMPLE_ROWS, CHUNK, SPACE = 4, 600_000, 4_000, 250_000, 32
-UNKNOWN = "und"
+UNKNOWN, END, SCALES = "und", (1 << 63) - 1, (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 
 
 @cache
@@ -76,6 +79,21 @@ def hashed(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+def places(rows: np.ndarray) -> np.ndarray:
+    """The last three characters of each n-gram's context, the last one first, as one number; zeros stand for missing ones."""
+    n = rows.shape[1]
+    out = np.zeros(len(rows), np.int64)
+    for back in range(1, min(n, 4)):
+        out |= rows[:, n - 1 - back].astype(np.int64) << (63 - 21 * back)
+    return out
+
+
+def place():
+    """``places`` as a column, from n and g."""
+    code = lambda back: F.when(F.col("n") > back, F.ascii(F.expr(f"substring(g, n - {back}, 1)"))).otherwise(0).cast("long")
+    return F.shiftleft(code(1), 42).bitwiseOR(F.shiftleft(code(2), 21)).bitwiseOR(code(3))
+
+
 def count_grams(train: DataFrame, order: int) -> DataFrame:
     """(lang, g, c) over all rows of train: each task adds up its own rows before the shuffle."""
 
@@ -121,14 +139,16 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
 
 
 class Model:
-    """Sorted hash arrays: for each order n-grams with their log probabilities and contexts with their back-off weights."""
+    """Sorted hash arrays: for each order n-grams with their log probabilities and contexts with their back-off weights.
 
-    def __init__(self, langs: list[str], order: int, rows: dict[str, np.ndarray], discounts: np.ndarray):
-        self.langs, self.order = langs, order
+    It scores the characters whose place is from ``low`` up to ``high``.
+    """
+
+    def __init__(self, langs: list[str], order: int, rows: dict[str, np.ndarray], discounts: np.ndarray, low: int = 0, high: int = END):
+        self.langs, self.order, self.low, self.high = langs, order, low, high
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.contexts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.alphabet = max(1, int(len(np.unique(rows["g"][rows["n"] == 1]))))
-        self.scale, self.limits = 1.0, np.full(len(langs), np.inf)
         for n in range(1, order + 1):
             at = rows["n"] == n
             codes = np.frombuffer("".join(rows["g"][at]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
@@ -164,23 +184,115 @@ class Model:
             out[~hit] = self._backed_off(codes[~hit], n)
         return out
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Characters of each text and its cross-entropy per character under each language."""
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of each text and, under each language, the log probability of those that this part scores."""
         size, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
         for i, j in _chunks(texts):
             codes, starts = characters(texts[i:j])
             size[i:j] = np.diff(starts)
-            if len(codes):
-                sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.log_probability(grams(codes, starts, self.order), self.order), axis=0, dtype=np.float64)])
-                out[i:j] = -(sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(size[i:j, None], 1)
+            rows = grams(codes, starts, self.order)
+            at = places(rows)
+            own = np.flatnonzero((at >= self.low) & (at < self.high))
+            if len(own):
+                sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.log_probability(rows[own], self.order), axis=0, dtype=np.float64)])
+                edge = np.searchsorted(own, starts)
+                out[i:j] = sums[edge[1:]] - sums[edge[:-1]]
         return size, out
 
+
+class Parts:
+    """The model of all n-grams as a table (lang, n, g, c, total, kinds, place); iteration gives it part by part."""
+
+    def __init__(self, langs: list[str], order: int, table: DataFrame, discounts: np.ndarray, starts: list[int]):
+        self.langs, self.order, self.table, self.discounts, self.starts = langs, order, table, discounts, starts
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __iter__(self) -> Iterator[Model]:
+        index = {x: k for k, x in enumerate(self.langs)}
+        for low, high in zip(self.starts, [*self.starts[1:], END], strict=True):
+            above = [low >> bits << bits for bits in (63, 42, 21)]  # the contexts that the first place ends with
+            at = F.col("place")
+            own = self.table.where(((at >= low) & (at < high)) | at.isin(above)).toArrow()
+            rows = {k: own.column(k).to_numpy() for k in ("n", "c", "total", "kinds")} | {"g": np.array(own.column("g").to_pylist(), object), "lang": np.array([index[x] for x in own.column("lang").to_pylist()], int)}
+            yield Model(self.langs, self.order, rows, self.discounts, low, high)
+
+    def log_probability(self, codes: np.ndarray, n: int) -> np.ndarray:
+        at, out = places(codes), np.zeros((len(codes), len(self.langs)), np.float32)
+        for model in self:
+            own = (at >= model.low) & (at < model.high)
+            out[own] = model.log_probability(codes[own], n)
+        return out
+
+
+def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Parts:
+    """The model of the rows of docs (lang, text) that have both, in parts of about ``max_grams`` n-grams."""
+    known = docs.where("lang is not null and text is not null").select("lang", "text")
+    table = cut(kneser_ney(cut(count_grams(known, order)), order).withColumn("place", place()))
+    once = F.sum((F.col("c") == 1).cast("long"))
+    stats = table.groupBy("lang", "n").agg(once.alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"), F.count("*").alias("rows")).collect()
+    langs = sorted({r.lang for r in stats})
+    discounts = np.full((len(langs), order + 1), 0.5)
+    for r in stats:
+        if r.n1 and r.n2:
+            discounts[langs.index(r.lang), r.n] = r.n1 / (r.n1 + 2 * r.n2)
+    parts, edges = -(-sum(r.rows for r in stats) // max_grams), []
+    if parts > 1:
+        edges = table.agg(F.percentile_approx("place", [k / parts for k in range(1, parts)], 20 * parts)).first()[0]
+    return Parts(langs, order, table, discounts, sorted({0, *edges}))
+
+
+def score(docs: DataFrame, parts: Parts, *keep: str) -> DataFrame:
+    """(*keep, size, entropy): characters of each row's text and its cross-entropy per character under each language.
+
+    With several parts the sums of the passes meet by the text's digest, as nothing but the text decides.
+    """
+    spark, several = docs.sparkSession, len(parts) > 1
+    digest = F.md5(F.coalesce("text", F.lit(""))).alias("__text")
+    rows = docs.select(digest, "text") if several else docs.select(*keep, "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema) + ", size long, sums array<double>"
+
+    def one(model: Model) -> DataFrame:
+        held = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    size, sums = held.value.sums([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
+                    lists = pa.array(list(sums), pa.list_(pa.float64()))
+                    yield pa.record_batch([*batch.columns[:-1], pa.array(size), lists], [*batch.schema.names[:-1], "size", "sums"])
+
+        out = rows.mapInArrow(run, schema)
+        if not several:
+            return out
+        out = cut(out.dropDuplicates(["__text"]))
+        held.unpersist()
+        return out
+
+    passes = [one(model) for model in parts]
+    if several:
+        every = passes[0]
+        for other in passes[1:]:
+            every = every.unionByName(other)
+        sums = F.array(*(F.sum(F.col("sums")[k]) for k in range(len(parts.langs))))
+        found = every.groupBy("__text").agg(F.max("size").alias("size"), sums.alias("sums"))
+        passes = [docs.select(*keep, digest).join(found, "__text")]
+    return cut(passes[0].select(*keep, "size", F.transform("sums", lambda x: -x / F.greatest("size", F.lit(1))).alias("entropy")))
+
+
+class Rule:
+    """What the entropies say: language, score and rejection."""
+
+    def __init__(self, langs: list[str]):
+        self.langs, self.scale, self.limits = langs, 1.0, np.full(len(langs), np.inf)
+
     def calibrate(self, size: np.ndarray, entropy: np.ndarray, truth: np.ndarray) -> None:
         """Set the scale by log loss over the sample, and each language's rejection limit beyond all it has seen there."""
         if not len(size):
             return
         losses = {}
-        for scale in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
+        for scale in SCALES:
             self.scale = scale
             losses[scale] = -np.log(np.maximum(self.posterior(size, entropy)[np.arange(len(size)), truth], 1e-12)).mean()
         self.scale = min(losses, key=losses.get)
@@ -193,52 +305,39 @@ class Model:
         score = np.exp(score - score.max(axis=1, keepdims=True))
         return score / score.sum(axis=1, keepdims=True)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def decide(self, size: np.ndarray, entropy: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, for each text."""
-        size, entropy = self.entropies([t or "" for t in texts])
         if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), size == 0
-        best = entropy.argmin(axis=1)
-        score = np.where(size > 0, self.posterior(size, entropy)[np.arange(len(texts)), best], 0.0)
-        odd = entropy[np.arange(len(texts)), best] > self.limits[best] + 4 / np.sqrt(np.maximum(size, 1))
+            return [UNKNOWN] * len(size), np.zeros(len(size)), np.ones(len(size), bool)
+        best, at = entropy.argmin(axis=1), np.arange(len(size))
+        score = np.where(size > 0, self.posterior(size, entropy)[at, best], 0.0)
+        odd = entropy[at, best] > self.limits[best] + 4 / np.sqrt(np.maximum(size, 1))
         return [self.langs[k] if n else UNKNOWN for k, n in zip(best, size, strict=True)], score, odd | (size == 0)
 
 
-def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the rows of docs (lang, text) that have both."""
-    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    model_rows = cut(kneser_ney(cut(count_grams(known, order)), order))
-    once = F.sum((F.col("c") == 1).cast("long"))
-    stats = model_rows.groupBy("lang", "n").agg(once.alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).collect()
-    langs = sorted({r.lang for r in stats})
-    discounts = np.full((len(langs), order + 1), 0.5)
-    for r in stats:
-        if r.n1 and r.n2:
-            discounts[langs.index(r.lang), r.n] = r.n1 / (r.n1 + 2 * r.n2)
-    table = model_rows.orderBy(F.desc("c"), "n", "lang", "g").limit(max_grams).toArrow()
-    index = {x: k for k, x in enumerate(langs)}
-    rows = {k: table.column(k).to_numpy() for k in ("n", "c", "total", "kinds")} | {"g": np.array(table.column("g").to_pylist(), object), "lang": np.array([index[x] for x in table.column("lang").to_pylist()], int)}
-    model = Model(langs, order, rows, discounts)
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / max(known.count(), sample_rows, 1))
-    sample = known.where(part).limit(2 * sample_rows).toArrow() if langs else None
-    if sample is not None and sample.num_rows:
-        truth = np.array([index[x] for x in sample.column("lang").to_pylist()])
-        size, entropy = model.entropies(sample.column("text").to_pylist())
-        model.calibrate(size[size > 0], entropy[size > 0], truth[size > 0])
-    return model
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' doc_id with lang_pred, score and rejected; nothing but the text decides."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _matrix(column: pa.Array, langs: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, langs) if langs else np.zeros((len(column), 0))
+
+
+def judged(docs: DataFrame, *keep: str, sample_rows: int = SAMPLE_ROWS, **options) -> DataFrame:
+    """(*keep, lang_pred, score, rejected) for each row of docs, after training on those not held out."""
+    parts = train(docs.where(~held_out()), **options)
+    known = ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / max(docs.where(known).count(), sample_rows, 1))
+    scored = score(docs.withColumn("__taught", F.when(known & part, F.col("lang"))), parts, *keep, "__taught")
+    rule, width = Rule(parts.langs), len(parts.langs)
+    sample = scored.where("__taught is not null and size > 0").limit(2 * sample_rows).toArrow()
+    truth = np.array([parts.langs.index(x) for x in sample.column("__taught").to_pylist()], int)
+    rule.calibrate(sample.column("size").to_numpy(), _matrix(sample.column("entropy").combine_chunks(), width), truth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                lang, score, odd = held.value.predict(batch.column(1).to_pylist())
-                yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(odd)], ["doc_id", "lang_pred", "score", "rejected"])
+                lang, score, odd = rule.decide(batch.column("size").to_numpy(), _matrix(batch.column("entropy"), width))
+                yield pa.record_batch([*(batch.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(odd)], [*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.select(*keep).schema)
+    return scored.mapInArrow(run, f"{kept}, lang_pred string, score double, rejected boolean")
 
 
 def held_out():
@@ -252,21 +351,15 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     ``und`` with score 0 and rejected; so is every text if no row can teach. Ties go to the language first by name. Repeated
     rows stay; other columns are ignored; an empty table gives an empty result.
     """
-    model = train(docs.where(~held_out()), **options)
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    return judged(docs.select("doc_id", "lang", "text"), "doc_id", **options).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that language ID rejects, in one pass over the texts after training."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out()), **options))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                odd = model.value.predict(batch.column("text").to_pylist())[2]
-                yield batch.filter(pa.array(~odd))
-
-    return docs.mapInArrow(run, docs.schema)
+    """docs without the rows that language ID rejects; they go by the text's digest, as nothing but the text decides."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    found = judged(docs.select("doc_id", "lang", "text", digest.alias("__digest")), "__digest", **options)
+    odd = found.where("rejected").select("__digest").distinct()
+    return join_ids(docs.withColumn("__digest", digest), odd, "left_anti", "__digest").select(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,25 @@ def test_odd_rows(spark):
     assert langid.identify(empty_documents(spark)).collect() == []
     unlabelled = documents(spark, ["some text"], [None])
     assert [r.lang_pred for r in langid.identify(unlabelled).collect()] == ["und"]
+
+
+def test_no_ngram_is_lost_beyond_one_part(spark):
+    texts = [prose("aa", 12, i) for i in range(6)] + ["aaa bb"]
+    model = langid.train(documents(spark, texts), order=3, max_grams=40)
+    assert len(model) > 3
+    p = plain_kneser_ney(texts, 3)
+    for probe in ("river sun", "xyz", "letter"):
+        codes, starts = langid.characters([probe])
+        got = model.log_probability(langid.grams(codes, starts, 3), 3)[:, 0]
+        s = "  " + "".join(map(chr, codes))
+        assert got == pytest.approx([math.log(p(s[i : i + 3], 3)) for i in range(len(codes))], abs=1e-4)
+
+
+def test_parts_give_what_the_whole_model_gives(spark):
+    texts = [prose("aa" if i % 20 else "bb", 30, i) for i in range(100)] + ["éà ß漢字 " * 9, "éà ß漢字 " * 9, None, "..", "жщфы ъэюя " * 40]
+    langs = ["aa" if i % 20 else "bb" for i in range(100)] + ["cc", "cc", "aa", None, None]
+    docs = documents(spark, texts, langs)
+    rows = lambda df: {r.doc_id: (r.lang_pred, r.rejected, round(r.score, 6)) for r in df.collect()}
+    assert rows(langid.identify(docs, max_grams=1500)) == rows(langid.identify(docs))
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(langid.keep_identified(docs, max_grams=1500)) == ids(langid.keep_identified(docs))
