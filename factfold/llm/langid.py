@@ -5,7 +5,7 @@ sums meet by (language, n-gram). The Kneser-Ney quantities of every order (disco
 are DataFrame aggregations of those counts. All n-grams become sorted hash arrays with one row of log probabilities per n-gram,
 a column per language. About ``max_grams`` of them (the bound of what is broadcast) make one part; a larger model takes several
 passes over the texts, whose log probabilities add up. A text gets the language of lowest cross-entropy per character.
-Temperature and rejection limits are set on ``sample_rows`` training texts at most.
+Temperature and rejection limits are set on all training texts.
 
 The parts are ranges of the n-grams' contexts read backwards, so that an n-gram meets all it backs off to in its own part but
 for the contexts that the first of the range ends with, which are added to it. Each character of a text belongs to one part.
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from factfold.llm.common import crc_bucket, cut, join_ids, read
 
-ORDER, MAX_GRAMS, SAMPLE_ROWS, CHUNK, SPACE = 4, 600_000, 4_000, 250_000, 32
+ORDER, MAX_GRAMS, CHUNK, SPACE = 4, 600_000, 250_000, 32
 UNKNOWN, END, SCALES = "und", (1 << 63) - 1, (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
+#: Languages of fewer training rows than this also take the limit of all languages together, if it is wider.
+FEW, QUANTILE, ACCURACY = 1_000, 0.999, 100_000
 
 
 @cache
@@ -284,21 +286,33 @@ def score(docs: DataFrame, parts: Parts, *keep: str) -> DataFrame:
 class Rule:
     """What the entropies say: language, score and rejection."""
 
-    def __init__(self, langs: list[str]):
-        self.langs, self.scale, self.limits = langs, 1.0, np.full(len(langs), np.inf)
-
-    def calibrate(self, size: np.ndarray, entropy: np.ndarray, truth: np.ndarray) -> None:
-        """Set the scale by log loss over the sample, and each language's rejection limit beyond all it has seen there."""
-        if not len(size):
+    def __init__(self, langs: list[str], scale: float = 1.0):
+        self.langs, self.scale, self.limits = langs, scale, np.full(len(langs), np.inf)
+
+    def calibrate(self, scored: DataFrame) -> None:
+        """Set the scale by log loss over all rows of scored (taught, size, entropy) with a language, and each language's
+        rejection limit beyond nearly all it has seen there."""
+        width, index = len(self.langs), {x: k for k, x in enumerate(self.langs)}
+        own = F.col("entropy")[F.array_position(F.array(*map(F.lit, self.langs)), F.col("taught")).cast("int") - 1]
+        known = scored.where("taught is not null and size > 0").withColumn("own", own)
+        cube = known.rollup("taught").agg(F.count("*").alias("n"), F.percentile_approx("own", QUANTILE, ACCURACY).alias("q")).collect()
+        pooled = next((r.q for r in cube if r.taught is None), None)
+        for r in cube:
+            if r.taught is not None:
+                self.limits[index[r.taught]] = 1.5 * (max(r.q, pooled) if r.n < FEW else r.q)
+        if pooled is None:
             return
-        losses = {}
-        for scale in SCALES:
-            self.scale = scale
-            losses[scale] = -np.log(np.maximum(self.posterior(size, entropy)[np.arange(len(size)), truth], 1e-12)).mean()
-        self.scale = min(losses, key=losses.get)
-        for k in range(len(self.langs)):
-            if len(own := entropy[truth == k, k]):
-                self.limits[k] = 1.5 * np.quantile(own, 0.999)
+        rules = [Rule(self.langs, scale) for scale in SCALES]
+
+        def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    truth, size, entropy = np.array([index[x] for x in batch.column(0).to_pylist()]), batch.column(1).to_numpy(), _matrix(batch.column(2), width)
+                    loss = [-np.log(np.maximum(r.posterior(size, entropy)[np.arange(len(size)), truth], 1e-12)).sum() for r in rules]
+                    yield pa.record_batch([pa.array(SCALES), pa.array(loss)], ["scale", "loss"])
+
+        sums = known.select("taught", "size", "entropy").mapInArrow(losses, "scale double, loss double").groupBy("scale").agg(F.sum("loss").alias("loss"))
+        self.scale = min(sums.collect(), key=lambda r: (r.loss, r.scale)).scale
 
     def posterior(self, size: np.ndarray, entropy: np.ndarray) -> np.ndarray:
         score = -entropy * (np.minimum(size, 100) * self.scale)[:, None]
@@ -319,16 +333,14 @@ def _matrix(column: pa.Array, langs: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, langs) if langs else np.zeros((len(column), 0))
 
 
-def judged(docs: DataFrame, *keep: str, sample_rows: int = SAMPLE_ROWS, **options) -> DataFrame:
+def judged(docs: DataFrame, *keep: str, **options) -> DataFrame:
     """(*keep, lang_pred, score, rejected) for each row of docs, after training on those not held out."""
     parts = train(docs.where(~held_out()), **options)
     known = ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / max(docs.where(known).count(), sample_rows, 1))
-    scored = score(docs.withColumn("__taught", F.when(known & part, F.col("lang"))), parts, *keep, "__taught")
+    scored = score(docs.withColumn("__taught", F.when(known, F.col("lang"))), parts, *keep, "__taught")
     rule, width = Rule(parts.langs), len(parts.langs)
-    sample = scored.where("__taught is not null and size > 0").limit(2 * sample_rows).toArrow()
-    truth = np.array([parts.langs.index(x) for x in sample.column("__taught").to_pylist()], int)
-    rule.calibrate(sample.column("size").to_numpy(), _matrix(sample.column("entropy").combine_chunks(), width), truth)
+    if width:
+        rule.calibrate(scored.withColumnRenamed("__taught", "taught"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -112,3 +112,17 @@ def test_parts_give_what_the_whole_model_gives(spark):
     assert rows(langid.identify(docs, max_grams=1500)) == rows(langid.identify(docs))
     ids = lambda df: sorted(r.doc_id for r in df.collect())
     assert ids(langid.keep_identified(docs, max_grams=1500)) == ids(langid.keep_identified(docs))
+
+
+def test_a_rare_language_rejects_too(spark):
+    texts = [prose("aa", 3, i) for i in range(24_000)] + ["ωψχφ υτσρ ποξν " * 9] * 3 + ["ωψqx ψωzж щъыь xq" * 9]
+    langs = ["aa"] * 24_000 + ["cc"] * 3 + [None]
+    odd = {r.doc_id: r.rejected for r in langid.identify(documents(spark, texts, langs)).where("doc_id >= 24000").collect()}
+    assert odd == {24_000: False, 24_001: False, 24_002: False, 24_003: True}
+
+
+def test_every_language_gets_a_limit(spark):
+    rows = [("aa", 50, [1.0, 9.0])] * 9_000 + [("bb", 50, [9.0, 0.2])]
+    rule = langid.Rule(["aa", "bb"])
+    rule.calibrate(spark.createDataFrame(rows, "taught string, size long, entropy array<double>"))
+    assert rule.limits.tolist() == [1.5, 1.5]
