@@ -5,7 +5,9 @@ two nearest shards, so that shards overlap, and has its home in the nearest. Eac
 ones, prunes the lists robustly, and the lists of a class from all its shards are united. Then each class is searched for in
 every shard whose home members may be within the threshold of it: a greedy search from the shard's medoids over the united
 lists, which goes on expanding every vertex near the threshold until there is none. What it finds is verified by cosine in
-double precision. A sample is audited against brute force, and a recall below the target widens the search.
+double precision. Classes drawn without regard to the result are audited against brute force, and a recall below the target,
+of links or of classes, widens the search. If it is still below after the last round, or too few of the drawn classes link with
+anything to tell, every class is compared with all members of every shard that can hold a partner, which misses none.
 
 A shard task holds about ``shard_rows`` members; larger clusters are split by hash and searched in all their parts. A task
 gives one row per searched class and a spanning star per linked group, never the pairs of a group.
@@ -24,7 +26,7 @@ from factfold.llm.common import components, cut, read
 
 THRESHOLD, SHARD_ROWS, SAMPLE, MAX_CENTROIDS = 0.9, 600, 16_384, 2_048
 DEGREE, NEAREST, ALPHA, BEAM, SLACK, MARGIN = 24, 48, 1.2, 24, 0.1, 1.0
-AUDIT_ROWS, RECALL, ROUNDS, BLOCK = 128, 0.98, 4, 256
+AUDIT_ROWS, AUDIT_LINKED, RECALL, ROUNDS, BLOCK = 4_096, 50, 0.98, 4, 256
 ROUTED = "shard int, rep long, e array<float>, n long, member boolean, home boolean"
 
 
@@ -125,21 +127,22 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = least
 
 
-def search(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
+def search(shard: pd.DataFrame, threshold: float, beam: int | None) -> pd.DataFrame:
     """(rep, links, root): for each class searched in this shard, the vectors linked to it that are at home here, and the
-    smallest class of its linked group here."""
+    smallest class of its linked group here. Without a beam every member is compared."""
     shard = shard.sort_values(["member", "rep"], ascending=[False, True], kind="stable")
     ids, x, n = shard["rep"].to_numpy(), _unit(shard["e"]), shard["n"].to_numpy()
     m, home = int(shard["member"].sum()), shard["home"].to_numpy(bool)
     if not m:
         return pd.DataFrame({"rep": ids, "links": np.zeros(len(ids), np.int64), "root": ids})
-    place = pd.Series(np.arange(m), ids[:m])
-    lists = [place.reindex(np.asarray(a if a is not None else [], np.int64)).dropna().to_numpy().astype(np.int64) for a in shard["nbrs"].iloc[:m]]
-    c = centroids(x[:m], min(8, m), 4)
-    starts = np.unique((x[:m] @ c.T).argmax(axis=0))
+    if beam:
+        place = pd.Series(np.arange(m), ids[:m])
+        lists = [place.reindex(np.asarray(a if a is not None else [], np.int64)).dropna().to_numpy().astype(np.int64) for a in shard["nbrs"].iloc[:m]]
+        c = centroids(x[:m], min(8, m), 4)
+        starts = np.unique((x[:m] @ c.T).argmax(axis=0))
     links, left, right = np.zeros(len(ids), np.int64), [], []
     for i in range(0, len(x), BLOCK):
-        q, v = greedy_search(x[:m], lists, starts, x[i : i + BLOCK], threshold, beam)
+        q, v = greedy_search(x[:m], lists, starts, x[i : i + BLOCK], threshold, beam) if beam else np.nonzero(x[i : i + BLOCK] @ x[:m].T >= threshold - 1e-9)
         q = q + i
         for j in range(0, len(q), 200_000):
             a, b = q[j : j + 200_000], v[j : j + 200_000]
@@ -159,7 +162,7 @@ def route(classes: DataFrame, c: np.ndarray, threshold: float, margin: float, pa
 
     A vector within the threshold's angle of q is nearer to centroid c than to q's own only if q lies within
     tan(angle) * |c - own| of the plane between them; ``margin`` standard deviations of a random direction bound the part of
-    tan(angle) that points there.
+    tan(angle) that points there. From the square root of the dimension on the bound is whole, and no partner is missed.
     """
     reach = math.sqrt(1 - threshold * threshold) / threshold * min(1.0, margin / math.sqrt(c.shape[1]))
     offsets = np.concatenate([[0], np.cumsum(parts)])
@@ -172,7 +175,7 @@ def route(classes: DataFrame, c: np.ndarray, threshold: float, margin: float, pa
             near = np.argsort(-dots, axis=1, kind="stable")[:, :2]
             own = near[:, 0]
             gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T)[own], 0))
-            asked = dots[np.arange(len(own)), own][:, None] - dots <= reach * gap
+            asked = dots[np.arange(len(own)), own][:, None] - dots <= reach * gap + 1e-9
             member = np.zeros(dots.shape, bool)
             np.put_along_axis(member, near, True, 1)
             row, cluster = np.nonzero(asked | member)
@@ -188,7 +191,7 @@ def route(classes: DataFrame, c: np.ndarray, threshold: float, margin: float, pa
     return classes.select("rep", "e", "n").mapInPandas(run, ROUTED)
 
 
-def _linked(classes: DataFrame, total: int, threshold: float, margin: float, beam: int, shard_rows: int) -> DataFrame:
+def _linked(classes: DataFrame, total: int, threshold: float, margin: float, beam: int | None, shard_rows: int) -> DataFrame:
     k = max(1, min(MAX_CENTROIDS, math.ceil(total / shard_rows)))
     part = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / total))
     sample = classes.where(part).select("e").limit(2 * SAMPLE).toPandas()["e"]
@@ -196,30 +199,41 @@ def _linked(classes: DataFrame, total: int, threshold: float, margin: float, bea
     sizes = np.bincount((_unit(sample) @ c.T).argmax(axis=1), minlength=len(c)) if len(sample) else np.ones(len(c))
     parts = np.maximum(1, np.ceil(sizes / max(sizes.sum(), 1) * total / (4 * shard_rows))).astype(int)
     routed = cut(route(classes, c, threshold, margin, parts))
+    if not beam:
+        return routed.withColumn("nbrs", F.lit(None).cast("array<long>")).groupBy("shard").applyInPandas(lambda s: search(s, threshold, None), "rep long, links long, root long")
     lists = routed.where("member").groupBy("shard").applyInPandas(lambda m: build(m), "rep long, nbrs array<long>")
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
     return routed.join(united, "rep", "left").groupBy("shard").applyInPandas(lambda s: search(s, threshold, beam), "rep long, links long, root long")
 
 
 def _audit(classes: DataFrame, found: DataFrame, threshold: float, rows: int, total: int) -> float:
-    """Links found over links there are, for about ``rows`` classes that brute force compares with every class."""
+    """Recall for about ``rows`` classes that brute force compares with every class, drawn by hash and not by what was found:
+    the lesser of links found over links there are and of its mean over the classes that link with anything.
+
+    Zero if fewer than AUDIT_LINKED of them do, unless all classes were drawn.
+    """
     part = F.pmod(F.xxhash64("rep", F.lit("audit")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, rows / total))
-    asked = classes.where(part).limit(4 * rows).select("rep", "e").toPandas()
-    linked = found.where("links > 0").orderBy(F.xxhash64("rep")).limit(rows).select("rep")  # most classes of a corpus link with nothing
-    asked = pd.concat([asked, classes.join(F.broadcast(linked), "rep").select("rep", "e").toPandas()]).drop_duplicates("rep")
+    asked = classes.where(part).select("rep", "e").toPandas()
     if not len(asked):
-        return 1.0
+        return 0.0
     ids, x = asked["rep"].to_numpy(), _unit(asked["e"])
 
     def count(batches):
+        sums = np.zeros(len(ids), np.int64)
         for batch in batches:
             if len(batch):
-                near = (_unit(batch["e"]) @ x.T >= threshold) & (batch["rep"].to_numpy()[:, None] != ids[None, :])
-                yield pd.DataFrame({"rep": ids, "true": (near * batch["n"].to_numpy()[:, None]).sum(axis=0)})
+                y, own, n = _unit(batch["e"]), batch["rep"].to_numpy(), batch["n"].to_numpy()
+                for i in range(0, len(y), BLOCK):
+                    near = (y[i : i + BLOCK] @ x.T >= threshold) & (own[i : i + BLOCK, None] != ids[None, :])
+                    sums += n[i : i + BLOCK] @ near
+        yield pd.DataFrame({"rep": ids, "true": sums})
 
     true = classes.select("rep", "e", "n").mapInPandas(count, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    sums = true.join(found, "rep", "left").agg(F.sum("true"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("true")))).first()
-    return sums[1] / sums[0] if sums[0] else 1.0
+    hit = F.least(F.coalesce("links", F.lit(0)), F.col("true"))
+    r = true.where(F.col("true") > 0).join(found, "rep", "left").agg(F.count("*"), F.sum("true"), F.sum(hit), F.avg(hit / F.col("true"))).first()
+    if r[0] < AUDIT_LINKED and len(asked) < total:
+        return 0.0
+    return min(r[2] / r[1], r[3]) if r[0] else 1.0
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -243,6 +257,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: i
             sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
             if _audit(own, sums, threshold, AUDIT_ROWS, r.n) >= RECALL:
                 break
+        else:
+            found = cut(_linked(own, r.n, threshold, math.inf, None, shard_rows))
         parts.append(found)
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))

@@ -71,3 +71,23 @@ def test_robust_prune_drops_what_a_nearer_one_covers():
 def test_centroids_are_unit_vectors(k):
     x = embeddings._unit(np.random.default_rng(0).normal(size=(50, 8)))
     assert np.linalg.norm(embeddings.centroids(x, k), axis=1) == pytest.approx(1)
+
+
+def test_audit_sees_classes_whose_every_link_was_missed(spark):
+    rng = np.random.default_rng(7)
+    pairs = np.repeat(rng.normal(size=(300, 24)), 2, 0) + 0.01 * rng.normal(size=(600, 24))
+    crowd = rng.normal(size=24) + 0.05 * rng.normal(size=(300, 24))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([pairs, crowd]))]
+    classes = spark.createDataFrame(rows, "rep long, e array<float>, n long")
+    found = spark.createDataFrame([(i, 299) for i in range(600, 900)], "rep long, links long")
+    assert embeddings._audit(classes, found, 0.9, embeddings.AUDIT_ROWS, 900) < 0.5
+
+
+def test_the_last_way_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "RECALL", 2.0)
+    monkeypatch.setattr(embeddings, "ROUNDS", 1)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(rng.normal(size=(150, 12)), 2, 0) + 0.12 * rng.normal(size=(300, 12)), rng.normal(size=(100, 12))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=40).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain(rows)
