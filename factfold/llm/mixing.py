@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from factfold.llm.common import BROADCAST_IDS, cut, read
 
-#: Bounds: labelled rows that teach (about), words of the table, domains. The table is broadcast, so its rows are bounded.
-TRAIN_ROWS, VOCABULARY, MAX_DOMAINS = 20_000, 20_000, 32
+#: Bounds: labelled rows that teach (about), words of the table. The table is broadcast, so its rows are bounded. A domain of
+#: which fewer than DOMAIN_ROWS rows would teach gives up to about that many. SUMS is how many sums one aggregation takes.
+TRAIN_ROWS, VOCABULARY, DOMAIN_ROWS, SUMS = 20_000, 20_000, 200, 1_024
 ROUNDS, TOLERANCE, FLATTEN, EVIDENCE, SCALE = 40, 1e-6, 0.7, 25, 1 << 20
 _SPLIT = r"[\s.,;:!?|()\"']+"
 
@@ -29,11 +30,14 @@ def _words(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def classifier(docs: DataFrame, domain: str, train_rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> tuple[list[str], list[float], DataFrame]:
-    """Domains, their shares of the labelled rows and the table (word, w0, w1, ...), from ``train_rows`` rows at most (about)."""
+    """All domains by name, their shares of the labelled rows and the table (word, w0, w1, ...), from about ``train_rows`` rows and
+    DOMAIN_ROWS of each rarer domain."""
     known = docs.where(F.col(domain).isNotNull() & F.col("text").isNotNull()).select(F.col(domain).cast("string").alias("__domain"), "doc_id", "text")
-    sizes = known.groupBy("__domain").count().orderBy(F.desc("count"), "__domain").limit(MAX_DOMAINS).collect()
+    sizes = known.groupBy("__domain").count().orderBy("__domain").collect()
     names, total = [r["__domain"] for r in sizes], sum(r["count"] for r in sizes)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, train_rows / max(total, 1)))
+    chance = [int((1 << 20) * min(1.0, max(train_rows / max(total, 1), DOMAIN_ROWS / r["count"]))) for r in sizes]
+    at = F.array_position(F.array(*map(F.lit, names)), F.col("__domain")).cast("int") - 1
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (F.array(*map(F.lit, chance))[at] if names else F.lit(0))
     counts = [F.sum((F.col("__domain") == F.lit(name)).cast("long")).alias(f"c{k}") for k, name in enumerate(names)]
     seen = _words(known.where(part), "__domain").groupBy("word").agg(F.count("*").alias("c"), *counts).where("c > 1")
     table = cut(seen.orderBy(F.desc("c"), "word").limit(vocabulary))
@@ -63,22 +67,34 @@ def rate_of(steps: list[np.ndarray], p: str = "p") -> Column:
     """The rate after the given steps, each projected on the nonnegative numbers; all rates start at one."""
     rate = F.lit(1.0)
     for step in steps:
-        rate = F.greatest(F.lit(0.0), rate + sum((F.col(p)[k] * float(v) for k, v in enumerate(step)), F.lit(0.0)))
+        change = F.zip_with(p, F.array(*(F.lit(float(v)) for v in step)), lambda a, b: a * b)  # not a sum of terms, whose depth would follow the domains
+        rate = F.greatest(F.lit(0.0), rate + F.aggregate(change, F.lit(0.0), lambda a, b: a + b))
     return rate
 
 
+def _sums(soft: DataFrame, terms: list[Column]) -> np.ndarray:
+    """The sums of the terms over soft, zero where there is no row, SUMS of them in one pass."""
+    parts = [soft.agg(*(F.coalesce(F.sum(t), F.lit(0.0)).alias(f"s{k}") for k, t in enumerate(terms[i : i + SUMS]))).first() for i in range(0, len(terms), SUMS)]
+    return np.array([v for row in parts for v in row], float)
+
+
 def fit(soft: DataFrame, names: list[str], weights: dict[str, float] | None, rounds: int = ROUNDS) -> tuple[list[np.ndarray], dict]:
     """The gradient steps that bring the expected token totals to the targets.
 
-    With weights given by domain (domains not named get none) the targets are those shares of all tokens, otherwise the
+    With weights given by domain (domains not named get none, unknown ones raise) the targets are those shares of all tokens, otherwise the
     present shares raised to FLATTEN. The squares are weighted by the inverse Gram matrix of the posteriors, under which a
     gradient step of length one never overshoots.
     """
     k = len(names)
     if not k:
         return [], {"targets": {}, "reached": {}}
-    first = soft.agg(*(F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(k)), *(F.coalesce(F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i in range(k) for j in range(k))).first()
-    now, gram = np.array(first[:k], float), np.array(first[k:], float).reshape(k, k)
+    if weights and (unknown := sorted(set(weights) - set(names))):
+        raise ValueError(f"weights for unknown domains: {unknown}")
+    p, above = F.col("p"), [(i, j) for i in range(k) for j in range(i, k)]
+    first = _sums(soft, [F.col("tokens") * p[i] for i in range(k)] + [F.col("tokens") * p[i] * p[j] for i, j in above])
+    now, gram = first[:k], np.zeros((k, k))
+    for (i, j), v in zip(above, first[k:], strict=True):
+        gram[i, j] = gram[j, i] = v
     everything = now.sum()
     if not everything:
         return [], {"targets": dict.fromkeys(names, 0.0), "reached": dict.fromkeys(names, 0.0)}
@@ -90,7 +106,7 @@ def fit(soft: DataFrame, names: list[str], weights: dict[str, float] | None, rou
             break
         steps.append(inverse @ (targets - now))
         rate = rate_of(steps)
-        now = np.array(soft.select("tokens", "p", rate.alias("x")).agg(*(F.coalesce(F.sum(F.col("tokens") * F.col("p")[i] * F.col("x")), F.lit(0.0)) for i in range(k))).first(), float)
+        now = _sums(soft.select("tokens", "p", rate.alias("x")), [F.col("tokens") * p[i] * F.col("x") for i in range(k)])
     return steps, {"targets": dict(zip(names, targets, strict=True)), "reached": dict(zip(names, now, strict=True))}
 
 
@@ -105,9 +121,8 @@ def rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | Non
     names, soft = posteriors(docs, domain, **options)
     soft = cut(soft)
     steps, _ = fit(soft, names, weights)
-    order = sorted(range(len(names)), key=lambda k: names[k])
     best = F.array_max("p")
-    domain_of = F.coalesce(*(F.when(F.col("p")[k] == best, F.lit(names[k])) for k in order)) if names else F.lit(None).cast("string")
+    domain_of = F.array(*map(F.lit, names))[F.array_position("p", best).cast("int") - 1] if names else F.lit(None).cast("string")
     found = soft.select("doc_id", "tokens", domain_of.alias("domain"), (best if names else F.lit(None).cast("double")).alias("posterior"), F.round(rate_of(steps), 9).alias("rate"))
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).select("doc_id")
     every = ids.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")

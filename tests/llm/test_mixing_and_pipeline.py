@@ -86,3 +86,15 @@ def test_every_stage_stands_odd_rows(spark, data, case):
 def test_cut_uses_the_folder_that_the_session_names(spark):
     assert common.cut(spark.range(3)).agg(F.sum("id")).first()[0] == 3
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
+
+
+def test_every_domain_is_kept_and_unknown_ones_raise(spark):
+    langs = [f"d{i % 40:02d}" for i in range(400)]
+    docs = documents(spark, [" ".join(f"{lang}w{k}" for k in range(30)) for lang in langs], langs)
+    weights = {f"d{k:02d}": 1.0 + (k == 39) for k in range(40)}
+    rows = mixing.rates(docs, weights=weights).collect()
+    assert all(r.domain == langs[r.doc_id] for r in rows)
+    totals = {d: sum(r.tokens * r.rate for r in rows if r.domain == d) for d in ("d00", "d39")}
+    assert totals["d39"] == pytest.approx(2 * totals["d00"], rel=0.05)
+    with pytest.raises(ValueError, match="nope"):
+        mixing.rates(docs, weights={"nope": 1.0})
