@@ -20,11 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder that the session names.
 
-    A folder of our own is used only where ``spark.checkpoint.dir`` is unset, as in local tests.
+    A temporary folder is used only where ``spark.checkpoint.dir`` is unset and all of Spark is one local process, as in tests.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp("checkpoints"))
     return df.checkpoint(eager=True)
 
 

@@ -4,7 +4,12 @@ A text's fingerprint is the bitwise majority over the hashes of its word shingle
 linked; linked documents form groups. Candidates come from multi-index hashing: the 64 bits are cut into segments, each
 fingerprint is stored once per segment, and each looks up a small Hamming ball around its own segments. With radius 4 and 3
 segments, two fingerprints within 4 bits differ by at most 1 bit in one of the first two segments or not at all in the
-third, so 22 + 23 + 1 look-ups find every partner. Complete distances are verified inside the join.
+third, so 22 + 23 + 1 look-ups find every partner. Complete distances are verified inside the join. From WIDE fingerprints on
+two segments of 32 bits are taken (529 + 33 look-ups), whose buckets stay small; either way every link is found.
+
+A dense group never gives all its pairs: first each bucket is linked in a star to one of its own, as far as the distances
+allow, which makes nearly all of a group one. Then only fingerprints of different groups are compared, buckets of one group
+alone are left out before the join, and what comes out is pairs of groups.
 """
 
 from __future__ import annotations
@@ -17,7 +22,9 @@ from pyspark.sql import functions as F
 
 from factfold.llm.common import arrow_map, components, cut, join_ids, read
 
-RADIUS, SEGMENTS, SHINGLE, SEED = 4, 3, 4, 42
+RADIUS, SHINGLE, SEED = 4, 4, 42
+#: So many distinct fingerprints make a bucket of a third of the bits (2^21) hold dozens of unrelated ones.
+WIDE = 1 << 27
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE = np.arange(8) * 256
 
@@ -39,14 +46,15 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     return int.from_bytes(np.packbits(set_bits.ravel() * 2 > len(rows), bitorder="little").tobytes(), "little")
 
 
-def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one signed 64-bit fingerprint per row of docs, whatever its other columns."""
+def signatures(docs: DataFrame, *keep: str, width: int = SHINGLE) -> DataFrame:
+    """(*keep, fp): one signed 64-bit fingerprint per row of docs, whatever its other columns."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
-        return pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        fp = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64)
+        return pa.record_batch([*(batch.column(k) for k in keep), pa.array(fp.view(np.int64))], [*keep, "fp"])
 
-    return arrow_map(docs, ["doc_id", "text"], "doc_id long, fp long", work)
+    return arrow_map(docs, [*keep, "text"], f"{schema}, fp long", work)
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
@@ -72,23 +80,35 @@ def balls(radius: int, n: int) -> list[list[int]]:
 
 
 def _keys(fps: DataFrame, masks: list[list[int]]) -> DataFrame:
-    """(fp, seg, key): the segments of each fingerprint XORed with the masks of that segment."""
+    """The columns of fps with (seg, key): the segments of each fingerprint XORed with the masks of that segment."""
     spots = [(k, at, (1 << w) - 1, m) for k, ((at, w), own) in enumerate(zip(_segments(len(masks)), masks, strict=True)) for m in own]
     table = ",".join(f"({k},{at},{ones}L,{m}L)" for k, at, ones, m in spots)
-    probes = fps.select("fp", F.inline(F.expr(f"transform(array({table}), x -> named_struct('seg', x.col1, 'at', x.col2, 'ones', x.col3, 'mask', x.col4))")))
-    return probes.select("fp", "seg", F.expr("(shiftrightunsigned(fp, at) & ones) ^ mask").alias("key"))
+    probes = fps.select("*", F.inline(F.expr(f"transform(array({table}), x -> named_struct('seg', x.col1, 'at', x.col2, 'ones', x.col3, 'mask', x.col4))")))
+    return probes.select(*fps.columns, "seg", F.expr("(shiftrightunsigned(fp, at) & ones) ^ mask").alias("key"))
+
+
+def _near(a: str, b: str, radius: int):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different fingerprints within ``radius`` bits. fps: distinct (fp)."""
-    probes, table = _keys(fps, balls(radius, segments)), _keys(fps, [[0]] * segments)
-    a, b = probes.withColumnRenamed("fp", "p"), table.withColumnRenamed("fp", "t")
-    near = F.bit_count(F.col("p").bitwiseXOR(F.col("t"))) <= radius
-    pairs = a.join(b, (a.seg == b.seg) & (a.key == b.key) & (F.col("p") != F.col("t")) & near)
-    return pairs.select(F.least("p", "t").alias("a"), F.greatest("p", "t").alias("b")).distinct()
+def groups(fps: DataFrame, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
+    """(fp, top): the fingerprint that names the group of each; fingerprints within ``radius`` bits are in one group, and so on.
+    fps: distinct (fp)."""
+    n = segments or (3 if fps.limit(WIDE).count() < WIDE else 2)
+    entries = _keys(fps.select("fp"), [[0]] * n)
+    centres = entries.groupBy("seg", "key").agg(F.min_by("fp", F.xxhash64("fp")).alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = entries.join(centres, ["seg", "key"]).where((F.col("fp") != F.col("centre")) & _near("fp", "centre", radius))
+    first = components(stars.select(F.col("fp").alias("a"), F.col("centre").alias("b"))).withColumnsRenamed({"node": "fp", "component": "top"})
+    own = cut(fps.select("fp").join(first, "fp", "left").select("fp", F.coalesce("top", "fp").alias("top")))
+    table, probes = _keys(own, [[0]] * n), _keys(own, balls(radius, n)).withColumnsRenamed({"fp": "p", "top": "from"})
+    mixed = table.groupBy("seg", "key").agg(F.min("top").alias("low"), F.max("top").alias("high"))
+    asked = probes.join(mixed, ["seg", "key"]).where((F.col("low") != F.col("from")) | (F.col("high") != F.col("from"))).drop("low", "high")
+    met = asked.join(table, ["seg", "key"]).where((F.col("from") != F.col("top")) & _near("p", "fp", radius))
+    second = components(met.select(F.col("from").alias("a"), F.col("top").alias("b"))).withColumnsRenamed({"node": "top", "component": "above"})
+    return own.join(second, "top", "left").select("fp", F.coalesce("above", "top").alias("top"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, width: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int | None = None, width: int = SHINGLE) -> DataFrame:
     """One row (doc_id, fingerprint, component_id, kept) per row of docs.
 
     component_id is the smallest doc_id reachable over links, kept marks the rows of that id. Copies share one
@@ -96,28 +116,32 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int = SEGME
     like any other; rows with a null doc_id take part and get the group's smallest id (their group's null if it has no
     other); repeated rows stay repeated; an empty table gives an empty result; other columns of docs are ignored.
     """
-    sig = cut(signatures(docs, width))
+    sig = cut(signatures(docs, "doc_id", width=width))
     fps = cut(sig.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    group = components(hamming_links(fps.select("fp"), radius, segments)).withColumnsRenamed({"node": "fp", "component": "top"})
-    linked = group.join(fps, "fp")
-    names = linked.join(linked.groupBy("top").agg(F.min("least").alias("of_top")), "top").select("fp", "of_top")
-    names = cut(fps.join(names, "fp", "left").select("fp", F.coalesce("of_top", "least").alias("component_id")))
+    found = cut(groups(fps, radius, segments).join(fps, "fp"))
+    names = found.join(found.groupBy("top").agg(F.min("least").alias("component_id")), "top").select("fp", "component_id")
     out = sig.join(names, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows of a group but those of its smallest doc_id; of repeated rows of that id one stays."""
-    found = cut(near_duplicates(docs, **options))
-    drop = found.where("not kept").select("doc_id").distinct()
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("__again"))
-    rest = join_ids(docs, drop, "left_anti")
-    again = cut(again)
+def deduplicate(docs: DataFrame, radius: int = RADIUS, segments: int | None = None, width: int = SHINGLE) -> DataFrame:
+    """docs with one row of each group: that of the smallest doc_id, null ones last, and of several texts of that id the one of
+    the smallest digest. Of rows that repeat id and text one stays. Groups are those of near_duplicates."""
+    text = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.when(F.col("text").isNull(), "0").otherwise("1"), F.coalesce("text", F.lit(""))]
+    keyed = docs.withColumn("__key", F.md5(F.concat_ws(" ", *text)))
+    sig = cut(signatures(keyed, "__key", "doc_id", width=width))
+    rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("best")
+    best = cut(sig.groupBy("fp").agg(rank))
+    found = cut(groups(best, radius, segments).join(best, "fp"))
+    winners = found.join(found.groupBy("top").agg(F.min("best").alias("won")), "top").select("fp", F.col("won.__key").alias("won"))
+    marked = cut(sig.join(winners, "fp").select("__key", (F.col("__key") == F.col("won")).alias("stays")))
+    rest = join_ids(keyed, marked.where("not stays").select("__key").distinct(), "left_anti", "__key")
+    again = cut(marked.where("stays").groupBy("__key").count().where("count > 1").select("__key", F.lit(True).alias("__again")))
     if again.isEmpty():
-        return rest
-    marked = join_ids(rest, again, "left")
-    once = marked.where("__again is null").drop("__again")
-    return once.unionByName(marked.where("__again").drop("__again").dropDuplicates(["doc_id"]))
+        return rest.select(*docs.columns)
+    several = join_ids(rest, again, "left", "__key")
+    once = several.where("__again is null").unionByName(several.where("__again").dropDuplicates(["__key"]))
+    return once.select(*docs.columns)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

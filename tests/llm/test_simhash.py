@@ -3,11 +3,12 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factfold.llm import simhash
+from factfold.llm import common, simhash
 from tests.llm.helpers import documents, empty_documents, odd_documents, prose
 
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -48,14 +49,28 @@ def test_balls_reach_every_pair():
             assert any((diff >> at) & ((1 << w) - 1) in own for (at, w), own in zip(segments, map(set, masks), strict=True))
 
 
-def test_links_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("segments", [2, 3, 5])
+def test_groups_are_those_of_brute_force(spark, segments):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(12)]
     fps = sorted({b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 7))) for b in base for _ in range(25)} | {0, (1 << 64) - 1, 15, 31})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {tuple(sorted(r)) for r in simhash.hamming_links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
-    want = {tuple(sorted((signed[i], signed[j]))) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4}
-    assert got == want
+    want = dict(zip(signed, plain_components(fps, signed), strict=True))
+    got = {r.fp: r.top for r in simhash.groups(spark.createDataFrame([(f,) for f in signed], "fp long"), segments=segments).collect()}
+    assert got.keys() == want.keys()
+    names = {}
+    assert all(names.setdefault(got[f], want[f]) == want[f] for f in signed) and len(set(got.values())) == len(set(want.values()))
+
+
+def test_a_dense_group_never_gives_its_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    centre = rng.getrandbits(63)
+    fps = sorted({centre ^ sum(1 << x for x in rng.sample(range(63), 2)) for _ in range(1_500)})
+    given_edges = []
+    monkeypatch.setattr(simhash, "components", lambda edges: given_edges.append(edges.count()) or common.components(edges))
+    rows = simhash.groups(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    assert len({r.top for r in rows}) == 1
+    assert sum(given_edges) < 10 * len(fps)
 
 
 def test_query_equals_brute_force(spark, data):
@@ -80,3 +95,11 @@ def test_deduplicate_keeps_one_row_of_each_group(spark):
     docs = docs.unionByName(docs.where("doc_id in (0, 4)"))
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 3, 4]
     assert simhash.deduplicate(docs).columns == docs.columns
+
+
+def test_deduplicate_goes_by_rows_and_not_by_ids(spark):
+    one, other, third = (prose("aa", 80, k) for k in range(3))
+    rows = [(1, one), (2, one), (2, other), (None, third), (None, third + "\n"), (None, one), (3, None), (4, "")]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, one), (2, other), (3, None), next(tuple(r) for r in got if r.doc_id is None)], key=str)
+    assert next(r.text for r in got if r.doc_id is None).strip() == third
