@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factfold.llm.decontam import _mix
+from factfold.llm.decontam import _mix, plain
 
 CHUNK, STEM = 250_000, 5
 #: Second-person words of the four languages of the corpus.
@@ -36,7 +36,7 @@ class Text:
     """The bytes of a run of texts with their words: starts, stops, hashes of words and stems, rows."""
 
     def __init__(self, texts: list[str]):
-        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        parts = [plain(t).encode("utf-8", "surrogatepass") for t in texts]
         self.data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
         self.begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]).astype(np.int64)
         self.rows = len(texts)
