@@ -46,10 +46,10 @@ class Text:
         edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
         self.start, self.stop = edge[::2], edge[1::2]
         self.row = np.searchsorted(self.begins, self.start, "right") - 1
-        plain = _PLAIN[self.data].astype(np.uint64) + np.uint64(1)
-        powers, back = np.full(len(plain), _P, np.uint64), np.full(len(plain), _PI, np.uint64)
+        read_as = _PLAIN[self.data].astype(np.uint64) + np.uint64(1)
+        powers, back = np.full(len(read_as), _P, np.uint64), np.full(len(read_as), _PI, np.uint64)
         powers[:1] = back[:1] = 1
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(plain * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64)])
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(read_as * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64)])
         scale = np.cumprod(back, dtype=np.uint64)[self.start]
         self.word = _mix((prefix[self.stop] - prefix[self.start]) * scale)
         self.stem = _mix((prefix[np.minimum(self.stop, self.start + STEM)] - prefix[self.start]) * scale) ^ np.uint64(0x5DEECE66D)

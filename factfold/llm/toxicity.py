@@ -1,8 +1,8 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-A lexicon of words and stems is learned from the labelled rows by smoothed log odds, in two folds: the rows of one fold get
-their features from the lexicon of the other, so that the trees don't trust words that only their own row made look toxic.
-Trees are fitted on four fifths of the sample and calibrated on the rest; texts are scored with the lexicon of both folds.
+A lexicon of words and stems is learned from the labelled rows by smoothed log odds, in FOLDS folds: the rows of one fold get
+their features from the lexicon of the others, so that the trees don't trust words that only their own row made look toxic.
+Trees are fitted on four fifths of the sample and calibrated on the rest; texts are scored with the lexicon of all folds.
 """
 
 from __future__ import annotations
@@ -21,46 +21,54 @@ from pyspark.sql import functions as F
 from factfold.llm.common import crc_bucket, cut, read
 from factfold.llm.features import TOXICITY, feature_rows, runs, toxicity
 
-#: Bounds of what is fitted: labelled rows (about) and entries of the lexicon, which tasks hold.
-TRAIN_ROWS, LEXICON, LEAST_ROWS, LEAST_ODDS = 12_000, 20_000, 3, 2.5
+#: Labelled rows that are fitted on, about: the bound of everything here. A lexicon has the words and stems that at least so many
+#: toxic rows hold and that are so much likelier there.
+TRAIN_ROWS, FOLDS, LEAST_ROWS, LEAST_ODDS = 12_000, 5, 3, 2.5
+#: Partitions of the fitted rows, which are numbers only.
+PARTS = 8
 TREES, DEPTH, STEP = 12, 3, 0.4
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, taught, train_rows: int) -> DataFrame:
-    """(doc_id, text, y): about ``train_rows`` rows at most whose id may teach and has one label, chosen by hash of the id."""
-    y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    """(doc_id, y, text): about ``train_rows`` ids at most that may teach and have a label, chosen by hash of the id.
+
+    One row per id: of repeated ids the smallest text, of several labels the greatest.
+    """
+    y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     y = cut(y.where(taught))
     part = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 20)) < int((1 << 20) * train_rows / max(y.count(), train_rows))
     chosen = y.where(part)  # bounded by train_rows, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def lexicons(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted hashes and weights of words and stems: learned from fold 0, from fold 1 and from both."""
+    """Sorted hashes and weights of words and stems: learned without each of the folds in turn, and last from all."""
+    cells = [f"{a}{k}" for a in "np" for k in range(FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y, fold = batch.column("y").to_numpy(), batch.column("fold").to_numpy()
+            kind = batch.column("y").to_numpy() * FOLDS + batch.column("fold").to_numpy()
             for at, t in runs(batch.column("text").to_pylist()):
                 pairs = np.unique(np.stack([np.concatenate([t.row, t.row]).astype(np.uint64), np.concatenate([t.word, t.stem])], 1), axis=0)
-                rows = pairs[:, 0].astype(int) + at
                 h, back = np.unique(pairs[:, 1], return_inverse=True)
-                cell = [np.bincount(back, (y[rows] == a) & (fold[rows] == b), len(h)).astype(np.int64) for b in (0, 1) for a in (0, 1)]
-                yield pa.record_batch([pa.array(h.view(np.int64)), *map(pa.array, cell)], ["h", "n0", "p0", "n1", "p1"])
-
-    cells = ["n0", "p0", "n1", "p1"]
-    counts = sample.select("text", "y", "fold").mapInArrow(run, "h long, n0 long, p0 long, n1 long, p1 long").groupBy("h").agg(*(F.sum(c).alias(c) for c in cells))
-    size = {(r.y, r.fold): r["count"] for r in sample.groupBy("y", "fold").count().collect()}
+                counts = np.bincount(kind[pairs[:, 0].astype(int) + at] * len(h) + back, minlength=2 * FOLDS * len(h)).reshape(2 * FOLDS, len(h))
+                yield pa.record_batch([pa.array(h.view(np.int64)), *map(pa.array, counts)], ["h", *cells])
+
+    schema = "h long, " + ", ".join(f"{c} long" for c in cells)
+    toxic = sum((F.col(f"p{k}") for k in range(FOLDS)), F.lit(0))
+    seen = sample.select("text", "y", "fold").mapInArrow(run, schema).groupBy("h").agg(*(F.sum(c).alias(c) for c in cells)).where(toxic >= LEAST_ROWS).toArrow()
+    h, counts = seen.column("h").to_numpy().view(np.uint64), np.stack([seen.column(c).to_numpy() for c in cells]).reshape(2, FOLDS, -1)
+    size = np.zeros((2, FOLDS))
+    for r in sample.groupBy("y", "fold").count().collect():
+        size[r.y, r.fold] = r["count"]
     out = []
-    for folds in ((0,), (1,), (0, 1)):
-        seen = [sum((F.col(f"{a}{b}") for b in folds), F.lit(0)) for a in "np"]
-        all_of = [sum(size.get((k, b), 0) for b in folds) for k in (0, 1)]
-        odds = F.log((seen[1] + 0.5) / (all_of[1] + 1)) - F.log((seen[0] + 0.5) / (all_of[0] + 1))
-        rows = counts.select("h", seen[1].alias("p"), odds.alias("odds")).where((F.col("p") >= LEAST_ROWS) & (F.col("odds") >= LEAST_ODDS))
-        found = rows.orderBy(F.desc("odds"), F.desc("p"), "h").limit(LEXICON).collect()
-        keys, values = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.odds for r in found], float)
-        order = np.argsort(keys)
-        out.append((keys[order], values[order]))
+    for left_out in range(FOLDS + 1):
+        folds = [k for k in range(FOLDS) if k != left_out]
+        own, rows = counts[:, folds].sum(axis=1), size[:, folds].sum(axis=1)
+        odds = np.log((own[1] + 0.5) / (rows[1] + 1)) - np.log((own[0] + 0.5) / (rows[0] + 1))
+        good = (own[1] >= LEAST_ROWS) & (odds >= LEAST_ODDS)
+        order = np.argsort(h[good])
+        out.append((h[good][order], odds[good][order]))
     return out
 
 
@@ -73,28 +81,30 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     other columns are ignored; an empty table gives an empty result.
     """
     held_out = crc_bucket("doc_id", 5) == 0
-    sample = cut(sample_labelled(docs, labels, "toxic", ~held_out, train_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int")))
+    sample = cut(sample_labelled(docs, labels, "toxic", ~held_out, train_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")))
     counts = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     if not 0 < counts.p < counts.n:
         flat = F.lit((counts.p + 1) / (counts.n + 2))
         return docs.select("doc_id", held_out.alias("held_out"), flat.alias("score"), (flat >= 0.5).cast("int").alias("predicted"))
-    of_folds = lexicons(sample)
-    held = docs.sparkSession.sparkContext.broadcast(of_folds)
+    held = docs.sparkSession.sparkContext.broadcast(lexicons(sample))
 
-    def crossed(at: int, t, batch: pa.RecordBatch) -> np.ndarray:
-        fold = batch.column("fold").to_numpy()[at : at + t.rows]
-        return np.where((fold == 0)[:, None], toxicity(t, *held.value[1]), toxicity(t, *held.value[0]))
+    def features(rows: DataFrame, keep: list[str], left_out: int) -> DataFrame:
+        return feature_rows(rows, keep, TOXICITY, lambda at, t, batch: toxicity(t, *held.value[left_out]))
 
+    crossed = [features(sample.where(F.col("fold") == k), ["doc_id", "y"], k) for k in range(FOLDS)]
+    every = crossed[0]
+    for other in crossed[1:]:
+        every = every.unionByName(other)
     vectors = VectorAssembler(inputCols=TOXICITY, outputCol="features")
-    rows = cut(vectors.transform(feature_rows(sample, ["doc_id", "y", "fold"], TOXICITY, crossed)).select("doc_id", "features", F.col("y").cast("double").alias("label")))
+    rows = cut(vectors.transform(every).select("doc_id", "features", F.col("y").cast("double").alias("label")).repartition(PARTS))
     part = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=42, maxBins=64).fit(rows.where(~part))
     probability = lambda df: trees.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
     rest = probability(rows.where(part))
     kinds = rest.agg(F.min("label"), F.max("label")).first()
     steps = IsotonicRegression(featuresCol="p", predictionCol="calibrated").fit(rest if kinds[0] == 0.0 and kinds[1] == 1.0 else probability(rows))
-    scored = steps.transform(probability(vectors.transform(feature_rows(docs, ["doc_id"], TOXICITY, lambda at, t, batch: toxicity(t, *held.value[2])))))
-    final = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.98 * F.col("calibrated") + 0.02 * F.col("p")))  # p orders what the steps tie
+    scored = steps.transform(probability(vectors.transform(features(docs, ["doc_id"], FOLDS))))
+    final = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated")))
     out = scored.select("doc_id", held_out.alias("held_out"), final.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -71,3 +71,27 @@ def test_bradley_terry_orders_by_the_feature_that_decides(spark):
     rows = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("y"), ((F.col("id") % 2) * 2 + F.pmod(F.hash("id"), F.lit(100)) / 50).alias("a"), (F.pmod(F.hash("id", F.lit(1)), F.lit(100)) / 50).alias("b"))
     a, b = quality.fit(rows, ["a", "b"])
     assert a > 1 and abs(b) < a / 2
+
+
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_repeated_ids_and_labels_teach_once(spark, module, label):
+    docs = documents(spark, [prose("aa", 30, i) + (" zorgh kraag ||| 000" if i % 2 else ".") for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], f"doc_id long, {label} int")
+    many = docs.unionByName(docs.where("doc_id in (11, 12)").withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("__k"))
+    want = {r.doc_id: r.score for r in module.score(docs, labels).collect()}
+    got = module.score(many, labels.unionByName(labels.where("doc_id in (11, 12)"))).collect()
+    assert len(got) == 800 and {r.doc_id: r.score for r in got} == want
+
+
+def test_lexicons_equal_their_definition(spark):
+    texts = [(i, f"{prose('aa', 12, i)} {'zorghy kraag' if i % 3 == 0 else ''}", int(i % 3 == 0), i % toxicity.FOLDS) for i in range(120)]
+    got = toxicity.lexicons(spark.createDataFrame(texts, "doc_id long, text string, y int, fold int"))
+    for left_out, (keys, weights) in enumerate(got):
+        own = [(set(features.Text([t]).word) | set(features.Text([t]).stem), y) for _, t, y, f in texts if f != left_out]
+        want, (n1, n0) = {}, (sum(y for _, y in own), sum(1 - y for _, y in own))
+        for h in set().union(*(s for s, _ in own)):
+            p, n = sum(y for s, y in own if h in s), sum(1 - y for s, y in own if h in s)
+            odds = np.log((p + 0.5) / (n1 + 1)) - np.log((n + 0.5) / (n0 + 1))
+            if p >= toxicity.LEAST_ROWS and odds >= toxicity.LEAST_ODDS:
+                want[h] = odds
+        assert len(want) >= 2 and dict(zip(keys, weights, strict=True)) == pytest.approx(want)
