@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +72,19 @@ def lexicons(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def calibration(rows: DataFrame) -> IsotonicRegressionModel:
+    """Isotonic regression of label on p (centred): the steps' values stand at their middles and lines join them, so that two
+    probabilities never tie. Values stay within half a row of 0 and 1, and 0 and 1 stand for themselves."""
+    flat = IsotonicRegression(featuresCol="p").fit(rows)
+    x, y = np.array(flat.boundaries), np.array(flat.predictions)
+    values, step = np.unique(y, return_inverse=True)
+    middle = np.array([(x[step == k].min() + x[step == k].max()) / 2 for k in range(len(values))])
+    least = 0.5 / (rows.count() + 1)
+    inner = [(m, v) for m, v in zip(middle.tolist(), values.clip(least, 1 - least).tolist(), strict=True) if 0 < m < 1]
+    knots = rows.sparkSession.createDataFrame([(0.0, 0.0), *inner, (1.0, 1.0)], "p double, label double")
+    return IsotonicRegression(featuresCol="p", predictionCol="calibrated").fit(knots)
+
+
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of docs.
 
@@ -102,7 +115,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     probability = lambda df: trees.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
     rest = probability(rows.where(part))
     kinds = rest.agg(F.min("label"), F.max("label")).first()
-    steps = IsotonicRegression(featuresCol="p", predictionCol="calibrated").fit(rest if kinds[0] == 0.0 and kinds[1] == 1.0 else probability(rows))
+    steps = calibration(rest if kinds[0] == 0.0 and kinds[1] == 1.0 else probability(rows))
     scored = steps.transform(probability(vectors.transform(features(docs, ["doc_id"], FOLDS))))
     final = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated")))
     out = scored.select("doc_id", held_out.alias("held_out"), final.alias("score"))
