@@ -1,15 +1,27 @@
-"""Lineage cuts for loops."""
+"""Lineage cuts for loops and for tables that are read several times."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
-    return df.checkpoint(eager=True)
+    """df written once as Parquet below the shared folder of ``spark.checkpoint.dir`` and read again.
+
+    Unlike a checkpoint this forgets the size that the optimizer estimated: estimates of joins multiply, and in a loop of joins their
+    digits grow exponentially until planning never ends. A temporary folder is used only where the setting is missing and all of
+    Spark is one local process, as in tests.
+    """
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="factfold-"))
+        folder = sc.getCheckpointDir()
+    at = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
