@@ -4,8 +4,9 @@ A classifier kept as a table (word, one scaled log weight per domain) is learned
 over the domains comes from the mean weight of its words. Nonnegative document rates are then fitted by projected-gradient
 least squares so that the expected token totals of the domains (sum of rate * tokens * posterior) meet the targets.
 
-Each gradient step needs the few totals only, and a rate is a function of its document's posterior and of those steps. So the
-steps are kept as numbers, the rates are an expression, and every round is one aggregation over the narrow posterior table.
+Each gradient step needs the few totals only, so every round is one aggregation over the narrow table of posteriors and rates. The
+rates of STRIDE rounds are one expression; then the table is written anew. The fit ends when the targets are met or when the squares
+fall no more, which is their least where targets can't be met; it raises if neither comes about.
 """
 
 from __future__ import annotations
@@ -21,25 +22,26 @@ from factfold.llm.common import BROADCAST_IDS, cut, read
 #: Bounds: labelled rows that teach (about), words of the table. The table is broadcast, so its rows are bounded. A domain of
 #: which fewer than DOMAIN_ROWS rows would teach gives up to about that many. SUMS is how many sums one aggregation takes.
 TRAIN_ROWS, VOCABULARY, DOMAIN_ROWS, SUMS = 20_000, 20_000, 200, 1_024
-ROUNDS, TOLERANCE, FLATTEN, EVIDENCE, SCALE = 40, 1e-6, 0.7, 25, 1 << 20
+ROUNDS, STRIDE, TOLERANCE, STILL, FLATTEN, EVIDENCE, SCALE = 400, 8, 1e-6, 1e-4, 0.7, 25, 1 << 20
 _SPLIT = r"[\s.,;:!?|()\"']+"
 
 
 def _words(docs: DataFrame, *keep: str) -> DataFrame:
-    return docs.select(*keep, F.explode(F.split(F.lower("text"), _SPLIT)).alias("word")).where("word <> ''")
+    """The words of each row; a row without one has a null word."""
+    return docs.select(*keep, F.explode_outer(F.filter(F.split(F.lower("text"), _SPLIT), lambda w: w != "")).alias("word"))
 
 
 def classifier(docs: DataFrame, domain: str, train_rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> tuple[list[str], list[float], DataFrame]:
     """All domains by name, their shares of the labelled rows and the table (word, w0, w1, ...), from about ``train_rows`` rows and
     DOMAIN_ROWS of each rarer domain."""
-    known = docs.where(F.col(domain).isNotNull() & F.col("text").isNotNull()).select(F.col(domain).cast("string").alias("__domain"), "doc_id", "text")
+    known = docs.where(F.col(domain).isNotNull()).select(F.col(domain).cast("string").alias("__domain"), "doc_id", "text")
     sizes = known.groupBy("__domain").count().orderBy("__domain").collect()
     names, total = [r["__domain"] for r in sizes], sum(r["count"] for r in sizes)
     chance = [int((1 << 20) * min(1.0, max(train_rows / max(total, 1), DOMAIN_ROWS / r["count"]))) for r in sizes]
     at = F.array_position(F.array(*map(F.lit, names)), F.col("__domain")).cast("int") - 1
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (F.array(*map(F.lit, chance))[at] if names else F.lit(0))
     counts = [F.sum((F.col("__domain") == F.lit(name)).cast("long")).alias(f"c{k}") for k, name in enumerate(names)]
-    seen = _words(known.where(part), "__domain").groupBy("word").agg(F.count("*").alias("c"), *counts).where("c > 1")
+    seen = _words(known.where(part), "__domain").where("word is not null").groupBy("word").agg(F.count("*").alias("c"), *counts).where("c > 1")
     table = cut(seen.orderBy(F.desc("c"), "word").limit(vocabulary))
     sums = table.agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(len(names))), F.count("*").alias("n")).first()
     weight = lambda k: F.round((F.log(F.col(f"c{k}") + 0.5) - math.log((sums[f"c{k}"] or 0) + 0.5 * (sums["n"] + 1))) * SCALE).cast("long").alias(f"w{k}")
@@ -47,14 +49,14 @@ def classifier(docs: DataFrame, domain: str, train_rows: int = TRAIN_ROWS, vocab
 
 
 def posteriors(docs: DataFrame, domain: str, **options) -> tuple[list[str], DataFrame]:
-    """The domains and (doc_id, tokens, p: array of posteriors), one row per doc_id.
+    """The domains and (doc_id, tokens, p: array of posteriors), one row per doc_id; without a word p holds the domains' shares.
 
     Words are looked up where they are read and their weights are summed as integers before the shuffle, so one row per
     document moves and the sums don't depend on the order.
     """
     names, shares, table = classifier(docs, domain, **options)
     sums = [F.sum(f"w{k}").alias(f"s{k}") for k in range(len(names))]
-    scored = _words(docs, "doc_id").join(F.broadcast(table), "word", "left").groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count(F.col("w0") if names else F.lit(None)).alias("known"), *sums)
+    scored = _words(docs, "doc_id").join(F.broadcast(table), "word", "left").groupBy("doc_id").agg(F.count("word").alias("tokens"), F.count(F.col("w0") if names else F.lit(None)).alias("known"), *sums)
     mean = lambda k: F.coalesce(F.col(f"s{k}") / F.col("known"), F.lit(0)) / SCALE * F.least(F.col("known"), F.lit(EVIDENCE)) + math.log(shares[k])
     logits = F.array(*(mean(k) for k in range(len(names)))).alias("logits")
     raised = F.transform("logits", lambda x: F.exp(x - F.array_max("logits")))
@@ -63,9 +65,9 @@ def posteriors(docs: DataFrame, domain: str, **options) -> tuple[list[str], Data
     return names, soft.select("doc_id", "tokens", p.alias("p"))
 
 
-def rate_of(steps: list[np.ndarray], p: str = "p") -> Column:
-    """The rate after the given steps, each projected on the nonnegative numbers; all rates start at one."""
-    rate = F.lit(1.0)
+def rate_of(steps: list[np.ndarray], start: Column, p: str = "p") -> Column:
+    """The rate after the given steps, each projected on the nonnegative numbers."""
+    rate = start
     for step in steps:
         change = F.zip_with(p, F.array(*(F.lit(float(v)) for v in step)), lambda a, b: a * b)  # not a sum of terms, whose depth would follow the domains
         rate = F.greatest(F.lit(0.0), rate + F.aggregate(change, F.lit(0.0), lambda a, b: a + b))
@@ -78,16 +80,16 @@ def _sums(soft: DataFrame, terms: list[Column]) -> np.ndarray:
     return np.array([v for row in parts for v in row], float)
 
 
-def fit(soft: DataFrame, names: list[str], weights: dict[str, float] | None, rounds: int = ROUNDS) -> tuple[list[np.ndarray], dict]:
-    """The gradient steps that bring the expected token totals to the targets.
+def fit(soft: DataFrame, names: list[str], weights: dict[str, float] | None, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
+    """soft with the rates (column rate, 1 at first) that bring the expected token totals to the targets, and a report of both.
 
     With weights given by domain (domains not named get none, unknown ones raise) the targets are those shares of all tokens, otherwise the
     present shares raised to FLATTEN. The squares are weighted by the inverse Gram matrix of the posteriors, under which a
     gradient step of length one never overshoots.
     """
-    k = len(names)
+    k, soft = len(names), soft.withColumn("rate", F.lit(1.0))
     if not k:
-        return [], {"targets": {}, "reached": {}}
+        return soft, {"targets": {}, "reached": {}, "rounds": 0}
     if weights and (unknown := sorted(set(weights) - set(names))):
         raise ValueError(f"weights for unknown domains: {unknown}")
     p, above = F.col("p"), [(i, j) for i in range(k) for j in range(i, k)]
@@ -97,38 +99,49 @@ def fit(soft: DataFrame, names: list[str], weights: dict[str, float] | None, rou
         gram[i, j] = gram[j, i] = v
     everything = now.sum()
     if not everything:
-        return [], {"targets": dict.fromkeys(names, 0.0), "reached": dict.fromkeys(names, 0.0)}
+        return soft, {"targets": dict.fromkeys(names, 0.0), "reached": dict.fromkeys(names, 0.0), "rounds": 0}
     wanted = np.array([weights.get(n, 0.0) for n in names], float) if weights else (now / everything) ** FLATTEN
     targets = everything * wanted / max(wanted.sum(), 1e-300)
-    inverse, steps = np.linalg.pinv(gram), []
-    for _ in range(rounds):
-        if np.abs(targets - now).max() <= TOLERANCE * everything:
+    inverse, steps, held, before = np.linalg.pinv(gram, hermitian=True), [], soft, np.inf
+    for done in range(rounds):
+        squares = (targets - now) @ inverse @ (targets - now)
+        if np.abs(targets - now).max() <= TOLERANCE * everything or squares >= before * (1 - STILL):
             break
+        before = squares
         steps.append(inverse @ (targets - now))
-        rate = rate_of(steps)
-        now = _sums(soft.select("tokens", "p", rate.alias("x")), [F.col("tokens") * p[i] * F.col("x") for i in range(k)])
-    return steps, {"targets": dict(zip(names, targets, strict=True)), "reached": dict(zip(names, now, strict=True))}
+        moved = held.withColumn("rate", rate_of(steps, F.col("rate")))
+        if len(steps) == STRIDE:
+            held, steps = cut(moved), []
+            moved = held
+        now = _sums(moved, [F.col("tokens") * p[i] * F.col("rate") for i in range(k)])
+    else:
+        raise RuntimeError(f"rates did not settle in {rounds} rounds")
+    reached = {"targets": dict(zip(names, targets.tolist(), strict=True)), "reached": dict(zip(names, now.tolist(), strict=True)), "rounds": done}
+    return held.withColumn("rate", rate_of(steps, F.col("rate"))), reached
 
 
 def rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, **options) -> DataFrame:
-    """(doc_id, tokens, domain, posterior, rate, copies), one row per doc_id of docs.
+    """(doc_id, tokens, domain, posterior, rate, copies, target, reached), one row per doc_id of docs.
 
     domain is the likeliest (the first by name of equals), posterior its probability. copies is the rate rounded down or up
-    by a hash of doc_id, so that it is the rate on average. Rows that share a doc_id, or have none, count as one document.
-    Null texts and texts without a word hold no tokens and keep rate 1. With no labelled row there is no domain and every
-    rate is 1. Other columns are ignored; an empty table gives an empty result.
+    by a hash of doc_id, so that it is the rate on average. target and reached are the domain's totals of expected tokens that
+    were wanted and that the rates give; they differ where no rates can meet all targets. Rows that share a doc_id, or have
+    none, count as one document. Null texts and texts without a word hold no tokens, have no domain and keep rate 1. With no
+    labelled row there is no domain and every rate is 1. Other columns are ignored; an empty table gives an empty result.
     """
     names, soft = posteriors(docs, domain, **options)
-    soft = cut(soft)
-    steps, _ = fit(soft, names, weights)
+    fitted, report = fit(cut(soft), names, weights)
     best = F.array_max("p")
-    domain_of = F.array(*map(F.lit, names))[F.array_position("p", best).cast("int") - 1] if names else F.lit(None).cast("string")
-    found = soft.select("doc_id", "tokens", domain_of.alias("domain"), (best if names else F.lit(None).cast("double")).alias("posterior"), F.round(rate_of(steps), 9).alias("rate"))
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).select("doc_id")
-    every = ids.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    of = lambda values: (F.array(*map(F.lit, values))[F.array_position("p", best).cast("int") - 1] if names else F.lit(None))
+    some = lambda c, kind: F.when(F.col("tokens") > 0, c).cast(kind)
+    rate = F.when(F.col("tokens") > 0, F.round("rate", 9)).otherwise(1.0)
+    found = fitted.select(
+        "doc_id", "tokens", some(of(names), "string").alias("domain"), some(best if names else F.lit(None), "double").alias("posterior"), rate.alias("rate"),
+        *(some(of([report[c][n] for n in names]), "double").alias(c[:-1] if c == "targets" else c) for c in ("targets", "reached")),
+    )
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
-    rate = F.coalesce("rate", F.lit(1.0))
-    return every.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens"), "domain", "posterior", rate.alias("rate"), (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).alias("copies"))
+    copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
+    return found.select("doc_id", "tokens", "domain", "posterior", "rate", copies, "target", "reached")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

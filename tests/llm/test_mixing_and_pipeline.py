@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -26,12 +27,66 @@ def test_fit_equals_projected_gradient_in_numpy(spark):
     p, tokens = rng.dirichlet([0.3, 0.3, 0.3], 200), rng.integers(1, 100, 200)
     soft = spark.createDataFrame([(i, int(t), row.tolist()) for i, (t, row) in enumerate(zip(tokens, p, strict=True))], "doc_id long, tokens long, p array<double>")
     wanted = {"a": 0.4, "b": 0.35, "c": 0.25}
-    steps, report = mixing.fit(soft, ["a", "b", "c"], wanted)
-    rate = np.ones(200)
-    for s in steps:
-        rate = np.maximum(0, rate + p @ s)
-    assert (tokens * rate) @ p == pytest.approx(np.array([*wanted.values()]) * tokens.sum(), rel=1e-3)
+    fitted, report = mixing.fit(soft, ["a", "b", "c"], wanted)
+    rate = np.array([r.rate for r in fitted.orderBy("doc_id").collect()])
+    assert (rate >= 0).all() and (tokens * rate) @ p == pytest.approx(np.array([*wanted.values()]) * tokens.sum(), rel=1e-3)
     assert list(report["reached"].values()) == pytest.approx(((tokens * rate) @ p).tolist())
+    assert rate == pytest.approx(plain_rates(p, tokens, np.array([*wanted.values()]), report["rounds"]), abs=1e-6)
+
+
+def plain_rates(p, tokens, wanted, rounds):
+    """Projected gradient steps as the definition says them."""
+    target, inverse, rate = tokens.sum() * wanted / wanted.sum(), np.linalg.pinv((p * tokens[:, None]).T @ p, hermitian=True), np.ones(len(p))
+    for _ in range(rounds):
+        rate = np.maximum(0, rate + p @ (inverse @ (target - (tokens * rate) @ p)))
+    return rate
+
+
+def test_targets_that_can_not_be_met_end_at_the_least_squares(spark):
+    p, tokens = np.array([[0.7, 0.3]] * 30 + [[0.6, 0.4]] * 30), np.full(60, 10)
+    soft = spark.createDataFrame([(i, 10, row.tolist()) for i, row in enumerate(p)], "doc_id long, tokens long, p array<double>")
+    fitted, report = mixing.fit(soft, ["a", "b"], {"b": 1.0})
+    rate = np.array([r.rate for r in fitted.orderBy("doc_id").collect()])
+    assert report["targets"] == {"a": 0.0, "b": 600.0} and report["reached"]["a"] > 100
+    residual = lambda r: (d := np.array([0.0, 600.0]) - (tokens * r) @ p) @ np.linalg.pinv((p * tokens[:, None]).T @ p) @ d
+    best = plain_rates(p, tokens, np.array([0.0, 1.0]), 5_000)
+    assert residual(rate) <= residual(best) * 1.01
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.fit(soft, ["a", "b"], {"b": 1.0}, rounds=1)
+
+
+def test_query_equals_numpy(spark, data):
+    """The whole operator in plain Python: word table, posteriors, steps, rounding."""
+    rows = [(r.doc_id, r.text or "", r.lang) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    split = lambda t: [w for w in re.split(mixing._SPLIT, t.lower()) if w]
+    names = sorted({lang for *_, lang in rows if lang})
+    shares = np.array([sum(lang == n for *_, lang in rows) for n in names], float)
+    shares /= shares.sum()
+    seen = {}
+    for _, text, lang in rows:
+        for w in split(text) if lang else ():
+            seen.setdefault(w, np.zeros(len(names)))[names.index(lang)] += 1
+    table = dict(sorted(((w, c) for w, c in seen.items() if c.sum() > 1), key=lambda x: (-x[1].sum(), x[0]))[: mixing.VOCABULARY])
+    sums = sum(table.values()) + 0.5 * (len(table) + 1)
+    weight = {w: np.round((np.log(c + 0.5) - np.log(sums)) * mixing.SCALE) for w, c in table.items()}
+    p, tokens = [], []
+    for _, text, _ in rows:
+        own = [weight[w] for w in split(text) if w in weight]
+        logit = (np.sum(own, axis=0) / len(own) / mixing.SCALE if own else 0) * min(len(own), mixing.EVIDENCE) + np.log(shares)
+        p.append(np.exp(logit - logit.max()) / np.exp(logit - logit.max()).sum())
+        tokens.append(len(split(text)))
+    p, tokens = np.array(p), np.array(tokens)
+    now = tokens @ p
+    got = {r.doc_id: r for r in mixing.op8_mixing(spark, data).collect()}
+    _, report = mixing.fit(spark.createDataFrame([(i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p, strict=True))], "doc_id long, tokens long, p array<double>"), names, None)
+    rate = plain_rates(p, tokens, (now / now.sum()) ** mixing.FLATTEN, report["rounds"])
+    assert len(got) == len(rows)
+    for (i, _, _), x, t, row in zip(rows, rate, tokens, p, strict=True):
+        assert got[i].tokens == t
+        if t:
+            assert got[i].domain == names[row.argmax()] and got[i].posterior == pytest.approx(row.max(), abs=1e-6)
+            assert got[i].rate == pytest.approx(x, abs=1e-5) and got[i].reached == pytest.approx(got[i].target, rel=1e-4)
+        assert got[i].copies in (int(got[i].rate), int(got[i].rate) + 1)
 
 
 def test_mix_repeats_rows_by_their_copies(spark):
@@ -85,7 +140,7 @@ def test_every_stage_stands_odd_rows(spark, data, case):
 
 def test_cut_uses_the_folder_that_the_session_names(spark):
     assert common.cut(spark.range(3)).agg(F.sum("id")).first()[0] == 3
-    assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
+    assert all(spark.conf.get("spark.checkpoint.dir") in f for f in common.cut(spark.range(3)).inputFiles())
 
 
 def test_every_domain_is_kept_and_unknown_ones_raise(spark):
