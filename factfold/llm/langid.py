@@ -5,7 +5,7 @@ sums meet by (language, n-gram). The Kneser-Ney quantities of every order (disco
 are DataFrame aggregations of those counts. All n-grams become sorted hash arrays with one row of log probabilities per n-gram,
 a column per language. About ``max_grams`` of them (the bound of what is broadcast) make one part; a larger model takes several
 passes over the texts, whose log probabilities add up. A text gets the language of lowest cross-entropy per character.
-Temperature and rejection limits are set on all training texts.
+Temperature and rejection limits are set on a tenth of the training texts that is not counted.
 
 The parts are ranges of the n-grams' contexts read backwards, so that an n-gram meets all it backs off to in its own part but
 for the contexts that the first of the range ends with, which are added to it. Each character of a text belongs to one part.
@@ -25,8 +25,11 @@ from factfold.llm.common import crc_bucket, cut, join_ids, read
 
 ORDER, MAX_GRAMS, CHUNK, SPACE = 4, 600_000, 250_000, 32
 UNKNOWN, END, SCALES = "und", (1 << 63) - 1, (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
-#: Languages of fewer training rows than this also take the limit of all languages together, if it is wider.
-FEW, QUANTILE, ACCURACY = 1_000, 0.999, 100_000
+#: A language of fewer training rows than this has all of them counted; its limit then stands on counted texts, so it is widened, and
+#: is that of all languages together if that is wider. One row in ASIDE of the others is not counted.
+FEW, ASIDE, QUANTILE, ACCURACY, WIDER, WIDEST = 1_000, 10, 0.999, 100_000, 1.25, 1.5
+#: N-grams of all languages that a counting task holds before it passes them on.
+HELD = 400_000
 
 
 @cache
@@ -97,7 +100,16 @@ def place():
 
 
 def count_grams(train: DataFrame, order: int) -> DataFrame:
-    """(lang, g, c) over all rows of train: each task adds up its own rows before the shuffle."""
+    """(lang, g, c) over all rows of train: each task adds up its own rows before the shuffle, HELD n-grams at a time."""
+
+    def given(sums: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for one, (_, rows, c) in sums.items():
+            text = rows.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            g = [text[i : i + order] for i in range(0, len(text), order)]
+            for k in range(0, len(g), 50_000):
+                part = g[k : k + 50_000]
+                yield pa.record_batch([pa.array([one] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(c[k : k + 50_000], pa.int64())], ["lang", "g", "c"])
+        sums.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -115,12 +127,9 @@ def count_grams(train: DataFrame, order: int) -> DataFrame:
                         h, first, back = np.unique(np.concatenate([h0, h]), return_index=True, return_inverse=True)
                         rows, c = np.concatenate([rows0, rows])[first], np.bincount(back, np.concatenate([c0, c])).astype(np.int64)
                     sums[one] = h, rows, c
-        for one, (_, rows, c) in sums.items():
-            text = rows.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-            g = [text[i : i + order] for i in range(0, len(text), order)]
-            for k in range(0, len(g), 50_000):
-                part = g[k : k + 50_000]
-                yield pa.record_batch([pa.array([one] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(c[k : k + 50_000], pa.int64())], ["lang", "g", "c"])
+                    if sum(len(h) for h, *_ in sums.values()) > HELD:
+                        yield from given(sums)
+        yield from given(sums)
 
     return train.select("lang", "text").mapInArrow(run, "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
@@ -289,17 +298,17 @@ class Rule:
     def __init__(self, langs: list[str], scale: float = 1.0):
         self.langs, self.scale, self.limits = langs, scale, np.full(len(langs), np.inf)
 
-    def calibrate(self, scored: DataFrame) -> None:
+    def calibrate(self, scored: DataFrame, few: list[str] | tuple[str, ...] = ()) -> None:
         """Set the scale by log loss over all rows of scored (taught, size, entropy) with a language, and each language's
-        rejection limit beyond nearly all it has seen there."""
+        rejection limit beyond nearly all it has seen there; those of few rows are named."""
         width, index = len(self.langs), {x: k for k, x in enumerate(self.langs)}
         own = F.col("entropy")[F.array_position(F.array(*map(F.lit, self.langs)), F.col("taught")).cast("int") - 1]
         known = scored.where("taught is not null and size > 0").withColumn("own", own)
-        cube = known.rollup("taught").agg(F.count("*").alias("n"), F.percentile_approx("own", QUANTILE, ACCURACY).alias("q")).collect()
+        cube = known.rollup("taught").agg(F.percentile_approx("own", QUANTILE, ACCURACY).alias("q")).collect()
         pooled = next((r.q for r in cube if r.taught is None), None)
         for r in cube:
             if r.taught is not None:
-                self.limits[index[r.taught]] = 1.5 * (max(r.q, pooled) if r.n < FEW else r.q)
+                self.limits[index[r.taught]] = WIDEST * max(r.q, pooled) if r.taught in few else WIDER * r.q
         if pooled is None:
             return
         rules = [Rule(self.langs, scale) for scale in SCALES]
@@ -335,12 +344,16 @@ def _matrix(column: pa.Array, langs: int) -> np.ndarray:
 
 def judged(docs: DataFrame, *keep: str, **options) -> DataFrame:
     """(*keep, lang_pred, score, rejected) for each row of docs, after training on those not held out."""
-    parts = train(docs.where(~held_out()), **options)
-    known = ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    scored = score(docs.withColumn("__taught", F.when(known, F.col("lang"))), parts, *keep, "__taught")
+    taught = ~held_out() & F.col("lang").isNotNull()
+    sizes = docs.where(taught).groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") < FEW).collect()
+    few = sorted(r.lang for r in sizes)
+    of_few, known = F.col("lang").isin(few), taught & F.col("text").isNotNull()
+    aside = F.pmod(F.xxhash64("doc_id", "text", F.lit("aside")), F.lit(ASIDE)) == 0
+    parts = train(docs.where(known & (of_few | ~aside)), **options)
+    scored = score(docs.withColumn("__taught", F.when(known & (of_few | aside), F.col("lang"))), parts, *keep, "__taught")
     rule, width = Rule(parts.langs), len(parts.langs)
     if width:
-        rule.calibrate(scored.withColumnRenamed("__taught", "taught"))
+        rule.calibrate(scored.withColumnRenamed("__taught", "taught"), few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -124,5 +125,70 @@ def test_a_rare_language_rejects_too(spark):
 def test_every_language_gets_a_limit(spark):
     rows = [("aa", 50, [1.0, 9.0])] * 9_000 + [("bb", 50, [9.0, 0.2])]
     rule = langid.Rule(["aa", "bb"])
-    rule.calibrate(spark.createDataFrame(rows, "taught string, size long, entropy array<double>"))
-    assert rule.limits.tolist() == [1.5, 1.5]
+    rule.calibrate(spark.createDataFrame(rows, "taught string, size long, entropy array<double>"), ["bb"])
+    assert rule.limits.tolist() == [langid.WIDER, langid.WIDEST]
+
+
+def test_ties_go_to_the_first_language_by_name(spark):
+    texts = [prose("aa", 30, i // 2) for i in range(60)]
+    rows = langid.identify(documents(spark, texts, ["yy" if i % 2 else "xx" for i in range(60)], first=1_000)).collect()
+    twins = langid.Rule(["xx", "yy"])
+    assert twins.decide(np.array([10, 10]), np.array([[2.0, 2.0], [3.0, 2.0]]))[0] == ["xx", "yy"]
+    assert len(rows) == 60 and {r.lang_pred for r in rows} <= {"xx", "yy"}
+
+
+def test_query_equals_the_definition(spark, data):
+    """All predictions and scores from plain dictionaries."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", langid.held_out().alias("held")).collect()
+    spelled = {r.doc_id: "".join(map(chr, langid.characters([r.text or ""])[0])) for r in docs}
+    langs, order = sorted({r.lang for r in docs if r.lang and not r.held}), langid.ORDER
+    models = []
+    for lang in langs:
+        level = Counter()
+        for r in docs:
+            if r.lang == lang and not r.held and r.text is not None:
+                s = " " * (order - 1) + spelled[r.doc_id]
+                level.update(s[i : i + order] for i in range(len(s) - order + 1))
+        levels = {}
+        for n in range(order, 0, -1):
+            levels[n] = level
+            level = Counter(g[1:] for g in level)
+        models.append(levels)
+    alphabet = max(1, len(set().union(*(m[1] for m in models))))
+    discount, total, kinds = [], [], []
+    for m in models:
+        of = {n: Counter(m[n].values()) for n in m}
+        discount.append({n: of[n][1] / (of[n][1] + 2 * of[n][2]) if of[n][1] and of[n][2] else 0.5 for n in m})
+        total.append({n: Counter() for n in m})
+        kinds.append({n: Counter(g[:-1] for g in m[n]) for n in m})
+        for n in m:
+            for g, c in m[n].items():
+                total[-1][n][g[:-1]] += c
+
+    @cache
+    def p(k, g):
+        n = len(g)
+        lower = p(k, g[1:]) if n > 1 else 1 / (alphabet + 1)
+        if not (t := total[k][n][g[:-1]]):
+            return lower
+        own = max(models[k][n][g] - discount[k][n], 1e-9) / t if g in models[k][n] else 0
+        return own + discount[k][n] * kinds[k][n][g[:-1]] / t * lower
+
+    entropy = {}
+    for i, s in spelled.items():
+        padded = " " * (order - 1) + s
+        entropy[i] = np.array([-sum(math.log(p(k, padded[j : j + order])) for j in range(len(s))) / max(len(s), 1) for k in range(len(langs))])
+    size = np.array([len(spelled[r.doc_id]) for r in docs])
+    every = np.stack([entropy[r.doc_id] for r in docs])
+    taught = [(j, langs.index(r.lang)) for j, r in enumerate(docs) if r.lang and not r.held and size[j]]  # all languages have few rows here
+    rules = [langid.Rule(langs, scale) for scale in langid.SCALES]
+    loss = [-sum(math.log(max(x[j, k], 1e-12)) for j, k in taught) for x in (r.posterior(size, every) for r in rules)]
+    posterior = rules[int(np.argmin(loss))].posterior(size, every)
+    got = {r.doc_id: r for r in langid.op3_language_id(spark, data).collect()}
+    assert len(got) == len(docs)
+    for j, r in enumerate(docs):
+        best = int(every[j].argmin())
+        if size[j]:
+            assert got[r.doc_id].lang_pred == langs[best] and got[r.doc_id].score == pytest.approx(posterior[j, best], abs=1e-3)
+        else:
+            assert got[r.doc_id].lang_pred == "und"
