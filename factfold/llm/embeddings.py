@@ -9,8 +9,10 @@ double precision. Classes drawn without regard to the result are audited against
 of links or of classes, widens the search. If it is still below after the last round, or too few of the drawn classes link with
 anything to tell, every class is compared with all members of every shard that can hold a partner, which misses none.
 
-A shard task holds about ``shard_rows`` members; larger clusters are split by hash and searched in all their parts. A task
-gives one row per searched class and a spanning star per linked group, never the pairs of a group.
+A shard of more than SPLIT times ``shard_rows`` members is clustered again, by centroids of a bounded sample of its own, until none
+is left; at every level a class goes down to the shards that it is near to and to those that may hold a partner. So shards keep their
+size at any number of vectors. Where many classes are searched in one shard they are dealt to several tasks, each with all members of
+it. A task gives one row per searched class and a spanning star per linked group, never the pairs of a group.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from factfold.llm.common import components, cut, read
 
 THRESHOLD, SHARD_ROWS, SAMPLE, MAX_CENTROIDS = 0.9, 600, 16_384, 2_048
+#: Splitting of large shards: from how many times SHARD_ROWS on, into how many at most, rows of its sample, rows dealt at a time, levels.
+SPLIT, FANOUT, SHARD_SAMPLE, DEALT, LEVELS = 4, 32, 2_048, 20_000, 16
 DEGREE, NEAREST, ALPHA, BEAM, SLACK, MARGIN = 24, 48, 1.2, 24, 0.1, 1.0
 AUDIT_ROWS, AUDIT_LINKED, RECALL, ROUNDS, BLOCK = 4_096, 50, 0.98, 4, 256
-ROUTED = "shard int, rep long, e array<float>, n long, member boolean, home boolean"
+ROUTED = "shard string, rep long, e {}, n long, member boolean, home boolean"
 
 
 def _unit(rows) -> np.ndarray:
@@ -128,22 +132,24 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search(shard: pd.DataFrame, threshold: float, beam: int | None) -> pd.DataFrame:
-    """(rep, links, root): for each class searched in this shard, the vectors linked to it that are at home here, and the
+    """(rep, links, root): for each class searched in this task, the vectors linked to it that are at home in its shard, and the
     smallest class of its linked group here. Without a beam every member is compared."""
     shard = shard.sort_values(["member", "rep"], ascending=[False, True], kind="stable")
     ids, x, n = shard["rep"].to_numpy(), _unit(shard["e"]), shard["n"].to_numpy()
+    asks = np.flatnonzero(shard["asks"].to_numpy(bool))
     m, home = int(shard["member"].sum()), shard["home"].to_numpy(bool)
     if not m:
-        return pd.DataFrame({"rep": ids, "links": np.zeros(len(ids), np.int64), "root": ids})
+        return pd.DataFrame({"rep": ids, "links": np.zeros(len(ids), np.int64), "root": ids})  # none of it has a home here
     if beam:
         place = pd.Series(np.arange(m), ids[:m])
         lists = [place.reindex(np.asarray(a if a is not None else [], np.int64)).dropna().to_numpy().astype(np.int64) for a in shard["nbrs"].iloc[:m]]
         c = centroids(x[:m], min(8, m), 4)
         starts = np.unique((x[:m] @ c.T).argmax(axis=0))
     links, left, right = np.zeros(len(ids), np.int64), [], []
-    for i in range(0, len(x), BLOCK):
-        q, v = greedy_search(x[:m], lists, starts, x[i : i + BLOCK], threshold, beam) if beam else np.nonzero(x[i : i + BLOCK] @ x[:m].T >= threshold - 1e-9)
-        q = q + i
+    for i in range(0, len(asks), BLOCK):
+        block = asks[i : i + BLOCK]
+        q, v = greedy_search(x[:m], lists, starts, x[block], threshold, beam) if beam else np.nonzero(x[block] @ x[:m].T >= threshold - 1e-9)
+        q = block[q]
         for j in range(0, len(q), 200_000):
             a, b = q[j : j + 200_000], v[j : j + 200_000]
             ok = (ids[a] != ids[b]) & home[b] & (np.einsum("ij,ij->i", x[a], x[b]) >= threshold)
@@ -153,57 +159,97 @@ def search(shard: pd.DataFrame, threshold: float, beam: int | None) -> pd.DataFr
     order = np.argsort(ids, kind="stable")  # so that the smallest vertex is the smallest class
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
-    root = _roots(len(ids), back[np.concatenate(left)], back[np.concatenate(right)])[back]
-    return pd.DataFrame({"rep": ids, "links": links, "root": ids[order][root]})
+    none = [np.zeros(0, np.int64)]
+    root = ids[order][_roots(len(ids), back[np.concatenate(left + none)], back[np.concatenate(right + none)])[back]]
+    linked = root != ids  # a member that only serves others has no row but for its group
+    keep = linked | np.isin(np.arange(len(ids)), asks)
+    return pd.DataFrame({"rep": ids[keep], "links": links[keep], "root": root[keep]})
 
 
-def route(classes: DataFrame, c: np.ndarray, threshold: float, margin: float, parts: np.ndarray) -> DataFrame:
-    """ROUTED rows: each class to the shards that it is a member of and to those in which it is searched.
+def _dealt(x: np.ndarray, c: np.ndarray, member: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cluster, is member, is nearest) of the clusters that each vector goes to: members to the two nearest, and all to
+    those in which a partner may be at home.
 
     A vector within the threshold's angle of q is nearer to centroid c than to q's own only if q lies within
-    tan(angle) * |c - own| of the plane between them; ``margin`` standard deviations of a random direction bound the part of
-    tan(angle) that points there. From the square root of the dimension on the bound is whole, and no partner is missed.
+    tan(angle) * |c - own| of the plane between them.
     """
-    reach = math.sqrt(1 - threshold * threshold) / threshold * min(1.0, margin / math.sqrt(c.shape[1]))
-    offsets = np.concatenate([[0], np.cumsum(parts)])
+    dots = x @ c.T
+    near = np.argsort(-dots, axis=1, kind="stable")[:, :2]
+    own = near[:, 0]
+    gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T)[own], 0))
+    asked = dots[np.arange(len(own)), own][:, None] - dots <= reach * gap + 1e-9
+    inside = np.zeros(dots.shape, bool)
+    np.put_along_axis(inside, near, True, 1)
+    inside &= member[:, None]
+    row, cluster = np.nonzero(asked | inside)
+    return row, cluster, inside[row, cluster], own[row] == cluster
+
+
+def route(classes: DataFrame, c: np.ndarray, reach: float) -> DataFrame:
+    """ROUTED rows: each class to the shards that it is a member of and to those in which it is searched."""
 
     def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            dots = _unit(batch["e"]) @ c.T
-            near = np.argsort(-dots, axis=1, kind="stable")[:, :2]
-            own = near[:, 0]
-            gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T)[own], 0))
-            asked = dots[np.arange(len(own)), own][:, None] - dots <= reach * gap + 1e-9
-            member = np.zeros(dots.shape, bool)
-            np.put_along_axis(member, near, True, 1)
-            row, cluster = np.nonzero(asked | member)
-            rep, n = batch["rep"].to_numpy(), batch["n"].to_numpy()
-            part = (rep * 2654435761 % (1 << 31))[row] % parts[cluster]  # where a member of a split cluster belongs
-            for at in range(int(parts.max())):
-                ok = at < parts[cluster]
-                r, k, inside = row[ok], cluster[ok], member[row[ok], cluster[ok]] & (part[ok] == at)
-                keep = inside | asked[r, k]
-                r, k, inside = r[keep], k[keep], inside[keep]
-                yield pd.DataFrame({"shard": (offsets[k] + at).astype(np.int32), "rep": rep[r], "e": batch["e"].iloc[r].to_numpy(), "n": n[r], "member": inside, "home": inside & (own[r] == k)})
-
-    return classes.select("rep", "e", "n").mapInPandas(run, ROUTED)
+            if len(batch):
+                row, cluster, inside, nearest = _dealt(_unit(batch["e"]), c, np.ones(len(batch), bool), reach)
+                yield pd.DataFrame({"shard": cluster.astype(str), "rep": batch["rep"].to_numpy()[row], "e": batch["e"].iloc[row].to_numpy(), "n": batch["n"].to_numpy()[row], "member": inside, "home": inside & nearest})
+
+    return classes.select("rep", "e", "n").mapInPandas(run, ROUTED.format(classes.schema["e"].dataType.simpleString()))
+
+
+def split(routed: DataFrame, reach: float, shard_rows: int) -> DataFrame:
+    """routed with every shard of more than SPLIT * shard_rows members at home clustered again, until there is none.
+
+    A shard's centroids come from a bounded sample of it; its rows are dealt in blocks, so that no task holds a shard.
+    """
+    kind = routed.schema["e"].dataType.simpleString()
+
+    def fit(sample: pd.DataFrame) -> pd.DataFrame:
+        k = min(FANOUT, len(sample), int(-(-sample["homes"].iloc[0] // shard_rows)))
+        return pd.DataFrame({"shard": [sample["shard"].iloc[0]], "blocks": [int(sample["blocks"].iloc[0])], "c": [centroids(_unit(sample.sort_values("rep")["e"]), k).ravel().tolist()]})
+
+    def deal(rows: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"shard": [], "rep": np.zeros(0, np.int64), "e": [], "n": np.zeros(0, np.int64), "member": np.zeros(0, bool), "home": np.zeros(0, bool)})
+        x = _unit(rows["e"])
+        c = np.array(fits["c"].iloc[0], float).reshape(-1, x.shape[1])
+        row, cluster, inside, nearest = _dealt(x, c, rows["member"].to_numpy(bool), reach)
+        names = np.array([f"{fits['shard'].iloc[0]}.{k}" for k in range(len(c))], object)
+        own = {k: rows[k].to_numpy()[row] for k in ("rep", "e", "n", "home")}
+        return pd.DataFrame({"shard": names[cluster], "rep": own["rep"], "e": own["e"], "n": own["n"], "member": inside, "home": own["home"].astype(bool) & nearest})
+
+    for level in range(LEVELS):
+        size = routed.groupBy("shard").agg(F.count_if("home").alias("homes"), F.ceil(F.count("*") / DEALT).cast("int").alias("blocks"))
+        heavy = cut(size.where(F.col("homes") > SPLIT * shard_rows))
+        if heavy.isEmpty():
+            break
+        chance = F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 20)) < (1 << 20) * F.least(F.lit(1.0), SHARD_SAMPLE / F.col("homes"))
+        fits = routed.where("home").join(heavy, "shard").where(chance).select("shard", "rep", "e", "homes", "blocks").groupBy("shard").applyInPandas(fit, "shard string, blocks int, c array<double>")
+        fits = cut(fits)
+        each = fits.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "c")
+        rows = routed.join(fits.select("shard", "blocks"), "shard").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+        dealt = rows.groupBy("shard", "block").cogroup(each.groupBy("shard", "block")).applyInPandas(deal, ROUTED.format(kind))
+        routed = cut(routed.join(fits.select("shard"), "shard", "left_anti").unionByName(dealt))
+    return routed
 
 
 def _linked(classes: DataFrame, total: int, threshold: float, margin: float, beam: int | None, shard_rows: int) -> DataFrame:
+    """What ``search`` finds in all shards. ``margin`` standard deviations of a random direction bound the part of tan(angle) that
+    points to a centroid; from the square root of the dimension on the bound is whole, and no partner is missed."""
     k = max(1, min(MAX_CENTROIDS, math.ceil(total / shard_rows)))
     part = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / total))
     sample = classes.where(part).select("e").limit(2 * SAMPLE).toPandas()["e"]
     c = centroids(_unit(sample if len(sample) else classes.limit(1).toPandas()["e"]), k)
-    sizes = np.bincount((_unit(sample) @ c.T).argmax(axis=1), minlength=len(c)) if len(sample) else np.ones(len(c))
-    parts = np.maximum(1, np.ceil(sizes / max(sizes.sum(), 1) * total / (4 * shard_rows))).astype(int)
-    routed = cut(route(classes, c, threshold, margin, parts))
+    reach = math.sqrt(1 - threshold * threshold) / threshold * min(1.0, margin / math.sqrt(c.shape[1]))
+    routed = split(cut(route(classes, c, reach)), reach, shard_rows)
+    asked = routed.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("member")) / (SPLIT * shard_rows))).cast("int").alias("blocks"))
+    dealt = routed.join(asked, "shard").select("*", F.when(F.col("member"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))).alias("into"))
+    tasks = dealt.select("shard", "rep", "e", "n", "member", "home", F.explode("into").alias("block")).withColumn("asks", ~F.col("member") | (F.col("block") == 0))
     if not beam:
-        return routed.withColumn("nbrs", F.lit(None).cast("array<long>")).groupBy("shard").applyInPandas(lambda s: search(s, threshold, None), "rep long, links long, root long")
+        return tasks.withColumn("nbrs", F.lit(None).cast("array<long>")).groupBy("shard", "block").applyInPandas(lambda s: search(s, threshold, None), "rep long, links long, root long")
     lists = routed.where("member").groupBy("shard").applyInPandas(lambda m: build(m), "rep long, nbrs array<long>")
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
-    return routed.join(united, "rep", "left").groupBy("shard").applyInPandas(lambda s: search(s, threshold, beam), "rep long, links long, root long")
+    return tasks.join(united, "rep", "left").groupBy("shard", "block").applyInPandas(lambda s: search(s, threshold, beam), "rep long, links long, root long")
 
 
 def _audit(classes: DataFrame, found: DataFrame, threshold: float, rows: int, total: int) -> float:
@@ -237,40 +283,47 @@ def _audit(classes: DataFrame, found: DataFrame, threshold: float, rows: int, to
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per row of vectors (vec_id, embedding).
+    """(vec_id, n_links, component_id, kept, recall), one row per row of vectors (vec_id, embedding).
 
     Null, empty and zero vectors, those with a null or non-finite component, and rows with a null vec_id link with nothing;
     vectors of different lengths don't link with each other. Equal vectors are linked; rows repeated as a whole count once
-    as partners. An empty table gives an empty result; other columns are ignored.
+    as partners. Components of type float stay so, others are doubles; cosines are doubles. recall is the least that the audit
+    found for any length of vectors, 1 where all were compared. An empty table gives an empty result; other columns are ignored.
     """
     e = F.col("embedding")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    e = e.cast(kind)
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     valid = F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, bad) & F.exists(e, lambda v: v != 0)
-    rows = vectors.select("vec_id", F.when(valid, e.cast("array<float>")).alias("e"))
-    once = rows.where("e is not null").groupBy("e", "vec_id").agg(F.count("*").alias("c"))
-    classes = cut(once.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    parts = []
+    keyed = vectors.select("vec_id", F.when(valid, e).alias("e"))
+    keyed = keyed.select("vec_id", "e", F.when(F.col("e").isNotNull(), F.xxhash64("e", F.lit(1))).alias("h"), F.when(F.col("e").isNotNull(), F.xxhash64(F.lit(2), "e")).alias("g"))
+    rows, key = cut(keyed.select("vec_id", "h", "g")), ["h", "g"]  # 128 bits stand for a vector, which is moved once
+    count = rows.where("h is not null").distinct().groupBy(*key).agg(F.count("*").alias("n"))
+    classes = cut(keyed.where("h is not null").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.first("e").alias("e")).join(count, key))
+    parts, recall = [], 1.0
     for r in classes.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).collect():
-        own = classes.where(F.size("e") == r.d)
+        own = classes.where(F.size("e") == r.d).select("rep", "e", "n")
         for k in range(ROUNDS):
             found = cut(_linked(own, r.n, threshold, MARGIN * 2**k, BEAM * 2**k, shard_rows))
             sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-            if _audit(own, sums, threshold, AUDIT_ROWS, r.n) >= RECALL:
+            reached = _audit(own, sums, threshold, AUDIT_ROWS, r.n)
+            if reached >= RECALL:
+                recall = min(recall, reached)
                 break
         else:
             found = cut(_linked(own, r.n, threshold, math.inf, None, shard_rows))
         parts.append(found)
     if not parts:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(recall).alias("recall"))
     found = parts[0]
     for one in parts[1:]:
         found = found.unionByName(one)
     group = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.join(sums, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = cut(of_class.select("e", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    out = rows.join(of_class, "e", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    of_class = classes.select(*key, "rep", "n").join(sums, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
+    of_class = cut(of_class.select(*key, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    out = rows.join(of_class, key, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).withColumn("recall", F.lit(recall))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

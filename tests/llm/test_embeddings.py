@@ -1,16 +1,19 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
 from factfold.llm import embeddings
 
 
-def plain(rows):
+def plain(rows, kind=np.float32):
     """(n_links, component) by vec_id, by brute force."""
     good = {i: np.array(v, float) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = list(good)
-    x = np.stack([good[i].astype(np.float32).astype(float) for i in ids])
+    x = np.stack([good[i].astype(kind).astype(float) for i in ids])
+    x /= np.abs(x).max(axis=1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.9
     np.fill_diagonal(near, False)
@@ -91,3 +94,34 @@ def test_the_last_way_is_exact(spark, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=40).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain(rows)
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_shards_are_split_until_they_are_small(spark, monkeypatch, exact):
+    monkeypatch.setattr(embeddings, "MAX_CENTROIDS", 2)
+    monkeypatch.setattr(embeddings, "FANOUT", 4)
+    monkeypatch.setattr(embeddings, "DEALT", 200)
+    if exact:
+        monkeypatch.setattr(embeddings, "RECALL", 2.0)
+        monkeypatch.setattr(embeddings, "ROUNDS", 1)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.repeat(rng.normal(size=(300, 12)), 2, 0) + 0.12 * rng.normal(size=(600, 12)), rng.normal(size=12) + 0.1 * rng.normal(size=(300, 12))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got, want = {r.vec_id: r for r in embeddings.near_vectors(df, shard_rows=30).collect()}, plain(rows)
+    if exact:
+        assert {i: (r.n_links, r.component_id) for i, r in got.items()} == want
+    assert sum(r.n_links for r in got.values()) >= 0.98 * sum(n for n, _ in want.values())
+    assert {r.recall for r in got.values()} <= {1.0} or min(r.recall for r in got.values()) >= embeddings.RECALL
+    classes = spark.createDataFrame([(i, v, 1) for i, v in rows], "rep long, e array<float>, n long")
+    split = embeddings.split(embeddings.route(classes, embeddings.centroids(embeddings._unit(x), 2), 0.3), 0.3, 30)
+    homes = split.where("home").groupBy("shard").count().collect()
+    assert sum(r["count"] for r in homes) == len(rows) and max(r["count"] for r in homes) <= 120
+
+
+def test_doubles_stay_doubles_and_lengths_stay_apart(spark):
+    rows = [(0, [1e300, 0.0]), (1, [1e-300, 0.0]), (2, [1.0, 1e-9]), (3, [0.9, math.sqrt(1 - 0.81) * (1 - 1e-9)]), (4, [0.9, math.sqrt(1 - 0.81) * (1 + 1e-9)]), (5, [1.0, 0.0, 0.0]), (6, [2.0, 1e-9, 0.0]), (7, [-1.0, 0.0]), (8, [1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    flat = plain([r for r in rows if len(r[1]) == 2], float)
+    assert {i: got[i] for i in flat} == flat and flat[0][0] in (3, 4)
+    assert got[5] == got[6] == (1, 5) and got[8] == (0, 8)
