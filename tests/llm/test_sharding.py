@@ -32,6 +32,15 @@ def test_whole_table_is_placed_evenly_and_gapless(spark, data):
     assert max(bytes_of.values()) - min(bytes_of.values()) <= 2 * max(r.size for r in rows)
 
 
+def test_bytes_tokens_and_rows_are_all_level(spark):
+    texts = [prose("aa", 5 + i % 60, i) + " longerwords" * (i % 7) + " a b" * (i % 5) for i in range(4_000)]
+    loads = defaultdict(lambda: np.zeros(3))
+    for r in sharding.shard(documents(spark, texts), 8, cell_rows=500).collect():
+        loads[r.shard] += (r.size, len(texts[r.doc_id].split()), 1)
+    every = np.stack(list(loads.values()))
+    assert len(every) == 8 and (every.max(axis=0) <= [1.02, 1.06, 1.06] * every.min(axis=0)).all()
+
+
 def test_equal_texts_stay_together_unless_they_fill_shards(spark):
     texts = [prose("aa", 20, i) for i in range(400)] + ["small group"] * 3
     shards = defaultdict(set)
@@ -66,4 +75,9 @@ def test_odd_rows(spark):
     rows = sharding.shard(odd_documents(spark), 3).collect()
     assert len(rows) == 12
     assert sorted(r["size"] for r in rows)[:2] == [16, 16]
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert set(slots) <= {0, 1, 2} and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in rows if r.doc_id in (5, 6)}) == 1
     assert sharding.shard(empty_documents(spark)).collect() == []
