@@ -41,7 +41,7 @@ STAGES = [
     ("shard_packing", shard_packing),
 ]
 
-#: Fitted models and fingerprint components can't be written in SQL; tests hold run() against a brute-force version.
+#: Fitted models and fingerprint components can't be written in SQL; a test holds run()'s rows against plain Python on a small corpus.
 ORACLE_SQL = None
 
 
