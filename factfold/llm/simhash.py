@@ -8,8 +8,9 @@ third, so 22 + 23 + 1 look-ups find every partner. Complete distances are verifi
 two segments of 32 bits are taken (529 + 33 look-ups), whose buckets stay small; either way every link is found.
 
 A dense group never gives all its pairs: first each bucket is linked in a star to one of its own, as far as the distances
-allow, which makes nearly all of a group one. Then only fingerprints of different groups are compared, buckets of one group
-alone are left out before the join, and what comes out is pairs of groups.
+allow, which makes nearly all of a group one. Then only fingerprints of different groups are compared: in a crowded bucket, one of
+many fingerprints in few groups, a look-up goes to the groups first and to the fingerprints of other groups only. What comes out is
+pairs of groups.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from factfold.llm.common import arrow_map, components, cut, join_ids, read
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: So many distinct fingerprints make a bucket of a third of the bits (2^21) hold dozens of unrelated ones.
 WIDE = 1 << 27
+#: A bucket is crowded from so many fingerprints on if they are in so many times fewer groups.
+CROWD, CROWDED = 64, 8
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE = np.arange(8) * 256
 
@@ -101,9 +104,12 @@ def groups(fps: DataFrame, radius: int = RADIUS, segments: int | None = None) ->
     first = components(stars.select(F.col("fp").alias("a"), F.col("centre").alias("b"))).withColumnsRenamed({"node": "fp", "component": "top"})
     own = cut(fps.select("fp").join(first, "fp", "left").select("fp", F.coalesce("top", "fp").alias("top")))
     table, probes = _keys(own, [[0]] * n), _keys(own, balls(radius, n)).withColumnsRenamed({"fp": "p", "top": "from"})
-    mixed = table.groupBy("seg", "key").agg(F.min("top").alias("low"), F.max("top").alias("high"))
-    asked = probes.join(mixed, ["seg", "key"]).where((F.col("low") != F.col("from")) | (F.col("high") != F.col("from"))).drop("low", "high")
-    met = asked.join(table, ["seg", "key"]).where((F.col("from") != F.col("top")) & _near("p", "fp", radius))
+    by_group = table.groupBy("seg", "key", "top").agg(F.count("*").alias("n"))
+    crowded = by_group.groupBy("seg", "key").agg(F.sum("n").alias("n"), F.count("*").alias("groups")).where((F.col("n") >= CROWD) & (F.col("n") >= CROWDED * F.col("groups"))).select("seg", "key")
+    other, near = F.col("from") != F.col("top"), _near("p", "fp", radius)
+    plain = probes.join(table.join(crowded, ["seg", "key"], "left_anti"), ["seg", "key"]).where(other & near)
+    asked = probes.join(by_group.join(crowded, ["seg", "key"], "left_semi").drop("n"), ["seg", "key"]).where(other)
+    met = plain.select("from", "top").unionByName(asked.join(table, ["seg", "key", "top"]).where(near).select("from", "top"))
     second = components(met.select(F.col("from").alias("a"), F.col("top").alias("b"))).withColumnsRenamed({"node": "top", "component": "above"})
     return own.join(second, "top", "left").select("fp", F.coalesce("above", "top").alias("top"))
 

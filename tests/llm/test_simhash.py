@@ -73,6 +73,19 @@ def test_a_dense_group_never_gives_its_pairs(spark, monkeypatch):
     assert sum(given_edges) < 10 * len(fps)
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    monkeypatch.setattr(simhash, "CROWDED", 2)
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    centres = [base, base ^ 0b1111 << 40, base ^ 0b111111 << 40, base ^ 0b11111 << 10, rng.getrandbits(64)]
+    fps = sorted({c ^ sum(1 << x for x in rng.sample(range(22, 64), rng.randint(0, 2))) for c in centres for _ in range(40)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    want, got = dict(zip(signed, plain_components(fps, signed), strict=True)), simhash.groups(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    names = {}
+    assert all(names.setdefault(r.top, want[r.fp]) == want[r.fp] for r in got) and len(names) == len(set(want.values())) > 1
+
+
 def test_query_equals_brute_force(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     fps, ids = [plain_fingerprint(r.text) for r in rows], [r.doc_id for r in rows]
