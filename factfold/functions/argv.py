@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Arguments that a stored command line leaves out, those that take the next one along, and prefixes.
-DROP = ["-c", "-S", "-E", "-M", "-MM", "-MD", "-MMD", "-MP", "-MG", "-MV", "-pipe", "-save-temps", "-fcolor-diagnostics"]
-DROP_WITH_NEXT = ["-o", "-Xlinker"]
-DROP_PREFIX = ["-MF", "-MT", "-MQ", "-MJ", "-W", "-l", "-L", "-g", "-O"]
-LAUNCHERS = ["ccache", "sccache", "distcc", "icecc", "env"]
-INCLUDE_FLAGS = ["-I", "-isystem", "-iquote", "-idirafter", "-iframework", "-F"]
-DRIVERS = r"^(?:.*/)?((?:clang|clang\+\+|gcc|g\+\+|cc|c\+\+)(?:-[0-9.]+)?)$"
+from factfold.functions.paths import normalise
+
+#: Arguments that a stored command line leaves out.
+DROP = [
+    "-c", "--", "-M", "-MM", "-MD", "-MMD", "-MG", "-MP", "-MV", "-Werror", "-pedantic-errors", "-shared", "-static", "-rdynamic", "-pie", "-no-pie", "-s", "-pipe",
+    "-nostdlib", "-nodefaultlibs", "-nostartfiles", "-static-libgcc", "-shared-libgcc", "-static-libstdc++",
+]
+#: Those that it leaves out together with the next one.
+DROP_WITH_NEXT = ["-o", "-MF", "-MT", "-MQ", "-dependency-file", "--serialize-diagnostics", "-Xlinker", "-T", "-L", "-l"]
+#: What those begin with that it leaves out. They are tested first.
+DROP_PREFIX = ["-Werror=", "-Wp,-M", "-MF", "-MT", "-MQ", "-l", "-L", "-Wl,", "-Wa,", "-fuse-ld=", "-fmodules-cache-path="]
+#: Programs that only start the compiler, and settings in front of it.
+LAUNCHERS, SETTING = ["ccache", "sccache", "distcc", "icecc", "icerun", "env", "time", "nice"], "^[A-Za-z_][A-Za-z0-9_-]*="
+#: Flags whose value is a path, in the order in which joined spellings are tried when stored lines are read.
+PATH_FLAGS = ["-I", "-isystem", "-iquote", "-idirafter", "-F", "-iframework", "-include", "-imacros", "-include-pch", "--sysroot", "-isysroot", "-resource-dir"]
+#: The same flags in the order in which they are tried when lines are stored.
+STORED_FLAGS = ["-include-pch", "-iframework", "-idirafter", "-resource-dir", "--sysroot", "-isystem", "-iquote", "-include", "-imacros", "-isysroot", "-F", "-I"]
+#: Flags of include directories, in the order of joined spellings.
+INCLUDE_FLAGS = ["-isystem", "-iquote", "-idirafter", "-iframework", "-I", "-F", "/I"]
+#: Names of compilers.
+DRIVERS = r"^(?:clang|clang\+\+.*|clang-.*|gcc|gcc-.*|cc|c\+\+|g\+\+)$"
+_LABEL, _VARIABLE = "<([^>]*)>", r"\$\{[A-Za-z_][A-Za-z0-9_]*\}|\$[A-Za-z_][A-Za-z0-9_]*"
 
 
 def _empty() -> Column:
@@ -31,77 +46,121 @@ def encode_options(argv: Column) -> Column:
     return F.to_json(argv)
 
 
-def sanitise(argv: Column, prefixes: list[str] | None = None) -> Column:
-    """The arguments worth storing. Prefixes are tested first, so ``-MF dep.d`` loses the flag and keeps ``dep.d``."""
-    prefixed = lambda x: F.exists(F.array(*map(F.lit, prefixes or DROP_PREFIX)), lambda p: x.startswith(p))
+def _leads(x: Column) -> Column:
+    return x.rlike(SETTING) | F.regexp_extract(x, "([^/]*)$", 1).isin(*LAUNCHERS)
+
+
+def command_start(argv: Column) -> Column:
+    """The index of the first argument that is no launcher or setting; 0 if all are."""
+    return F.coalesce(F.get(F.filter(F.transform(argv, lambda x, i: F.when(~_leads(x), i)), lambda i: i.isNotNull()), 0), F.lit(0))
+
+
+def skip_launchers(argv: Column) -> Column:
+    """The command from its compiler on."""
+    return F.slice(argv, command_start(argv) + 1, F.greatest(F.size(argv), F.lit(0)))
+
+
+def sanitise(argv: Column) -> Column:
+    """The arguments worth storing. After launchers the compiler goes too. Prefixes are tested first, so ``-MF dep.d`` loses the
+    flag and keeps ``dep.d``."""
+    led = (F.size(argv) > 0) & _leads(F.get(argv, 0))
+    rest = F.slice(argv, F.when(led, command_start(argv) + 2).otherwise(1), F.greatest(F.size(argv), F.lit(0)))
     start = F.struct(_empty().alias("kept"), F.lit(False).alias("skip"))
 
     def step(s: Column, x: Column) -> Column:
-        drop = s["skip"] | prefixed(x) | x.isin(*DROP, *DROP_WITH_NEXT)
-        return F.struct(F.when(drop, s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"), (~s["skip"] & ~prefixed(x) & x.isin(*DROP_WITH_NEXT)).alias("skip"))
+        alone = F.coalesce(*(F.when(x.startswith(p), True) for p in DROP_PREFIX), x.isin(*DROP))
+        paired = ~alone & x.isin(*DROP_WITH_NEXT)
+        return F.struct(F.when(s["skip"] | alone | paired, s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"), (~s["skip"] & paired).alias("skip"))
 
-    return F.aggregate(argv, start, step)["kept"]
+    return F.aggregate(rest, start, step)["kept"]
 
 
-def skip_launchers(argv: Column) -> Column:
-    """Without leading compiler launchers and NAME=value settings."""
-    lead = lambda x: x.isin(*LAUNCHERS) | F.regexp_replace(x, "^.*/", "").isin(*LAUNCHERS) | x.rlike("^[A-Za-z_][A-Za-z0-9_]*=")
-    start = F.struct(_empty().alias("kept"), F.lit(True).alias("lead"))
-    return F.aggregate(argv, start, lambda s, x: F.when(s["lead"] & lead(x), s).otherwise(F.struct(F.array_append(s["kept"], x).alias("kept"), F.lit(False).alias("lead"))))["kept"]
+def _replaced(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
+    """text with every match of the pattern replaced; what comes in is not looked at again."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.concat_ws("", F.transform(F.split(text, pattern, -1), lambda gap, i: F.concat(gap, F.coalesce(by(F.get(found, i)), F.lit("")))))
+
+
+def _looked_up(names: Mapping[str, str], name: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[name] if names else F.lit(None).cast("string")
 
 
 def expand_labels(text: Column, labels: Mapping[str, str]) -> Column:
-    """``<name>`` becomes the path of that label; of unknown names ``<a-b>`` becomes ``/a/b``."""
-    out = text
-    for name, path in labels.items():
-        out = F.replace(out, F.lit(f"<{name}>"), F.lit(path))
-    unknown = F.regexp_extract_all(out, F.lit("<([A-Za-z0-9_-]+)>"), F.lit(1))
-    return F.aggregate(unknown, out, lambda t, n: F.replace(t, F.concat(F.lit("<"), n, F.lit(">")), F.concat(F.lit("/"), F.replace(n, F.lit("-"), F.lit("/")))))
+    """``<name>`` becomes the path of that label, of an unknown one ``<a-b>`` becomes ``/a/b``; ``<>`` stays."""
+
+    def by(match: Column) -> Column:
+        name = F.substr(match, F.lit(2), F.length(match) - 2)
+        return F.when(name == "", match).otherwise(F.coalesce(_looked_up(labels, name), F.concat(F.lit("/"), F.replace(name, F.lit("-"), F.lit("/")))))
+
+    return _replaced(text, _LABEL, by)
 
 
 def expand_environment(text: Column, env: Mapping[str, str]) -> Column:
-    """``$X`` and ``${X}`` from the given environment; unset names stay as they are. Longer names go first."""
-    out = text
-    for name in sorted(env, key=lambda n: (-len(n), n)):
-        value = env[name].replace("\\", "\\\\").replace("$", "\\$")
-        out = F.regexp_replace(out, r"\$\{" + name + r"\}|\$" + name + r"(?![A-Za-z0-9_])", value)
-    return out
+    """``$X`` and ``${X}`` from the given environment; unset names stay as they are."""
+    return _replaced(text, _VARIABLE, lambda match: F.coalesce(_looked_up(env, F.regexp_replace(match, "[${}]", "")), match))
 
 
 def expand_home(path: Column, home: str) -> Column:
-    return F.when(path == "~", F.lit(home)).when(path.startswith("~/"), F.concat(F.lit(home), F.substr(path, F.lit(2), F.length(path)))).otherwise(path)
+    return F.when((path == "~") | path.startswith("~/"), F.concat(F.lit(home), F.substr(path, F.lit(2), F.length(path)))).otherwise(path)
 
 
-def include_roots(argv: Column) -> Column:
-    """Directories of include flags, joined (``-Idir``) or separate (``-I dir``), in order."""
-    flags = F.array(*map(F.lit, [*INCLUDE_FLAGS, "/I"]))
+def resolve_path(value: Column, labels: Mapping[str, str], env: Mapping[str, str], home: str, base: str) -> Column:
+    """A path with a label, a variable or the home directory in it, made absolute; any other value stays."""
+    indirect = value.contains("<") | value.contains("$") | (value == "~") | value.startswith("~/")
+    return F.when(indirect, normalise(expand_home(expand_environment(expand_labels(value, labels), env), home), F.lit(base))).otherwise(value)
 
-    def at(x: Column, i: Column) -> Column:
-        joined = F.filter(flags, lambda f: x.startswith(f) & (F.length(x) > F.length(f)))
-        longest = F.aggregate(joined, F.lit(""), lambda a, f: F.when(F.length(f) > F.length(a), f).otherwise(a))
-        separate = F.when(F.array_contains(flags, x), F.get(argv, i + 1))
-        return F.coalesce(separate, F.when((longest != "") & ~F.array_contains(flags, F.get(argv, i)), F.substr(x, F.length(longest) + 1, F.length(x))))
 
-    return F.filter(F.transform(argv, at), lambda x: x.isNotNull())
+def _values(argv: Column, flag_of: Callable[[Column], Column], separate: list[str], joined: Callable[[Column, Column], Column], change: Callable[[Column], Column]) -> Column:
+    """argv with the values of flags changed: the argument after a flag, which is taken whatever it is, or what is joined to it."""
+    start = F.struct(_empty().alias("out"), F.lit(False).alias("value"))
+
+    def step(s: Column, x: Column) -> Column:
+        flag = flag_of(x)
+        new = F.when(s["value"], change(x)).when(x.isin(*separate) | flag.isNull(), x).otherwise(joined(flag, F.substr(x, F.length(flag) + 1, F.length(x))))
+        return F.struct(F.array_append(s["out"], new).alias("out"), (~s["value"] & x.isin(*separate)).alias("value"))
+
+    return F.aggregate(argv, start, step)["out"]
+
+
+def resolve_includes(argv: Column, change: Callable[[Column], Column]) -> Column:
+    """A stored command line with the values of its path flags changed, as with ``resolve_path``."""
+    flag = lambda x: F.coalesce(*(F.when(x.startswith(f) & (F.length(x) > len(f)), F.lit(f)) for f in PATH_FLAGS))
+    return _values(argv, flag, PATH_FLAGS, lambda f, value: F.concat(f, change(value)), change)
 
 
-def rewrite_includes(argv: Column, directory: Column) -> Column:
-    """Relative include directories made absolute against the command's directory, in both spellings of the flags."""
-    flags = F.array(*map(F.lit, INCLUDE_FLAGS))
-    absolute = lambda p: F.when(p.startswith("/") | p.startswith("<") | p.startswith("$"), p).otherwise(F.concat_ws("/", directory, p))
+def portable_includes(argv: Column, change: Callable[[Column], Column]) -> Column:
+    """A command line to be stored with the values of its path flags changed. A flag of two dashes is joined by ``=``, others are not."""
+    fits = lambda x, f: (F.substr(x, F.lit(len(f) + 1), F.lit(1)) == "=") if f.startswith("--") else (F.substr(x, F.lit(len(f) + 1), F.lit(1)) != "=")
+    flag = lambda x: F.coalesce(*(F.when(x.startswith(f) & (F.length(x) > len(f)) & fits(x, f), F.lit(f)) for f in STORED_FLAGS))
+    joined = lambda f, value: F.concat(f, F.when(f.startswith("--"), "=").otherwise(""), change(F.regexp_replace(value, "^=", "")))
+    return _values(argv, flag, STORED_FLAGS, joined, change)
+
+
+def include_roots(argv: Column, directory: Column | None = None) -> Column:
+    """Directories of the include flags behind the compiler, separate or joined (also by ``=``), in order, relative ones below directory."""
 
     def at(x: Column, i: Column) -> Column:
-        after = (i > 0) & F.array_contains(flags, F.get(argv, i - 1))
-        flag = F.regexp_extract(x, "^(-isystem|-iquote|-idirafter|-iframework|-I|-F)(.+)$", 1)
-        return F.when(after, absolute(x)).when(flag != "", F.concat(flag, absolute(F.substr(x, F.length(flag) + 1, F.length(x))))).otherwise(x)
+        flag = F.coalesce(*(F.when(x.startswith(f) & (F.length(x) > len(f)), F.lit(f)) for f in INCLUDE_FLAGS))
+        root = F.when(x.isin(*INCLUDE_FLAGS), F.get(argv, i + 1)).otherwise(F.regexp_replace(F.substr(x, F.length(flag) + 1, F.length(x)), "^=", ""))
+        whole = root if directory is None else F.when(root.startswith("/"), root).otherwise(F.concat_ws("/", directory, root))
+        return F.when((i > 0) & root.isNotNull(), whole)
+
+    return F.filter(F.transform(argv, at), lambda x: x.isNotNull())
+
+
+def default_driver(source: Column) -> Column:
+    return F.when(source.endswith(".c"), F.lit("clang")).otherwise(F.lit("clang++"))
 
-    return F.transform(argv, at)
 
+def driver(argv: Column, source: Column, exists: Column | None = None) -> Column:
+    """The program behind launchers if its name is a compiler's, else one by the source's extension.
 
-def driver(argv: Column, source: Column) -> Column:
-    """The compiler named first if it is a known one, else one by the source's extension."""
-    named = F.regexp_extract(F.get(argv, F.lit(0)), DRIVERS, 1)
-    return F.when(named != "", named).when(source.rlike(r"\.(c|m)$"), F.lit("clang")).otherwise(F.lit("clang++"))
+    A program given by a path must exist, which only the caller can tell; without ``exists`` it is taken to.
+    """
+    candidate = F.get(argv, command_start(argv))
+    name = F.regexp_extract(candidate, "([^/]*)$", 1)
+    usable = ~candidate.contains("/") | (F.lit(True) if exists is None else exists)
+    return F.when(name.rlike(DRIVERS) & (name != "clang-tool") & usable, candidate).otherwise(default_driver(source))
 
 
 def composite_key(*parts: Column) -> Column:

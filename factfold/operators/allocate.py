@@ -1,7 +1,8 @@
 """Dense indices within a file, continued across runs.
 
-Numbering is by an explicit sequence. A file's rows are numbered within the file's partition of a window; numbers of rows that
-are stored already are never touched, so a rerun gives the same ids.
+Numbering is by an explicit sequence: rows are dealt to ranges of it, and each range goes on from the counts of those before it, so
+that neither a hot file nor the whole table is one task's. Numbers of rows that are stored already are never touched, so a rerun
+gives the same ids.
 """
 
 from __future__ import annotations
@@ -10,10 +11,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factfold.functions.ids import pack_id
+from factfold.operators.lineage import cut
+
+
+def numbered_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their number from 0 on in the given order; equal rows of it are numbered in any order."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__rows"))  # one row per range
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    placed = ranged.withColumn(name, within.cast("long")).join(F.broadcast(counts.select("__range", before.alias("__before"))), "__range")
+    return placed.withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
 
 
 def sequence(rows: DataFrame, file: str, order: list[str], name: str = "index") -> DataFrame:
-    return rows.withColumn(name, (F.row_number().over(Window.partitionBy(file).orderBy(*order)) - 1).cast("long"))
+    numbered = cut(numbered_rows(rows, [file, *order], "__all"))
+    first = numbered.groupBy(F.col(file).alias("__file")).agg(F.min("__all").alias("__first"))
+    return numbered.join(first, F.col(file).eqNullSafe(F.col("__file"))).select(*rows.columns, (F.col("__all") - F.col("__first")).alias(name))
 
 
 def next_index(rows: DataFrame, file: str, index: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factfold.functions import paths
 from factfold.functions.ids import pack_id
-from factfold.operators.allocate import sequence
+from factfold.operators.allocate import numbered_rows
 
 
 def resolve_edges(edges: DataFrame, symbols: DataFrame, src: str, dst: str, key: str, name: str, how: str = "inner") -> DataFrame:
@@ -30,7 +30,7 @@ def lookup_or_insert(wanted: DataFrame, symbols: DataFrame, file: int) -> DataFr
     Placeholders are external, have no place and get the next ids of the given file in the order of their usr.
     """
     fresh = wanted.select("usr").where("usr is not null and usr <> ''").distinct().join(symbols.select("usr"), "usr", "left_anti")
-    numbered = sequence(fresh.withColumn("__file", F.lit(file).cast("long")), "__file", ["usr"], "__n")
+    numbered = numbered_rows(fresh, ["usr"], "__n").withColumn("__file", F.lit(file).cast("long"))
     used = symbols.where(F.shiftrightunsigned("id", 32) == file).agg((F.coalesce(F.max(F.col("id").bitwiseAND(F.lit((1 << 32) - 1))), F.lit(-1)) + 1).alias("__next"))
     zero = F.lit(0)
     added = numbered.crossJoin(F.broadcast(used)).select(pack_id(F.col("__file"), F.col("__next") + F.col("__n")).alias("id"), "usr", F.lit(1).alias("is_external"), zero.alias("line"), zero.alias("col"), zero.alias("offset"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factfold.operators.lineage import cut
+
 
 def fk_violations(tables: dict[str, DataFrame], keys: Iterable[tuple[str, str, str, str]]) -> DataFrame:
     """(child, column, parent, violations): non-null child values without a parent, one row per key, zeros included."""
@@ -30,20 +32,39 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(side, rows): rows that only one of two snapshots has, copies counted."""
-    count = lambda df, side: df.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
-    return count(before.exceptAll(after), "removed").unionByName(count(after.exceptAll(before), "added"))
+    """The rows that only one of two snapshots has, copies counted, with their side."""
+    return before.exceptAll(after).withColumn("side", F.lit("removed")).unionByName(after.exceptAll(before).withColumn("side", F.lit("added")))
 
 
 def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame, keys: Iterable[tuple[str, str, str, str]], root: str = "symbol", key: str = "id") -> dict[str, DataFrame]:
-    """All tables without the given root ids and the rows that depend on them."""
-    out = dict(tables) | {root: tables[root].join(gone.select(key), key, "left_anti")}
-    for child, column, parent, _ in keys:
-        if parent == root and child in out:
-            out[child] = out[child].join(gone.select(F.col(key).alias(column)), column, "left_anti")
+    """All tables without the given root ids and the rows that depend on them at any depth.
+
+    A table is looked at again whenever one that it depends on has lost rows; keys that form a cycle must end by the data.
+    """
+    keys, out = list(keys), dict(tables)
+    lost = [(root, key, gone.select(F.col(key).alias("__key")).distinct())]
+    out[root] = out[root].join(lost[0][2], out[root][key] == F.col("__key"), "left_anti")
+    while lost:
+        parent, column, ids = lost.pop(0)
+        for child, child_column, of, parent_key in keys:
+            if of != parent or child not in out or parent_key != column:
+                continue
+            doomed = cut(out[child].join(ids, F.col(child_column) == F.col("__key"), "left_semi"))
+            if doomed.isEmpty():
+                continue
+            out[child] = cut(out[child].join(ids, F.col(child_column) == F.col("__key"), "left_anti"))
+            lost += [(child, k, doomed.select(F.col(k).alias("__key")).distinct()) for k in sorted({parent_key for _, _, of, parent_key in keys if of == child})]
     return out
 
 
+def schema_differences(spark: SparkSession, tables: dict[str, DataFrame], wanted: dict[str, list[str]]) -> DataFrame:
+    """(table_name, column_name, problem): tables, and columns of those that are there, which are missing or unexpected."""
+    rows = [(name, "", "missing") for name in wanted if name not in tables] + [(name, "", "unexpected") for name in tables if name not in wanted]
+    for name in tables.keys() & wanted.keys():
+        rows += [(name, c, "missing") for c in wanted[name] if c not in tables[name].columns] + [(name, c, "unexpected") for c in tables[name].columns if c not in wanted[name]]
+    return spark.createDataFrame(rows, "table_name string, column_name string, problem string")
+
+
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """What of inner is not in outer."""
     return inner.distinct().join(outer.distinct(), inner.columns, "left_anti")

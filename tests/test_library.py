@@ -34,7 +34,9 @@ def test_command_lines(spark):
     assert value(spark, argv.skip_launchers(words("ccache", "CC=x", "g++", "a.cc"))) == ["g++", "a.cc"]
     assert value(spark, argv.decode_options(F.lit('["a","b"]'))) == ["a", "b"]
     assert [value(spark, argv.decode_options(F.lit(x))) for x in ('{"invalid":true}', '["a",1]', '["a",null]')] == [None] * 3
-    assert value(spark, argv.include_roots(words("-I", "a", "-isystem", "b", "-Ic", "/Id"))) == ["a", "b", "c", "d"]
+    assert value(spark, argv.sanitise(words("-o", "x", "-Xlinker", "-c", "-T", "y", "-DA", "-l", "m"))) == ["-DA", "m"]
+    assert value(spark, argv.sanitise(words("ccache", "g++", "-DA"))) == ["-DA"]
+    assert value(spark, argv.include_roots(words("cc", "-I", "a", "-isystem", "b", "-Ic", "/Id", "-F=e"))) == ["a", "b", "c", "d", "e"]
     assert value(spark, argv.expand_labels(F.lit("<root>/x <a-b>"), {"root": "/r"})) == "/r/x /a/b"
 
 

@@ -9,12 +9,50 @@ from factfold.plans import extract, registry
 
 
 def test_prepare_finds_owner_and_portable_arguments(spark):
-    commands = spark.createDataFrame([("/r/a", "x.cc", ["g++", "-Iinc", "-o", "x.o", "-c", "x.cc"]), ("/r/a", "x.cc", ["g++", "-Aaa", "x.cc"]), ("/z", "y.cc", ["cc", "y.cc"])], "directory string, file string, arguments array<string>")
+    commands = spark.createDataFrame([("/r/a", "x.cc", ["g++", "-Iinc", "-o", "x.o", "-c", "x.cc"]), ("/r/a", "x.cc", ["g++", "-Aaa", "/r/a/x.cc"]), ("/r/b", "../a/x.cc", ["ccache", "clangd", "-I", "/else"]), ("/z", "y.cc", ["cc", "y.cc"])], "directory string, file string, arguments array<string>")
     roots = spark.createDataFrame([("whole", "/r"), ("part", "/r/a")], "name string, root string")
     rows = {r.source: r for r in registry.prepare(commands, roots).collect()}
-    assert rows.keys() == {"/r/a/x.cc", "/z/y.cc"}
-    assert (rows["/r/a/x.cc"].component, rows["/r/a/x.cc"].duplicates, rows["/r/a/x.cc"].driver) == ("part", 1, "g++")
-    assert rows["/z/y.cc"].component is None
+    assert rows.keys() == {"/r/a/x.cc"}
+    got = rows["/r/a/x.cc"]
+    assert (got.component, got.directory, got.name, got.duplicates, got.driver, got.options, got.working_directory) == ("part", "", "x.cc", 2, "g++", '["-Aaa"]', "<part>")
+    assert [r.source for r in registry.outside(commands, roots).collect()] == ["/z/y.cc"]
+    assert registry.common_root(commands).first().root in ("", "/")
+
+
+def test_a_bad_configuration_changes_nothing(spark):
+    empty = {"component": spark.createDataFrame([], "id long, name string, path string"), "file": spark.createDataFrame([], "id long, component_id long, directory string, name string, driver string, compile_options string")}
+    components = spark.createDataFrame([("a", "/a"), ("b", "/b")], "name string, path string")
+    files = lambda *rows: spark.createDataFrame(list(rows), "component_path string, directory string, name string, driver string, compile_options string")
+    good = registry.replace_configuration(empty, components, files(("/a", "", "x", "cc", "[]"), ("/b", "d", "y", "cc", "[]")))
+    assert sorted((r.id, r.component_id, r.name) for r in good["file"].collect()) == [(1, 1, "x"), (2, 2, "y")]
+    for bad in ((components.unionByName(components), files()), (components, files(("/c", "", "x", "cc", "[]"))), (components, files(("/a", "", "", "cc", "[]"))), (components.limit(0), files())):
+        with pytest.raises(registry.RegistryError):
+            registry.replace_configuration(good, *bad)
+    after = registry.replace_configuration(good, components.limit(1), files(("/a", "", "x", "g++", '["-D"]')))["file"]
+    assert sorted((r.id, r.driver, r.compile_options) for r in after.collect()) == [(1, "g++", '["-D"]'), (2, None, None)]
+
+
+def test_clones_are_added_and_taken(spark):
+    repositories = spark.createDataFrame([(1, "main", 10)], "id long, name string, active_clone_id long")
+    clones = spark.createDataFrame([(10, 1, "/c/one", "one")], "id long, repository_id long, path string, label string")
+    same, after = registry.add_clone(repositories, clones, "main", "/c/two", "two")
+    assert (same.first().active_clone_id, sorted((r.id, r.path) for r in after.collect())) == (10, [(10, "/c/one"), (11, "/c/two")])
+    taken, again = registry.add_clone(repositories, after, "main", "/c/two", "named", activate=True)
+    assert (taken.first().active_clone_id, {r.label for r in again.collect()}) == (11, {"one", "named"})
+    for bad in (("other", "/x"), ("main", "")):
+        with pytest.raises(registry.RegistryError):
+            registry.add_clone(repositories, clones, *bad)
+
+
+def test_old_registries_are_split_whole_or_not_at_all(spark):
+    components = spark.createDataFrame([(1, "/r"), (2, "/r/lib")], "id long, root string")
+    files = spark.createDataFrame([(7, "/r/lib/a/x.h"), (8, "/r/y.h"), (9, "/r/lib/z.h")], "id long, path string")
+    directories, split = registry.split_flat_paths(files, components)
+    at = {r.directory_id: (r.component_id, r.directory) for r in directories.collect()}
+    assert {r.id: (*at[r.directory_id], r.name) for r in split.collect()} == {7: (2, "a", "x.h"), 8: (1, "", "y.h"), 9: (2, "", "z.h")}
+    for row in ((3, "/else/x.h"), (0, "/r/x.h")):
+        with pytest.raises(registry.RegistryError):
+            registry.split_flat_paths(spark.createDataFrame([row], "id long, path string"), components)
 
 
 def test_registered_files_keep_their_ids(spark):
