@@ -61,3 +61,14 @@ def too_many(rows: DataFrame, owner: str, most: int = 4) -> DataFrame:
 def with_and_without(owners: DataFrame, having: DataFrame, lacking: DataFrame, on: str) -> DataFrame:
     """Owners that have a row in one table and none in the other."""
     return owners.join(having.select(on), on, "left_semi").join(lacking.select(on), on, "left_anti")
+
+
+def missing_cases(owners: DataFrame, handled: DataFrame, owner: str, case: str, most: int = 4_096) -> DataFrame:
+    """(owner, case) for each owner and each case that any owner handles and it doesn't. The cases are an enumeration's: more than
+    ``most`` of them raise."""
+    cases = [r[0] for r in handled.select(case).where(F.col(case).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(cases) > most:
+        raise ValueError(f"{case} has more than {most} values")
+    every = F.array(*map(F.lit, cases)) if cases else F.array().cast(f"array<{handled.schema[case].dataType.simpleString()}>")
+    wanted = owners.select(owner, F.explode(every).alias(case))
+    return wanted.join(handled, [owner, case], "left_anti")

@@ -1,7 +1,9 @@
 """Graphs of facts: closure, reachability, cycles, levels, ancestors.
 
-Loops run on the driver over DataFrames; each round is one join and one aggregation, its lineage is cut by a reliable
-checkpoint, and the only value that comes back is whether anything changed.
+Loops run on the driver over DataFrames; each round is a join and an aggregation whose result is written and read again, and the only
+value that comes back is whether anything changed. Pairs of nodes are made where they are what is asked for (``closure``) and nowhere
+else: questions about ancestors in a tree are answered by pointer jumping, in as many rounds as the depth has binary digits, and
+questions about reachability by frontiers.
 """
 
 from __future__ import annotations
@@ -82,31 +84,87 @@ def levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
 
 
 def back_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Edges whose target reaches their source."""
-    paths = closure(edges, src, dst)
-    both = paths.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    direct = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
-    return direct.join(both, ["src", "dst"], "left_semi").unionByName(direct.where("src = dst")).distinct()
+    """Edges whose target reaches their source. Only what is left after trimming can be on a cycle, so paths are sought there."""
+    direct = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+    core = trim(direct)
+    both = closure(core).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    return core.join(both, ["src", "dst"], "left_semi").unionByName(direct.where("src = dst")).distinct()
 
 
-def nearest_ancestor(parents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """parents (node, parent), wanted (node): for each node the nearest ancestor that is wanted, and its distance."""
-    up = closure(parents.select(F.col("node").alias("src"), F.col("parent").alias("dst")))
-    hits = up.join(wanted.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return hits.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", F.struct("distance", "dst")).alias("ancestor"), F.min("distance").alias("distance"))
+def nearest_ancestor(parents: DataFrame, wanted: DataFrame, rounds: int = 40) -> DataFrame:
+    """(node, ancestor, distance) from parents (node, parent) and wanted (node): for each node below a wanted one the nearest such.
+
+    Pointer jumping: after k rounds a node knows its ancestor 2**k steps up and whether a wanted one came before.
+    """
+    mark = wanted.select(F.col("node").alias("up"), F.lit(True).alias("__wanted")).distinct()
+    state = parents.where("parent is not null").select("node", F.col("parent").alias("up")).distinct().join(mark, "up", "left")
+    state = cut(state.select("node", "up", F.when(F.col("__wanted"), F.col("up")).alias("ancestor"), F.when(F.col("__wanted"), F.lit(1)).alias("distance")))
+    for k in range(rounds):
+        seeking = F.col("ancestor").isNull() & F.col("up").isNotNull()
+        if state.where(seeking).isEmpty():
+            return state.where("ancestor is not null").select("node", "ancestor", "distance")
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("ancestor").alias("__a"), F.col("distance").alias("__d"))
+        moved = state.where(seeking).join(above, "up", "left").select("node", F.col("__up").alias("up"), F.col("__a").alias("ancestor"), (F.col("__d") + (1 << k)).alias("distance"))
+        state = cut(state.where(~seeking).unionByName(moved))
+    raise RuntimeError(f"ancestors did not settle in {rounds} rounds")
+
+
+def depths(parents: DataFrame, rounds: int = 40) -> DataFrame:
+    """(node, ancestors): how many ancestors each node of a tree (node, parent) has."""
+    state = cut(parents.where("parent is not null").select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("ancestors")).distinct())
+    for _ in range(rounds):
+        if state.where("up is not null").isEmpty():
+            return state.select("node", "ancestors")
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("ancestors").alias("__n"))
+        state = cut(state.join(above, "up", "left").select("node", F.col("__up").alias("up"), (F.col("ancestors") + F.coalesce("__n", F.lit(0))).alias("ancestors")))
+    raise RuntimeError(f"depths did not settle in {rounds} rounds")
+
+
+def chain_ends(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """(node, last, hops) of links (node, next), one per node: where following them ends, by pointer jumping. Cycles raise."""
+    state = cut(links.where("next is not null").select("node", F.col("next").alias("last"), F.lit(1).cast("long").alias("hops")))
+    for _ in range(rounds):
+        above = state.select(F.col("node").alias("last"), F.col("last").alias("__last"), F.col("hops").alias("__hops"))
+        joined = cut(state.join(above, "last", "left"))
+        if joined.where("__last is not null").isEmpty():
+            return state
+        state = cut(joined.select("node", F.coalesce("__last", "last").alias("last"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops")))
+    raise RuntimeError("the links have a cycle")
+
+
+def pairs_above(parents: DataFrame, starts: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(node, ancestor, distance) for the nodes of starts (node) alone: each walks up, one row per step."""
+    steps = cut(parents.where("parent is not null").select(F.col("node").alias("ancestor"), "parent").distinct())
+    at, out = cut(starts.select("node", F.col("node").alias("ancestor")).distinct()), None
+    for k in range(1, rounds):
+        at = cut(at.join(steps, "ancestor").select("node", F.col("parent").alias("ancestor")))
+        if at.isEmpty():
+            return out if out is not None else at.withColumn("distance", F.lit(k))
+        level = at.withColumn("distance", F.lit(k))
+        out = level if out is None else out.unionByName(level)
+    raise RuntimeError(f"walks did not end in {rounds} rounds")
 
 
 def dominators(edges: DataFrame, root, src: str = "src", dst: str = "dst", rounds: int = 1_000) -> DataFrame:
-    """(node, dominator) for the nodes reached from root: d dominates n if every way from root to n passes d."""
-    reach = reachable(edges, edges.sparkSession.createDataFrame([(root,)], ["node"]), src, dst).select("node")
-    steps = cut(edges.select(F.col(src).alias("p"), F.col(dst).alias("node")).distinct().join(reach, "node", "left_semi").join(reach.select(F.col("node").alias("p")), "p", "left_semi"))
-    every = F.array_sort(F.collect_set("node"))
-    start = reach.crossJoin(F.broadcast(reach.agg(every.alias("doms"))))  # a function's blocks: small by nature
-    doms = cut(start.withColumn("doms", F.when(F.col("node") == root, F.array(F.lit(root))).otherwise(F.col("doms"))))
+    """(node, dominator) for the nodes reached from root: d dominates n if every way from root to n passes d.
+
+    A dominator lies on each way, so also on a shortest one: the nodes of one shortest way are the candidates, and those that do not
+    dominate all predecessors go, until none goes.
+    """
+    reach = cut(reachable(edges, edges.sparkSession.createDataFrame([(root,)], ["node"]), src, dst))
+    steps = edges.select(F.col(src).alias("p"), F.col(dst).alias("node")).distinct().join(reach.select(F.col("node").alias("p"), F.col("depth").alias("__d")), "p").where(F.col("node") != F.lit(root))
+    steps = cut(steps)
+    tree = steps.join(reach, "node").where("depth = __d + 1").groupBy("node").agg(F.min("p").alias("parent"))
+    own = reach.select("node", F.col("node").alias("dominator"))
+    doms = cut(pairs_above(tree, reach).select("node", F.col("ancestor").alias("dominator")).unionByName(own))
+    ways = cut(steps.groupBy("node").agg(F.count("*").alias("__ways")))
+    size = doms.count()
     for _ in range(rounds):
-        met = steps.join(doms.select(F.col("node").alias("p"), "doms"), "p").groupBy("node").agg(F.reduce(F.collect_list("doms"), F.first("doms"), lambda a, b: F.array_intersect(a, b)).alias("met"))
-        after = cut(doms.join(met, "node", "left").select("node", "doms", F.when(F.col("node") == root, F.col("doms")).otherwise(F.array_sort(F.array_union(F.coalesce("met", F.array(F.col("node"))), F.array(F.col("node"))))).alias("now")))
-        if after.where(F.size("doms") != F.size("now")).isEmpty():
-            return after.select("node", F.explode("now").alias("dominator"))
-        doms = cut(after.select("node", F.col("now").alias("doms")))
+        held = steps.select("p", "node").join(doms.withColumnRenamed("node", "p"), "p").groupBy("node", "dominator").agg(F.count("*").alias("__held"))
+        stays = held.join(ways, "node").where("__held = __ways").select("node", "dominator")
+        doms = cut(doms.where("node <> dominator").join(stays, ["node", "dominator"], "left_semi").unionByName(own))
+        now = doms.count()
+        if now == size:
+            return doms
+        size = now
     raise RuntimeError("dominators did not settle")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factfold.functions import argv, flags, ids, paths, text
 from factfold.operators import allocate, edits, graph, match, merge, resolve, validate
-from factfold.plans import patterns  # noqa: F401  registers its queries
+from factfold.plans import lessons, patterns, projects  # noqa: F401  register their queries
 from factfold.plans.registered import ORACLE_SQL, QUERIES, big, query  # noqa: F401
 
 # filters, scalars ---------------------------------------------------------------------------------------------------
@@ -63,11 +63,6 @@ def options_json_decode(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), argv.decode_options(F.col("props")).isNotNull().alias("is_list"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN ['cc', '-DA=' || p_size, '-DB'] ELSE ['cc', '-DA=' || p_size] END AS kept FROM part")
-def argv_sanitise(t):
-    raw = F.array(F.lit("cc"), F.lit("-o"), F.concat(F.col("p_name"), F.lit(".o")), F.lit("-Wall"), F.concat(F.lit("-DA="), F.col("p_size").cast("string")), F.when(F.col("p_size") % 2 == 0, "-DB").otherwise("-c"))
-    return t.part.select("p_partkey", argv.sanitise(raw).alias("kept"))
-
 
 @query(r"SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '([^/]*)$', 1) AS base FROM pages")
 def url_path_split(t):
@@ -75,10 +70,13 @@ def url_path_split(t):
     return t.pages.select("page_id", F.regexp_extract("url", "^(https?)://", 1).alias("scheme"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), path.alias("path"), paths.basename(path).alias("base"))
 
 
-@query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS line, length(string_split(text, chr(10))[-1]) + 1 AS col FROM documents")
+@query("""SELECT doc_id, o AS "offset", length(left(text, o)) - length(replace(left(text, o), chr(10), '')) + 1 AS line, length(string_split(left(text, o), chr(10))[-1]) + 1 AS col
+FROM (SELECT doc_id, text, unnest([0, doc_id % 50, length(text) // 3, length(text) // 2, length(text)]) AS o FROM documents) WHERE o <= length(text)""")
 def offset_line_column(t):
-    at = F.length("text")
-    return t.documents.select("doc_id", big(text.line_of(F.col("text"), at)).alias("line"), big(text.column_of(F.col("text"), at)).alias("col"))
+    """Places inside the texts: their begins, two in the midst, ends."""
+    size = big(F.length("text"))
+    spots = t.documents.select("doc_id", "text", F.explode(F.array(F.lit(0).cast("long"), F.col("doc_id") % 50, F.floor(size / 3), F.floor(size / 2), size)).alias("offset")).where(F.col("offset") <= F.length("text"))
+    return spots.select("doc_id", "offset", big(text.line_of(F.col("text"), F.col("offset"))).alias("line"), big(text.column_of(F.col("text"), F.col("offset"))).alias("col"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A%' AND regexp_matches(p_brand, '^Brand#[0-9]*$')")
@@ -152,9 +150,12 @@ def allocator_next_index(t):
     return allocate.next_index(allocate.sequence(t.orders, "o_custkey", ["o_orderkey"]), "o_custkey", "index")
 
 
-@query("SELECT o_custkey, count(*)::BIGINT AS n, count(*)::BIGINT AS next_index, 1 AS is_dense FROM orders GROUP BY 1")
+@query("""WITH s AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS index, o_orderkey FROM orders)
+SELECT o_custkey, count(*)::BIGINT AS n, max(index) + 1 AS next_index, (count(*) = max(index) + 1 AND min(index) = 0)::INT AS is_dense FROM s WHERE o_orderkey % 7 <> 0 GROUP BY 1""")
 def sequence_density(t):
-    return allocate.density(allocate.sequence(t.orders, "o_custkey", ["o_orderkey"]), "o_custkey", "index")
+    """Numbers of which some rows have gone."""
+    numbered = allocate.sequence(t.orders, "o_custkey", ["o_orderkey"])
+    return allocate.density(numbered.where("o_orderkey % 7 <> 0"), "o_custkey", "index")
 
 
 @query("""WITH s AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS index FROM orders WHERE o_orderkey % 3 = 0),
@@ -305,12 +306,15 @@ def argmax_longest(t):
     return t.documents.groupBy("lang").agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("doc_id"), F.max(F.length("text")).cast("long").alias("size"))
 
 
-@query("SELECT p_brand, '/src/' || p_brand AS root FROM part GROUP BY 1")
+@query("""WITH f AS (SELECT p_brand, '/src/' || p_type || CASE WHEN p_size % 2 = 0 THEN '/even/' ELSE '/odd/' END || p_partkey AS path FROM part),
+d AS (SELECT p_brand, regexp_replace(path, '/[^/]*$', '') AS dir FROM f),
+p AS (SELECT DISTINCT p_brand, unnest(['', '/src', regexp_extract(dir, '^(/src/[^/]*)', 1), dir]) AS prefix FROM d)
+SELECT p_brand, arg_max(prefix, length(prefix)) AS root FROM p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.p_brand = p.p_brand AND dir <> prefix AND NOT starts_with(dir, prefix || '/')) GROUP BY 1""")
 def common_root(t):
-    files = t.part.select("p_brand", F.concat(F.lit("/src/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit("/"), "p_name").alias("path"))
-    # with one part the whole path would be common, so the brand's own directory takes part
-    files = files.unionByName(files.select("p_brand", F.concat(F.lit("/src/"), F.col("p_brand")).alias("path")))
-    return files.groupBy("p_brand").agg(paths.common_root(F.min("path"), F.max("path")).alias("root"))
+    """The directory that the files of each brand have in common."""
+    path = F.concat(F.lit("/src/"), F.col("p_type"), F.when(F.col("p_size") % 2 == 0, "/even/").otherwise("/odd/"), F.col("p_partkey").cast("string"))
+    directories = t.part.select("p_brand", paths.dirname(path).alias("path"))
+    return directories.groupBy("p_brand").agg(paths.common_root(F.min("path"), F.max("path")).alias("root"))
 
 
 @query("SELECT count(*)::BIGINT AS n, count(DISTINCT o_custkey)::BIGINT AS owners, count(DISTINCT o_orderstatus)::BIGINT AS kinds FROM orders")
@@ -323,7 +327,7 @@ def union_distinct(t):
     return t.customer.select(F.col("c_custkey").alias("key")).union(t.orders.select("o_custkey")).union(t.supplier.select("s_suppkey")).distinct()
 
 
-@query("SELECT 'removed' AS side, count(*)::BIGINT AS n FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT 'added', count(*)::BIGINT FROM orders WHERE o_orderkey % 50 = 7")
+@query("SELECT o_orderkey, o_custkey, 'removed' AS side FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT o_orderkey, o_custkey, 'added' FROM orders WHERE o_orderkey % 50 = 7")
 def snapshot_diff(t):
     o = t.orders.select("o_orderkey", "o_custkey")
     return validate.snapshot_diff(o.where("o_orderkey % 50 <> 7"), o.where("o_orderkey % 100 <> 0"))
@@ -375,9 +379,7 @@ def multi_declarator(t):
 
 @query("SELECT c_custkey, o_orderpriority FROM customer, (SELECT DISTINCT o_orderpriority FROM orders) EXCEPT SELECT o_custkey, o_orderpriority FROM orders")
 def missing_case(t):
-    cases = t.orders.select("o_orderpriority").distinct()  # an enumeration's few values
-    wanted = t.customer.select("c_custkey").crossJoin(F.broadcast(cases))
-    return wanted.join(t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority"), ["c_custkey", "o_orderpriority"], "left_anti")
+    return edits.missing_cases(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority"), "c_custkey", "o_orderpriority")
 
 
 # graphs -------------------------------------------------------------------------------------------------------------
@@ -510,9 +512,11 @@ def check_domains(t):
     return validate.domain_violations(t.orders, {"status": F.col("o_orderstatus").isin("F", "O"), "price": F.col("o_totalprice") >= 1000})
 
 
-@query("SELECT 'customer' AS name, count(*)::BIGINT AS n FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT 'orders', count(*)::BIGINT FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 3")
+@query("""SELECT 'customer' AS name, c_custkey AS key FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT 'orders', o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 3
+UNION ALL SELECT 'lineitem', l_orderkey * 1000 + l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 3""")
 def cascade_delete(t):
-    tables = {"customer": t.customer, "orders": t.orders}
-    left = validate.cascade_delete(tables, t.customer.where("c_nationkey = 3").select("c_custkey"), [("orders", "o_custkey", "customer", "c_custkey")], "customer", "c_custkey")
-    count = lambda n: left[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
-    return count("customer").unionByName(count("orders"))
+    """Customers of a nation go, and with them their orders and the lines of these."""
+    keys = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey")]
+    left = validate.cascade_delete({"customer": t.customer, "orders": t.orders, "lineitem": t.lineitem}, t.customer.where("c_nationkey = 3").select("c_custkey"), keys, "customer", "c_custkey")
+    rows = lambda n, c: left[n].select(F.lit(n).alias("name"), c.alias("key"))
+    return rows("customer", F.col("c_custkey")).unionByName(rows("orders", F.col("o_orderkey"))).unionByName(rows("lineitem", F.col("l_orderkey") * 1000 + F.col("l_linenumber")))

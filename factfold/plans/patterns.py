@@ -50,13 +50,6 @@ def fact_to_symbol(t):
     return rows.select("l_orderkey", "l_partkey", "o_custkey", "p_brand")
 
 
-@query("SELECT 'owned' AS side, count(*)::BIGINT AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'error', count(*)::BIGINT FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def lookup_or_fail(t):
-    good, bad = resolve.lookup_or_fail(t.documents.select("doc_id", "lang"), t.labels.select("doc_id").distinct(), "doc_id")
-    count = lambda df, side: df.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
-    return count(good, "owned").unionByName(count(bad, "error"))
-
-
 @query("SELECT o_orderpriority AS owner, count(*)::BIGINT AS total, count(*) FILTER (WHERE o_orderstatus = 'P')::BIGINT AS failures, arg_min(o_orderkey, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderstatus = 'P') AS first_failure FROM orders GROUP BY 1")
 def failure_fold(t):
     bad = F.col("o_orderstatus") == "P"
@@ -101,20 +94,6 @@ def versioned_root(t):
     return t.part.select("p_partkey", split.alias("s")).select("p_partkey", F.col("s.base").alias("base"), F.col("s.version").alias("version"), F.get(paths.version_key(F.col("s.version")), 0).alias("major"))
 
 
-@query("SELECT p_partkey, ['/sys', '/home/me/' || p_size, 'inc'] AS roots, ['-I', '/sys', '-I/home/me/' || p_size, '-isystem', '/cwd/inc', 'a.cpp'] AS rewritten, 'clang++' AS driver FROM part")
-def command_includes(t):
-    home = argv.expand_home(F.concat(F.lit("~/"), F.col("p_size").cast("string")), "/home/me")
-    command = F.array(F.lit("-I"), argv.expand_environment(F.lit("${ROOT}"), {"ROOT": "/sys"}), F.concat(F.lit("-I"), home), F.lit("-isystem"), F.lit("inc"), F.lit("a.cpp"))
-    return t.part.select("p_partkey", argv.include_roots(command).alias("roots"), argv.rewrite_includes(command, F.lit("/cwd")).alias("rewritten"), argv.driver(command, F.lit("a.cpp")).alias("driver"))
-
-
-@query("SELECT p_partkey, ['g++', '-DN=' || p_size] AS command, CASE WHEN p_size > 25 THEN '/boost' ELSE '/x/y' END AS label FROM part")
-def launcher_and_labels(t):
-    command = F.array(F.lit("ccache"), F.lit("LANG=C"), F.lit("g++"), F.concat(F.lit("-DN="), F.col("p_size").cast("string")))
-    label = F.when(F.col("p_size") > 25, "<boost>").otherwise("<x-y>")
-    return t.part.select("p_partkey", argv.skip_launchers(command).alias("command"), argv.expand_labels(label, {"boost": "/boost"}).alias("label"))
-
-
 @query("SELECT p_partkey, p_brand || chr(31) || p_type AS key, CASE WHEN p_size > 25 THEN p_brand END AS name, CASE WHEN p_size > 25 THEN '/c/' || p_type END AS path FROM part")
 def key_and_pair(t):
     pair = argv.name_and_path(F.concat(F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise(""), F.lit("=/c/"), F.col("p_type")))
@@ -130,14 +109,6 @@ def options_json_encode(t):
 # types, literals, regions -------------------------------------------------------------------------------------------
 
 
-@query("""SELECT p_partkey, p_brand AS innermost, (p_size > 25)::INT AS is_pointer, (p_size <= 25)::INT AS is_lvalue_reference, 1 AS is_const FROM part""")
-def type_peel_flags(t):
-    spelled = F.concat(F.lit("const "), F.regexp_replace("p_brand", "#", "_"), F.when(F.col("p_size") > 25, " *").otherwise(" &"))
-    wanted = {"is_pointer", "is_lvalue_reference", "is_const"}
-    shown = t.part.select("p_partkey", F.regexp_replace(text.peel(spelled), "_", "#").alias("innermost"), *text.type_flags(spelled))
-    return shown.select("p_partkey", "innermost", *(c for c in shown.columns if c in wanted))
-
-
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'floating' WHEN 2 THEN 'string' ELSE 'none' END AS kind,
   CASE p_partkey % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size || '.5' WHEN 2 THEN p_name END AS value FROM part""")
 def constant_evaluation(t):
@@ -189,7 +160,7 @@ def reverse_edges(t):
 
 @query(f"{_UP}, c(src, dst) AS (SELECT src, dst FROM e UNION ALL SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src AS node, count(*)::BIGINT AS ancestors FROM c GROUP BY 1")
 def scope_ancestors(t):
-    return graph.closure(_tree(t)).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("ancestors"))
+    return graph.depths(_tree(t).withColumnsRenamed({"src": "node", "dst": "parent"}))
 
 
 @query("SELECT o_custkey AS usr, min(o_orderkey) AS canonical, arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderstatus = 'F') AS definition, count(*)::BIGINT AS redeclarations FROM orders GROUP BY 1")
@@ -272,14 +243,6 @@ def rename_edits(t):
     return edits.rewrite(files, found.select("file", "offset", F.lit(2).alias("length"), F.lit("X").alias("text")))
 
 
-@query("""WITH e AS (SELECT l_orderkey AS file, l_suppkey AS g, (l_partkey % 500)::BIGINT AS "offset", l_quantity::BIGINT AS length, count(*) AS c FROM lineitem GROUP BY 1, 2, 3, 4),
-r AS (SELECT *, coalesce(("offset" < max("offset" + length) OVER (PARTITION BY file ORDER BY "offset", length, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 0) AS rejected FROM e)
-SELECT file, "offset", length, g FROM r WHERE g NOT IN (SELECT g FROM r WHERE rejected = 1)""")
-def atomic_commit(t):
-    e = t.lineitem.select(F.col("l_orderkey").alias("file"), big(F.col("l_partkey") % 500).alias("offset"), big("l_quantity").alias("length"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0").alias("text"), F.col("l_suppkey").alias("g"))
-    return edits.commit_groups(e.distinct(), "g").select("file", "offset", "length", "g")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_discount > 0.02")
 def missing_override(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_returnflag") == "A").cast("int").alias("overrides"), (F.col("l_linestatus") != "F").cast("int").alias("is_override"), (F.col("l_discount") > 0.02).cast("int").alias("has_body"))
@@ -298,25 +261,6 @@ def magic_numbers(t):
     return t.part.where("p_size > 40").select("p_partkey").join(substituted, "p_partkey", "left_anti")
 
 
-@query("SELECT a.o_orderkey AS goto_key, b.o_orderkey AS label FROM orders AS a JOIN orders AS b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey")
-def goto_edges(t):
-    a = t.orders.select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("goto_key"))
-    b = t.orders.select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("label"))
-    return a.join(b, ["o_custkey", "o_orderdate"]).where("goto_key < label").select("goto_key", "label")
-
-
-@query("SELECT p_partkey, p_brand, (sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) - p_size)::BIGINT * 8 AS offset_bits, sum(p_size) OVER (PARTITION BY p_brand)::BIGINT AS size FROM part")
-def record_layout(t):
-    fields = Window.partitionBy("p_brand")
-    return t.part.select("p_partkey", "p_brand", ((F.sum("p_size").over(fields.orderBy("p_partkey")) - F.col("p_size")) * 8).alias("offset_bits"), F.sum("p_size").over(fields).alias("size"))
-
-
-@query("SELECT a.p_partkey, b.p_partkey AS target FROM part AS a JOIN part AS b ON b.p_partkey = a.p_partkey // 2 WHERE a.p_type = 'PROMO' AND b.p_size > 10")
-def shadow_resolution(t):
-    shadow = t.part.where("p_type = 'PROMO'").select("p_partkey", F.expr("p_partkey div 2").alias("target"))
-    return shadow.join(t.part.where("p_size > 10").select(F.col("p_partkey").alias("target")), "target").select("p_partkey", "target")
-
-
 @query("SELECT o_custkey AS owner, o_orderpriority AS position, max((o_totalprice > 200000)::INT) AS has_default FROM orders GROUP BY 1, 2")
 def default_over_chain(t):
     return merge.merge(t.orders.select(F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("position"), (F.col("o_totalprice") > 200000).cast("int").alias("has_default"), "o_orderkey"), ["owner", "position"], {"has_default": "or"}, ["o_orderkey"])
@@ -332,3 +276,28 @@ def specialisation_by_argument(t):
 def temporaries_per_function(t):
     rows = t.orders.where("o_orderstatus = 'F'").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy(F.col("c_nationkey").alias("function_id")).agg(F.count("*").alias("temporaries"))
+
+
+@query("""SELECT doc_id, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN NULL ELSE 'no owner: ' || doc_id END AS error FROM documents""")
+def lookup_or_fail(t):
+    good, bad = resolve.lookup_or_fail(t.documents.select("doc_id", "lang"), t.labels.select("doc_id").distinct(), "doc_id")
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS file, l_orderkey * 100 + l_suppkey AS g, (l_partkey % 500)::BIGINT AS "offset", (l_quantity % 5)::BIGINT AS length FROM lineitem),
+r AS (SELECT *, coalesce(("offset" < max("offset" + length) OVER (PARTITION BY file ORDER BY "offset", length, lpad(g::VARCHAR, 12, '0') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 0) AS rejected FROM e)
+SELECT file, "offset", length, g FROM r WHERE g NOT IN (SELECT g FROM r WHERE rejected = 1)""")
+def atomic_commit(t):
+    """Edits of a file in groups; most groups survive, and those with an edit that overlaps go whole."""
+    g = F.col("l_orderkey") * 100 + F.col("l_suppkey")
+    e = t.lineitem.select(F.col("l_orderkey").alias("file"), big(F.col("l_partkey") % 500).alias("offset"), big(F.col("l_quantity") % 5).alias("length"), F.lpad(g.cast("string"), 12, "0").alias("text"), g.alias("g"))
+    return edits.commit_groups(e.distinct(), "g").select("file", "offset", "length", "g")
+
+
+@query("""WITH f(i, spelled, p, l, r, k) AS (VALUES (0, 'const T *', 1, 0, 0, 1), (1, 'T &', 0, 1, 0, 0), (2, 'T &&', 0, 0, 1, 0), (3, 'T', 0, 0, 0, 0), (4, 'T *const', 1, 0, 0, 1), (5, 'T[8]', 1, 0, 0, 0), (6, 'volatile T * &', 0, 1, 0, 0), (7, 'const T &', 0, 1, 0, 1), (8, 'T **', 1, 0, 0, 0))
+SELECT p_partkey, p_type AS innermost, p AS is_pointer, l AS is_lvalue_reference, r AS is_rvalue_reference, k AS is_const FROM part JOIN f ON i = p_partkey % 9""")
+def type_peel_flags(t):
+    forms = ["const T *", "T &", "T &&", "T", "T *const", "T[8]", "volatile T * &", "const T &", "T **"]
+    spelled = F.replace(F.element_at(F.array(*map(F.lit, forms)), (F.col("p_partkey") % 9 + 1).cast("int")), F.lit("T"), F.col("p_type"))
+    shown = t.part.select("p_partkey", text.peel(spelled).alias("innermost"), *text.type_flags(spelled))
+    return shown.select("p_partkey", "innermost", "is_pointer", "is_lvalue_reference", "is_rvalue_reference", "is_const")
