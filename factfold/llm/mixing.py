@@ -27,8 +27,8 @@ _SPLIT = r"[\s.,;:!?|()\"']+"
 
 
 def _words(docs: DataFrame, *keep: str) -> DataFrame:
-    """The words of each row; a row without one has a null word."""
-    return docs.select(*keep, F.explode_outer(F.filter(F.split(F.lower("text"), _SPLIT), lambda w: w != "")).alias("word"))
+    """The words of each row, and empty ones at its ends; a row without a word has an empty one."""
+    return docs.select(*keep, F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), _SPLIT)).alias("word"))
 
 
 def classifier(docs: DataFrame, domain: str, train_rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> tuple[list[str], list[float], DataFrame]:
@@ -41,7 +41,7 @@ def classifier(docs: DataFrame, domain: str, train_rows: int = TRAIN_ROWS, vocab
     at = F.array_position(F.array(*map(F.lit, names)), F.col("__domain")).cast("int") - 1
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (F.array(*map(F.lit, chance))[at] if names else F.lit(0))
     counts = [F.sum((F.col("__domain") == F.lit(name)).cast("long")).alias(f"c{k}") for k, name in enumerate(names)]
-    seen = _words(known.where(part), "__domain").where("word is not null").groupBy("word").agg(F.count("*").alias("c"), *counts).where("c > 1")
+    seen = _words(known.where(part), "__domain").where("word <> ''").groupBy("word").agg(F.count("*").alias("c"), *counts).where("c > 1")
     table = cut(seen.orderBy(F.desc("c"), "word").limit(vocabulary))
     sums = table.agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(len(names))), F.count("*").alias("n")).first()
     weight = lambda k: F.round((F.log(F.col(f"c{k}") + 0.5) - math.log((sums[f"c{k}"] or 0) + 0.5 * (sums["n"] + 1))) * SCALE).cast("long").alias(f"w{k}")
@@ -56,7 +56,7 @@ def posteriors(docs: DataFrame, domain: str, **options) -> tuple[list[str], Data
     """
     names, shares, table = classifier(docs, domain, **options)
     sums = [F.sum(f"w{k}").alias(f"s{k}") for k in range(len(names))]
-    scored = _words(docs, "doc_id").join(F.broadcast(table), "word", "left").groupBy("doc_id").agg(F.count("word").alias("tokens"), F.count(F.col("w0") if names else F.lit(None)).alias("known"), *sums)
+    scored = _words(docs, "doc_id").join(F.broadcast(table), "word", "left").groupBy("doc_id").agg(F.count_if(F.col("word") != "").alias("tokens"), F.count(F.col("w0") if names else F.lit(None)).alias("known"), *sums)
     mean = lambda k: F.coalesce(F.col(f"s{k}") / F.col("known"), F.lit(0)) / SCALE * F.least(F.col("known"), F.lit(EVIDENCE)) + math.log(shares[k])
     logits = F.array(*(mean(k) for k in range(len(names)))).alias("logits")
     raised = F.transform("logits", lambda x: F.exp(x - F.array_max("logits")))
