@@ -25,7 +25,7 @@ def numbered_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def sequence(rows: DataFrame, file: str, order: list[str], name: str = "index") -> DataFrame:
-    numbered = cut(numbered_rows(rows, [file, *order], "__all"))
+    numbered = numbered_rows(rows, [file, *order], "__all")
     first = numbered.groupBy(F.col(file).alias("__file")).agg(F.min("__all").alias("__first"))
     return numbered.join(first, F.col(file).eqNullSafe(F.col("__file"))).select(*rows.columns, (F.col("__all") - F.col("__first")).alias(name))
 

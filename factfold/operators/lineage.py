@@ -5,23 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once as Parquet below the shared folder of ``spark.checkpoint.dir`` and read again.
-
-    Unlike a checkpoint this forgets the size that the optimizer estimated: estimates of joins multiply, and in a loop of joins their
-    digits grow exponentially until planning never ends. A temporary folder is used only where the setting is missing and all of
-    Spark is one local process, as in tests.
-    """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. A temporary one is used only where the setting is missing and all of Spark is one
+    local process, as in tests."""
+    sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
         if not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="factfold-"))
         folder = sc.getCheckpointDir()
-    at = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once as Parquet in the shared folder and read again.
+
+    Unlike a checkpoint this forgets the size that the optimizer estimated: estimates of joins multiply, and in a loop of joins their
+    digits grow exponentially until planning never ends.
+    """
+    at = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -21,7 +21,7 @@ SYMBOL_RULES = {
 
 
 def rule(column: str, how: str, seq: Column) -> Column:
-    """``or`` and ``and`` of 0/1 columns, ``first`` and ``last`` by sequence, ``last_but:x`` the last that isn't x, ``count``."""
+    """``or`` and ``and`` of 0/1 columns, ``first`` and ``last`` by sequence, ``last_but:x`` the last that isn't x, ``count``, ``sum``."""
     c = F.col(column)
     if how == "or":
         return F.max(c).alias(column)
@@ -33,6 +33,8 @@ def rule(column: str, how: str, seq: Column) -> Column:
         return F.max_by(c, seq).alias(column)
     if how == "count":
         return F.count(F.lit(1)).alias(column)
+    if how == "sum":
+        return F.sum(c).alias(column)
     if how.startswith("last_but:"):
         unset = how.partition(":")[2]
         return F.coalesce(F.max_by(F.when(c != unset, c), F.when(c != unset, seq)), F.lit(unset)).alias(column)

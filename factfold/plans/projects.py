@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factfold import schema
 from factfold.functions import argv, flags, paths
 from factfold.operators import validate
+from factfold.operators.lineage import shared_folder
 from factfold.plans import registry, store
 from factfold.plans.registered import big, query
 from factfold.sources import readers
+from factfold.streaming import upsert
 
 # command lines ------------------------------------------------------------------------------------------------------
 
@@ -86,6 +90,20 @@ def compiler_driver(t):
     return t.part.select("p_partkey", argv.driver(line, source, program.startswith("/usr/")).alias("driver"))
 
 
+@query("""SELECT DISTINCT unnest(['/w/' || p_brand || '/src', '/inc/' || p_type, '/w/' || p_brand || '/more']) AS directory FROM part""")
+def search_directories(t):
+    directory = F.concat(F.lit("/w/"), F.col("p_brand"))
+    line = F.array(F.lit("cc"), F.lit("-isystem"), F.concat(F.lit("/inc/x/../"), F.col("p_type")), F.lit("-Imore"), F.lit("-DI"))
+    return readers.search_directories(t.part.select(directory.alias("directory"), F.concat(F.lit("src/./"), F.col("p_name"), F.lit(".cc")).alias("file"), line.alias("arguments")))
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#2' OR p_brand = 'Brand#3'")
+def commands_of_sources(t):
+    """The commands of the sources asked for, whose paths are spelled in different ways."""
+    spelled = t.part.select("p_partkey", F.concat(F.lit("/s/./x/../"), "p_brand").alias("file"))
+    return readers.commands_for(spelled.withColumn("directory", F.lit("/")), ["/s/Brand#2", "/s//Brand#3"]).select("p_partkey")
+
+
 # registry -----------------------------------------------------------------------------------------------------------
 
 
@@ -235,3 +253,39 @@ def node_dispatch(t):
     code = (F.col("o_orderkey") % 5 + 1).cast("int")
     rows = t.orders.select("o_orderkey", code.alias("code")).join(F.broadcast(schema.dimension(t.spark, schema.NODES).withColumnRenamed("name", "node")), "code")
     return rows.select("o_orderkey", "code", "node", flags.classify(F.col("node"), {"specialised": ["Function", "Record"]}, "generic").alias("route"))
+
+
+# the store ----------------------------------------------------------------------------------------------------------
+
+
+def _store(t) -> store.Store:
+    return store.Store(t.spark, f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name, 'second' AS version, (SELECT count(*) FROM region)::BIGINT AS others FROM nation WHERE n_nationkey % 2 = 0")
+def store_versions(t):
+    """Two tables are written together, then one of them anew; a write that fails switches nothing."""
+    at = _store(t)
+    rows = t.nation.select(big("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    at.replace(t.spark, {"nation": rows, "region": t.region}, {"version": "first"})
+    at.replace(t.spark, {"nation": rows.where("id % 2 = 0")}, {"version": "second"})
+    try:
+        at.replace(t.spark, {"nation": rows.select(F.raise_error(F.lit("broken")).cast("long").alias("id"))}, {"version": "third"})
+    except Exception as e:
+        if "broken" not in str(e):
+            raise
+    return at.read("nation").withColumn("version", F.lit(at.property("version"))).withColumn("others", F.lit(at.read("region").count()))
+
+
+@query("SELECT o_custkey AS usr, max((o_totalprice > 200000)::INT) AS defined, arg_max(o_orderstatus, o_orderkey) AS access, count(*)::BIGINT AS sightings FROM orders GROUP BY 1")
+def upsert_stream(t):
+    """Orders as a stream of sightings, merged into the store by micro-batches; the second run finds nothing new."""
+    at, name = _store(t), "symbol"
+    rules = {"defined": "or", "access": "last", "sightings": "sum"}
+    source = t.orders.select(F.col("o_custkey").alias("usr"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") > 200000).cast("int").alias("defined"), F.col("o_orderstatus").alias("access"), F.lit(1).cast("long").alias("sightings"))
+    source.where("seq % 2 = 0").write.parquet(f"{at.root}-in")
+    source.where("seq % 2 = 1").write.mode("append").parquet(f"{at.root}-in")
+    for _ in range(2):
+        stream = t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{at.root}-in")
+        upsert.upsert_stream(stream, at, name, ["usr"], rules, ["seq"], f"{at.root}-checkpoint").awaitTermination()
+    return at.read(name).select("usr", "defined", "sightings").join(source.groupBy("usr").agg(F.max_by("access", "seq").alias("access")), "usr")

@@ -42,10 +42,16 @@ def query(spark: SparkSession, sql: str, mapper: Callable[[Row], T], *binds: Any
 
 
 def collect(items: Iterator[T]) -> list[T]:
+    """All items at once. Raw rows are for a single pass and are refused: map them first."""
+    out = []
     try:
-        return list(items)
+        for item in items:
+            if isinstance(item, Row):
+                raise QueryError("raw rows can't be collected; map them to values")
+            out.append(item)
     except PySparkException as e:
         raise QueryError(str(e)) from e
+    return out
 
 
 def columns(spark: SparkSession, table: str) -> list[tuple[str, str]]:

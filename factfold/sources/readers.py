@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from factfold import schema
+from factfold.functions import argv, paths
 
 COMMANDS = "directory string, file string, arguments array<string>, command string, output string"
 
@@ -33,12 +34,25 @@ def select_commands(commands: DataFrame, sources: list[str]) -> DataFrame:
     return commands.where(F.col("file").isin(*sources)) if sources else commands
 
 
+def commands_for(commands: DataFrame, sources: list[str]) -> DataFrame:
+    """The commands whose source is one of the paths asked for, however either is spelled."""
+    asked = commands.sparkSession.createDataFrame([(s,) for s in sources], "asked string").select(paths.normalise(F.col("asked")).alias("asked")).distinct()
+    return commands.join(asked, paths.normalise(F.col("file"), F.col("directory")) == F.col("asked"), "left_semi")
+
+
 def file_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, size, modified) of all files below a directory; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def search_directories(commands: DataFrame) -> DataFrame:
+    """(directory): where files are looked for: the directories of all sources and the include roots of all commands, each once."""
+    source = paths.normalise(F.col("file"), F.col("directory"))
+    roots = commands.select(F.explode(argv.include_roots(F.col("arguments"), F.col("directory"))).alias("directory"))
+    return commands.select(paths.dirname(source).alias("directory")).unionByName(roots.select(paths.normalise(F.col("directory")).alias("directory"))).distinct()
+
+
 def discover(commands: DataFrame, trees: DataFrame) -> DataFrame:
     """(path): command sources and tree files, each once."""
     return commands.select(F.col("file").alias("path")).unionByName(trees.select("path")).distinct()

@@ -97,6 +97,8 @@ def test_edits(spark):
 
 def test_query_api(spark):
     assert query.collect(query.query(spark, "SELECT id FROM range(5) WHERE id > ?", lambda r: r.id, 2)) == [3, 4]
+    with pytest.raises(query.QueryError, match="raw rows"):
+        query.collect(query.rows(spark, "SELECT 1 AS a"))
     for sql, binds in (("SELECT ?", ()), ("SELECT '?'", (1,)), ("SELEC 1", ())):
         with pytest.raises(query.QueryError):
             query.frame(spark, sql, *binds)
