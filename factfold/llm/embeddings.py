@@ -88,34 +88,34 @@ def build(members: pd.DataFrame) -> pd.DataFrame:
 
 def greedy_search(x: np.ndarray, lists: list[np.ndarray], starts: np.ndarray, queries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, vertex) pairs of cosine near or over the threshold, by range-expanding greedy search for a block of queries."""
-    degree = np.array([len(a) for a in lists])
+    degree, m = np.array([len(a) for a in lists]), len(x)
     first, flat = np.cumsum(degree) - degree, np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
-    score = np.full((len(queries), len(x)), -2.0, np.float32)
-    done = np.zeros(score.shape, bool)
     low, qlow = x.astype(np.float32), queries.astype(np.float32)
-    score[:, starts] = qlow @ low[starts].T
-    step, used = 4, 0
+    waiting = np.full((len(queries), m), -2.0, np.float32)  # scores of what was seen and not expanded yet
+    seen = np.zeros(waiting.shape, bool)
+    q, v = np.repeat(np.arange(len(queries)), len(starts)), np.tile(starts, len(queries))
+    step, used, found = min(4, m), 0, []
     while True:
-        waiting = np.where(done, -2.0, score)
-        frontier = waiting >= threshold - SLACK
+        value = np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", qlow[q[i : i + 200_000]], low[v[i : i + 200_000]]) for i in range(0, len(q), 200_000))])
+        seen[q, v], waiting[q, v] = True, value
+        hit, close = value >= threshold - 1e-3, value >= threshold - SLACK
+        found.append(q[hit] * m + v[hit])
+        frontier = [q[close] * m + v[close]]
         if used < beam:
-            best = np.argpartition(-waiting, min(step, waiting.shape[1]) - 1, axis=1)[:, :step]
-            np.put_along_axis(frontier, best, np.take_along_axis(waiting, best, 1) > -1.5, 1)
+            best = np.argpartition(-waiting, step - 1, axis=1)[:, :step]
+            row, k = np.nonzero(np.take_along_axis(waiting, best, 1) > -1.5)
+            frontier.append(row * m + best[row, k])
             used += step
-        q, v = np.nonzero(frontier)
+        q, v = np.divmod(np.unique(np.concatenate(frontier)), m)
+        alive = waiting[q, v] > -1.5
+        q, v = q[alive], v[alive]
         if not len(q):
-            break
-        done[q, v] = True
+            return np.divmod(np.concatenate(found), m)
+        waiting[q, v] = -2.0
         count = degree[v]
         to = flat[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[v], count)]
-        from_q = np.repeat(q, count)
-        new = score[from_q, to] < -1.5
-        pairs = np.unique(from_q[new] * len(x) + to[new])
-        from_q, to = np.divmod(pairs, len(x))
-        for i in range(0, len(to), 200_000):
-            a, b = from_q[i : i + 200_000], to[i : i + 200_000]
-            score[a, b] = np.einsum("ij,ij->i", qlow[a], low[b])
-    return np.nonzero(score >= threshold - 1e-3)
+        pairs = np.repeat(q, count) * m + to
+        q, v = np.divmod(np.unique(pairs[~seen.ravel()[pairs]]), m)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
