@@ -85,6 +85,42 @@ def calibration(rows: DataFrame) -> IsotonicRegressionModel:
     return IsotonicRegression(featuresCol="p", predictionCol="calibrated").fit(knots)
 
 
+class Fitted:
+    """What is learned: the lexicons (the last one of all folds), the trees and the calibration."""
+
+    def __init__(self, sample: DataFrame):
+        held = self.lexicons = sample.sparkSession.sparkContext.broadcast(lexicons(sample))
+        crossed = [self.features(sample.where(F.col("fold") == k), ["doc_id", "y"], k) for k in range(FOLDS)]
+        every = crossed[0]
+        for other in crossed[1:]:
+            every = every.unionByName(other)
+        self.vectors = VectorAssembler(inputCols=TOXICITY, outputCol="features")
+        rows = cut(self.vectors.transform(every).select("doc_id", "features", F.col("y").cast("double").alias("label")).repartition(PARTS))
+        part = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
+        self.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=42, maxBins=64).fit(rows.where(~part))
+        rest = self.probability(rows.where(part))
+        kinds = rest.agg(F.min("label"), F.max("label")).first()
+        self.steps = calibration(rest if kinds[0] == 0.0 and kinds[1] == 1.0 else self.probability(rows))
+        self.lexicon = held.value[FOLDS]
+
+    def features(self, rows: DataFrame, keep: list[str], left_out: int) -> DataFrame:
+        held = self.lexicons
+        return feature_rows(rows, keep, TOXICITY, lambda at, t, batch: toxicity(t, *held.value[left_out]))
+
+    def probability(self, rows: DataFrame) -> DataFrame:
+        return self.trees.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+
+    def scored(self, docs: DataFrame, *keep: str) -> DataFrame:
+        """keep and ``calibrated`` of each row of docs."""
+        return self.steps.transform(self.probability(self.vectors.transform(self.features(docs, list(keep), FOLDS)))).select(*keep, "calibrated")
+
+
+def taught_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
+    """The sample of ``sample_labelled`` outside the held-out fifth, with the fold of each row."""
+    sample = sample_labelled(docs, labels, "toxic", crc_bucket("doc_id", 5) != 0, train_rows)
+    return cut(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")))
+
+
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of docs.
 
@@ -94,31 +130,13 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     other columns are ignored; an empty table gives an empty result.
     """
     held_out = crc_bucket("doc_id", 5) == 0
-    sample = cut(sample_labelled(docs, labels, "toxic", ~held_out, train_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")))
+    sample = taught_rows(docs, labels, train_rows)
     counts = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     if not 0 < counts.p < counts.n:
         flat = F.lit((counts.p + 1) / (counts.n + 2))
         return docs.select("doc_id", held_out.alias("held_out"), flat.alias("score"), (flat >= 0.5).cast("int").alias("predicted"))
-    held = docs.sparkSession.sparkContext.broadcast(lexicons(sample))
-
-    def features(rows: DataFrame, keep: list[str], left_out: int) -> DataFrame:
-        return feature_rows(rows, keep, TOXICITY, lambda at, t, batch: toxicity(t, *held.value[left_out]))
-
-    crossed = [features(sample.where(F.col("fold") == k), ["doc_id", "y"], k) for k in range(FOLDS)]
-    every = crossed[0]
-    for other in crossed[1:]:
-        every = every.unionByName(other)
-    vectors = VectorAssembler(inputCols=TOXICITY, outputCol="features")
-    rows = cut(vectors.transform(every).select("doc_id", "features", F.col("y").cast("double").alias("label")).repartition(PARTS))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=42, maxBins=64).fit(rows.where(~part))
-    probability = lambda df: trees.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-    rest = probability(rows.where(part))
-    kinds = rest.agg(F.min("label"), F.max("label")).first()
-    steps = calibration(rest if kinds[0] == 0.0 and kinds[1] == 1.0 else probability(rows))
-    scored = steps.transform(probability(vectors.transform(features(docs, ["doc_id"], FOLDS))))
     final = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated")))
-    out = scored.select("doc_id", held_out.alias("held_out"), final.alias("score"))
+    out = Fitted(sample).scored(docs, "doc_id").select("doc_id", held_out.alias("held_out"), final.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

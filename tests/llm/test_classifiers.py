@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from factfold.llm import features, quality, toxicity
@@ -95,3 +100,86 @@ def test_lexicons_equal_their_definition(spark):
             if p >= toxicity.LEAST_ROWS and odds >= toxicity.LEAST_ODDS:
                 want[h] = odds
         assert len(want) >= 2 and dict(zip(keys, weights, strict=True)) == pytest.approx(want)
+
+
+# the features in plain Python ---------------------------------------------------------------------------------------
+
+
+def _kinds(text):
+    data = re.sub(r"[^\w\x00-\x7f]", " ", text or "").encode()
+    letter = [97 <= b <= 122 or 65 <= b <= 90 or b >= 128 for b in data] + [False]
+    digit = [48 <= b <= 57 for b in data] + [False]
+    symbol = [not (x or d) and b not in b"\t\n\x0b\x0c\r " for b, x, d in zip(data, letter, digit, strict=False)]
+    inside = [letter[i] or digit[i] or (data[i] in b"$@" and letter[i + 1]) for i in range(len(data))] + [False]
+    words, at = [], None
+    for i, x in enumerate(inside):
+        if x and at is None:
+            at = i
+        elif not x and at is not None:
+            words.append((at, i))
+            at = None
+    return data, letter, symbol, words
+
+
+def plain_toxicity(text, lexicon):
+    data, letter, symbol, words = _kinds(text)
+    hashes = [features.Text([data[a:b].decode()]) for a, b in words]
+    own, stem = [lexicon.get(int(t.word[0]), 0.0) for t in hashes], [lexicon.get(int(t.stem[0]), 0.0) for t in hashes]
+    weight = [max(pair) for pair in zip(own, stem, strict=True)]
+    you = [data[a:b].decode().translate(str.maketrans("013457@$", "oieastas")).lower() in features.SECOND_PERSON for a, b in words]
+    near = sum(w > 0 and any(you[max(0, i - 5) : i + 6]) for i, w in enumerate(weight))
+    n, size, hits = max(len(words), 1), max(len(data), 1), sum(w > 0 for w in weight)
+    top = sorted(weight, reverse=True) + [0.0, 0.0]
+    upper = lambda b: 65 <= b <= 90
+    shouted = sum(all(map(upper, data[a:b])) and b - a > 2 for a, b in words)
+    masked = sum(data[i] in b"0134579@$*#" and letter[i - 1] and letter[i + 1] for i in range(1, len(data)))
+    return [
+        hits, hits / n, sum(weight), sum(weight) / n, top[0], top[0] + top[1], sum(x > 0 for x in stem), sum(you) / n, near / n,
+        sum(map(upper, data)) / size, shouted / n, data.count(b"!") / size, data.count(b"?") / size, sum(symbol) / size, masked / size, np.log1p(len(words)),
+    ]
+
+
+def plain_quality(text):
+    data, letter, symbol, words = _kinds(text)
+    spelled = [data[a:b].decode().translate(str.maketrans("013457@$", "oieastas")) for a, b in words]
+    spelled = ["".join(c.lower() if c.isascii() else c for c in w) for w in spelled]
+    n, size, counts = max(len(words), 1), max(len(data), 1), Counter(spelled)
+    lines = data.count(b"\n") + 1
+    of_line = Counter(data[:a].count(b"\n") for a, _ in words)
+    ends = sum(i > 0 and (data + b"\n")[i] == 10 and data[i - 1] in b"!.?\":" for i in range(len(data) + 1))
+    return [
+        sum(symbol) / size, sum(symbol[i] and data[i] == data[i - 1] for i in range(1, len(data))) / size, data.count(b"|") / n,
+        sum(a == b for a, b in zip(spelled, spelled[1:], strict=False)) / n, len(counts) / n**0.8, max(counts.values(), default=0) / n,
+        min(sum(b - a for a, b in words) / n, 20), np.log1p(len(words) / lines), ends / lines, sum(48 <= b <= 57 for b in data) / size,
+        sum(65 <= b <= 90 for b in data) / size, sum(letter) / size, sum(v == 1 for v in of_line.values()) / n, np.log1p(len(words)), float(not words),
+    ]
+
+
+def test_toxicity_query_equals_plain_features_and_trees(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.Fitted(toxicity.taught_rows(docs, labels, toxicity.TRAIN_ROWS))
+    lexicon = dict(zip(map(int, model.lexicon[0]), model.lexicon[1].tolist(), strict=True))
+    got = {r.doc_id: r for r in toxicity.op4_toxicity(spark, data).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        p = model.trees.predictProbability(Vectors.dense(plain_toxicity(r.text, lexicon)))[1]
+        want = np.interp(p, list(model.steps.boundaries), list(model.steps.predictions))
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-6) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+
+
+def test_quality_query_equals_plain_features_and_ranking(spark, data):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    y = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    x = {i: plain_quality(t) for i, t in docs.items()}
+    taught = spark.createDataFrame([(i, y[i], *map(float, x[i])) for i in y if i in x], "doc_id long, y int, " + ", ".join(f"{f} double" for f in features.QUALITY))
+    weights = quality.fit(taught)
+    strength = {i: float(np.dot(v, weights)) for i, v in x.items()}
+    own = [strength[i] for i in y if i in x]
+    threshold = np.quantile(own, 1 - np.mean([y[i] for i in y if i in x]))
+    got = {r.doc_id: r for r in quality.op6_quality(spark, data).collect()}
+    assert got.keys() == docs.keys()
+    for i, r in got.items():
+        ahead = strength[i] - threshold
+        assert r.score == pytest.approx(1 / (1 + np.exp(-ahead - np.log(0.7 / 0.3))), abs=2e-3)
+        assert r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
