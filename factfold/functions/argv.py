@@ -115,8 +115,8 @@ def _values(argv: Column, flag_of: Callable[[Column], Column], separate: list[st
     start = F.struct(_empty().alias("out"), F.lit(False).alias("value"))
 
     def step(s: Column, x: Column) -> Column:
-        flag = flag_of(x)
-        new = F.when(s["value"], change(x)).when(x.isin(*separate) | flag.isNull(), x).otherwise(joined(flag, F.substr(x, F.length(flag) + 1, F.length(x))))
+        changed = lambda f: F.when(f.isNull(), x).otherwise(joined(f, F.substr(x, F.length(f) + 1, F.length(x))))
+        new = F.when(s["value"], change(x)).when(x.isin(*separate), x).otherwise(F.transform(F.array(flag_of(x)), changed)[0])  # the flag is sought once
         return F.struct(F.array_append(s["out"], new).alias("out"), (~s["value"] & x.isin(*separate)).alias("value"))
 
     return F.aggregate(argv, start, step)["out"]
