@@ -12,12 +12,22 @@ from factfold.operators.lineage import cut
 
 #: Most rows of ids that are broadcast after they have been counted; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: The letters that are lower-cased where only A-Z are.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have: the stem with as many underscores before it as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def arrow_map(df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """Apply ``work`` to each Arrow batch of ``columns``; None and empty batches give no rows."""
 
