@@ -18,7 +18,7 @@ from factfold.llm.common import LOWER, UPPER, cut, free_name, read
 
 #: Lines of fewer code points stay everywhere; characters that are stripped off a line's ends before it is compared.
 LEAST, BLANKS = 10, " \t\n\x0b\x0c\r"
-#: One row in SAMPLE tells which lines are crowded: those that CROWD sampled rows hold, at most CROWDS of them.
+#: One line in SAMPLE tells which lines are crowded: those that are CROWD times among them, at most CROWDS of them.
 SAMPLE, CROWD, CROWDS = 64, 32, 20_000
 WORD = 64
 
@@ -40,8 +40,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc, copy, at) of the lines that go."""
-    lines, key = occurrences(docs), ["h", "g"]
-    sampled = occurrences(docs.sample(1 / SAMPLE, seed=42)).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
+    lines, key = cut(occurrences(docs)), ["h", "g"]  # numbers only, written once: texts are split and hashed in one pass
+    sampled = lines.sample(1 / SAMPLE, seed=42).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
     crowded = cut(sampled.orderBy(F.desc("n"), *key).limit(CROWDS).select(*key))
     order = F.struct(F.col("doc").isNull().alias("none"), "doc")
     least = cut(lines.join(F.broadcast(crowded), key, "left_semi").groupBy(*key).agg(F.min(order)["doc"].alias("first")))
