@@ -5,9 +5,10 @@ two nearest shards, so that shards overlap, and has its home in the nearest. Eac
 ones, prunes the lists robustly, and the lists of a class from all its shards are united. Then each class is searched for in
 every shard whose home members may be within the threshold of it: a greedy search from the shard's medoids over the united
 lists, which goes on expanding every vertex near the threshold until there is none. What it finds is verified by cosine in
-double precision. Classes drawn without regard to the result are audited against brute force, and a recall below the target,
-of links or of classes, widens the search. If it is still below after the last round, or too few of the drawn classes link with
-anything to tell, every class is compared with all members of every shard that can hold a partner, which misses none.
+double precision. The result is audited against brute force on classes drawn without regard to it and on planted vectors: near
+copies of drawn classes, which take part in the search as any vector does but count for nobody, so that there are links to be missed
+however rare they are in the table. A recall below the target, of links or of classes, widens the search. If it is still below after the last
+round, every class is compared with all members of every shard that can hold a partner, which misses none.
 
 A shard of more than SPLIT times ``shard_rows`` members is clustered again, by centroids of a bounded sample of its own, until none
 is left; at every level a class goes down to the shards that it is near to and to those that may hold a partner. So shards keep their
@@ -30,7 +31,7 @@ THRESHOLD, SHARD_ROWS, SAMPLE, MAX_CENTROIDS = 0.9, 600, 16_384, 2_048
 #: Splitting of large shards: from how many times SHARD_ROWS on, into how many at most, rows of its sample, rows dealt at a time, levels.
 SPLIT, FANOUT, SHARD_SAMPLE, DEALT, LEVELS = 4, 32, 2_048, 20_000, 16
 DEGREE, NEAREST, ALPHA, BEAM, SLACK, MARGIN = 24, 48, 1.2, 24, 0.1, 1.0
-AUDIT_ROWS, AUDIT_LINKED, RECALL, ROUNDS, BLOCK = 4_096, 50, 0.98, 4, 256
+AUDIT_ROWS, PLANTED, RECALL, ROUNDS, BLOCK = 4_096, 512, 0.98, 4, 256
 ROUTED = "shard string, rep long, e {}, n long, member boolean, home boolean"
 
 
@@ -154,6 +155,7 @@ def search(shard: pd.DataFrame, threshold: float, beam: int | None) -> pd.DataFr
             a, b = q[j : j + 200_000], v[j : j + 200_000]
             ok = (ids[a] != ids[b]) & home[b] & (np.einsum("ij,ij->i", x[a], x[b]) >= threshold)
             np.add.at(links, a[ok], n[b[ok]])
+            ok &= (n[a] > 0) & (n[b] > 0)  # planted vectors join no groups
             left.append(a[ok])
             right.append(b[ok])
     order = np.argsort(ids, kind="stable")  # so that the smallest vertex is the smallest class
@@ -230,6 +232,8 @@ def split(routed: DataFrame, reach: float, shard_rows: int) -> DataFrame:
         rows = routed.join(fits.select("shard", "blocks"), "shard").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
         dealt = rows.groupBy("shard", "block").cogroup(each.groupBy("shard", "block")).applyInPandas(deal, ROUTED.format(kind))
         routed = cut(routed.join(fits.select("shard"), "shard", "left_anti").unionByName(dealt))
+    else:
+        raise RuntimeError(f"shards are still too large after {LEVELS} levels")
     return routed
 
 
@@ -252,33 +256,48 @@ def _linked(classes: DataFrame, total: int, threshold: float, margin: float, bea
     return tasks.join(united, "rep", "left").groupBy("shard", "block").applyInPandas(lambda s: search(s, threshold, beam), "rep long, links long, root long")
 
 
-def _audit(classes: DataFrame, found: DataFrame, threshold: float, rows: int, total: int) -> float:
-    """Recall for about ``rows`` classes that brute force compares with every class, drawn by hash and not by what was found:
-    the lesser of links found over links there are and of its mean over the classes that link with anything.
-
-    Zero if fewer than AUDIT_LINKED of them do, unless all classes were drawn.
-    """
+def plant(classes: DataFrame, total: int, threshold: float, low: int, high: int, rows: int = PLANTED) -> DataFrame:
+    """(rep, e, n = 0): for about ``rows`` classes drawn by hash a vector at a cosine anywhere between the threshold and one,
+    in a random direction. Their numbers lie below low, the least that a class of any length has, or above high where there is no room."""
+    part = F.pmod(F.xxhash64("rep", F.lit("plant")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, rows / total))
+    drawn = classes.where(part).select("rep", "e").toPandas()
+    drawn = (drawn if len(drawn) else classes.select("rep", "e").limit(1).toPandas()).sort_values("rep")
+    x, rng = _unit(drawn["e"]), np.random.default_rng(42)
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+    cosine = (threshold + (1 - threshold) * rng.uniform(0.02, 0.98, len(x)))[:, None]
+    near = cosine * x + np.sqrt(1 - cosine * cosine) * aside
+    ids = [low - 1 - i if low > -(1 << 62) else high + 1 + i for i in range(len(x))]
+    rows_ = pd.DataFrame({"rep": ids, "e": near.tolist(), "n": 0})
+    return classes.sparkSession.createDataFrame(rows_, classes.select("rep", "e", "n").schema)
+
+
+def truth(classes: DataFrame, threshold: float, rows: int, total: int) -> DataFrame:
+    """(rep, true): for about ``rows`` classes, drawn by hash and not by what was found, and all planted ones how many vectors brute
+    force links them with."""
     part = F.pmod(F.xxhash64("rep", F.lit("audit")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, rows / total))
-    asked = classes.where(part).select("rep", "e").toPandas()
-    if not len(asked):
-        return 0.0
-    ids, x = asked["rep"].to_numpy(), _unit(asked["e"])
+    asked = classes.where(part | (F.col("n") == 0)).select("rep", "e").toPandas()
+    ids, x = asked["rep"].to_numpy(), _unit(asked["e"]) if len(asked) else np.zeros((0, 1))
 
     def count(batches):
         sums = np.zeros(len(ids), np.int64)
         for batch in batches:
-            if len(batch):
+            if len(batch) and len(ids):
                 y, own, n = _unit(batch["e"]), batch["rep"].to_numpy(), batch["n"].to_numpy()
                 for i in range(0, len(y), BLOCK):
                     near = (y[i : i + BLOCK] @ x.T >= threshold) & (own[i : i + BLOCK, None] != ids[None, :])
                     sums += n[i : i + BLOCK] @ near
         yield pd.DataFrame({"rep": ids, "true": sums})
 
-    true = classes.select("rep", "e", "n").mapInPandas(count, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
+    counted = classes.select("rep", "e", "n").mapInPandas(count, "rep long, true long")
+    return cut(counted.groupBy("rep").agg(F.sum("true").alias("true")).where(F.col("true") > 0))
+
+
+def recall_of(known: DataFrame, found: DataFrame) -> float:
+    """Of the audited classes that link with anything: the lesser of links found over links there are and of its mean over the classes."""
     hit = F.least(F.coalesce("links", F.lit(0)), F.col("true"))
-    r = true.where(F.col("true") > 0).join(found, "rep", "left").agg(F.count("*"), F.sum("true"), F.sum(hit), F.avg(hit / F.col("true"))).first()
-    if r[0] < AUDIT_LINKED and len(asked) < total:
-        return 0.0
+    r = known.join(found, "rep", "left").agg(F.count("*"), F.sum("true"), F.sum(hit), F.avg(hit / F.col("true"))).first()
     return min(r[2] / r[1], r[3]) if r[0] else 1.0
 
 
@@ -300,13 +319,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: i
     rows, key = cut(keyed.select("vec_id", "h", "g")), ["h", "g"]  # 128 bits stand for a vector, which is moved once
     count = rows.where("h is not null").distinct().groupBy(*key).agg(F.count("*").alias("n"))
     classes = cut(keyed.where("h is not null").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.first("e").alias("e")).join(count, key))
-    parts, recall = [], 1.0
+    parts, recall, span = [], 1.0, classes.agg(F.min("rep"), F.max("rep")).first()
     for r in classes.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).collect():
         own = classes.where(F.size("e") == r.d).select("rep", "e", "n")
+        every = cut(own.unionByName(plant(own, r.n, threshold, *span)))
+        known = truth(every, threshold, AUDIT_ROWS, r.n)
         for k in range(ROUNDS):
-            found = cut(_linked(own, r.n, threshold, MARGIN * 2**k, BEAM * 2**k, shard_rows))
-            sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-            reached = _audit(own, sums, threshold, AUDIT_ROWS, r.n)
+            found = cut(_linked(every, r.n, threshold, MARGIN * 2**k, BEAM * 2**k, shard_rows))
+            reached = recall_of(known, found.groupBy("rep").agg(F.sum("links").alias("links")))
             if reached >= RECALL:
                 recall = min(recall, reached)
                 break

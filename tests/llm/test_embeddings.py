@@ -83,7 +83,34 @@ def test_audit_sees_classes_whose_every_link_was_missed(spark):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([pairs, crowd]))]
     classes = spark.createDataFrame(rows, "rep long, e array<float>, n long")
     found = spark.createDataFrame([(i, 299) for i in range(600, 900)], "rep long, links long")
-    assert embeddings._audit(classes, found, 0.9, embeddings.AUDIT_ROWS, 900) < 0.5
+    assert embeddings.recall_of(embeddings.truth(classes, 0.9, embeddings.AUDIT_ROWS, 900), found) < 0.5
+
+
+def test_rare_links_are_found_without_comparing_all_pairs(spark, monkeypatch):
+    """Planted vectors tell how much was found where hardly anything links, and change nothing."""
+    rng, calls, linked = np.random.default_rng(11), [], embeddings._linked
+    monkeypatch.setattr(embeddings, "_linked", lambda *a: calls.append(a) or linked(*a))
+    x = rng.normal(size=(9_000, 32))
+    x[20:40] = x[:20] + 0.03 * rng.normal(size=(20, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert len(calls) <= 2 and all(c[4] for c in calls)  # never all pairs
+    assert all(r.recall >= embeddings.RECALL for r in got)
+    links = {r.vec_id: (r.n_links, r.component_id) for r in got if r.n_links}
+    assert links == {i: (1, i % 20) for i in range(40)} and len(got) == 9_000
+    classes = spark.createDataFrame([(i, v, 1) for i, v in rows], "rep long, e array<float>, n long")
+    known = embeddings.truth(classes.unionByName(embeddings.plant(classes, 9_000, 0.9, 0, 8_999)), 0.9, embeddings.AUDIT_ROWS, 9_000)
+    assert known.count() >= 50
+
+
+def test_planted_vectors_keep_their_cosine_and_their_numbers(spark):
+    rows = [(-(1 << 63), [1.0, 0.0], 1), (5, [0.0, 3.0], 2)]
+    classes = spark.createDataFrame(rows, "rep long, e array<float>, n long")
+    got = embeddings.plant(classes, 2, 0.9, -(1 << 63), 5).collect()
+    assert [r.rep for r in got] == [6, 7] and all(r.n == 0 for r in got)
+    assert all(0.9 < embeddings._unit([r.e])[0] @ embeddings._unit([e])[0] < 1 for r, (_, e, _) in zip(got, rows, strict=True))
+    lone = embeddings.plant(spark.createDataFrame([(3, [2.0], 1)], "rep long, e array<float>, n long"), 1, 0.9, 3, 3).collect()
+    assert [r.rep for r in lone] == [2]
 
 
 def test_the_last_way_is_exact(spark, monkeypatch):
