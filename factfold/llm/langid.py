@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factfold.llm.common import crc_bucket, cut, join_ids, read
+from factfold.llm.common import crc_bucket, cut, free_name, join_ids, read
 
 ORDER, MAX_GRAMS, CHUNK, SPACE = 4, 600_000, 250_000, 32
 UNKNOWN, END, SCALES = "und", (1 << 63) - 1, (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
@@ -303,7 +303,7 @@ class Rule:
         rejection limit beyond nearly all it has seen there; those of few rows are named."""
         width, index = len(self.langs), {x: k for k, x in enumerate(self.langs)}
         own = F.col("entropy")[F.array_position(F.array(*map(F.lit, self.langs)), F.col("taught")).cast("int") - 1]
-        known = scored.where("taught is not null and size > 0").withColumn("own", own)
+        known = scored.where((F.col("size") > 0) & F.col("taught").isin(self.langs)).withColumn("own", own)  # a language without a model teaches nothing
         cube = known.rollup("taught").agg(F.percentile_approx("own", QUANTILE, ACCURACY).alias("q")).collect()
         pooled = next((r.q for r in cube if r.taught is None), None)
         for r in cube:
@@ -344,10 +344,10 @@ def _matrix(column: pa.Array, langs: int) -> np.ndarray:
 
 def judged(docs: DataFrame, *keep: str, **options) -> DataFrame:
     """(*keep, lang_pred, score, rejected) for each row of docs, after training on those not held out."""
-    taught = ~held_out() & F.col("lang").isNotNull()
+    taught = ~held_out() & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     sizes = docs.where(taught).groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") < FEW).collect()
     few = sorted(r.lang for r in sizes)
-    of_few, known = F.col("lang").isin(few), taught & F.col("text").isNotNull()
+    of_few, known = F.col("lang").isin(few), taught
     aside = F.pmod(F.xxhash64("doc_id", "text", F.lit("aside")), F.lit(ASIDE)) == 0
     parts = train(docs.where(known & (of_few | ~aside)), **options)
     scored = score(docs.withColumn("__taught", F.when(known & (of_few | aside), F.col("lang"))), parts, *keep, "__taught")
@@ -381,10 +381,10 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that language ID rejects; they go by the text's digest, as nothing but the text decides."""
-    digest = F.md5(F.coalesce("text", F.lit("")))
-    found = judged(docs.select("doc_id", "lang", "text", digest.alias("__digest")), "__digest", **options)
-    odd = found.where("rejected").select("__digest").distinct()
-    return join_ids(docs.withColumn("__digest", digest), odd, "left_anti", "__digest").select(*docs.columns)
+    digest, name = F.md5(F.coalesce("text", F.lit(""))), free_name(docs, "digest")
+    found = judged(docs.select("doc_id", "lang", "text", digest.alias(name)), name, **options)
+    odd = found.where("rejected").select(name).distinct()
+    return join_ids(docs.withColumn(name, digest), odd, "left_anti", name).select(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,3 +192,19 @@ def test_query_equals_the_definition(spark, data):
             assert got[r.doc_id].lang_pred == langs[best] and got[r.doc_id].score == pytest.approx(posterior[j, best], abs=1e-3)
         else:
             assert got[r.doc_id].lang_pred == "und"
+
+
+def test_languages_without_usable_text_teach_nothing(spark):
+    """Rows of null texts are many, and the only text stands in the part that is not counted."""
+    good = [prose("aa", 20, i) for i in range(50)]
+    rows = documents(spark, [*good, *[None] * 1_200, *["12 34"] * 30], ["aa"] * 50 + ["cc"] * 1_230)
+    one = documents(spark, ["fluss stein hell"], ["cc"], first=2_000)
+    for k in range(3):
+        found = langid.identify(rows.unionByName(one.withColumn("doc_id", F.col("doc_id") + k))).collect()
+        assert len(found) == 1_281 and all(r.lang_pred == "aa" for r in found if r.doc_id < 50)
+
+
+def test_stage_keeps_columns_named_like_its_own(spark):
+    docs = documents(spark, [prose("aa", 30, i) for i in range(30)]).withColumns({"digest": F.lit("mine"), "__digest": F.lit("also"), "Lang_pred": F.lit(1)})
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns and {(r["digest"], r["__digest"]) for r in kept.collect()} == {("mine", "also")}
