@@ -2,7 +2,7 @@
 
 A lexicon of words and stems is learned from the labelled rows by smoothed log odds, in FOLDS folds: the rows of one fold get
 their features from the lexicon of the others, so that the trees don't trust words that only their own row made look toxic.
-Trees are fitted on four fifths of the sample and calibrated on the rest; texts are scored with the lexicon of all folds.
+Trees are fitted on four fifths of the sample and calibrated on the rest (both on all of it, if either side lacks toxic or clean rows); texts are scored with the lexicon of all folds.
 """
 
 from __future__ import annotations
@@ -97,10 +97,10 @@ class Fitted:
         self.vectors = VectorAssembler(inputCols=TOXICITY, outputCol="features")
         rows = cut(self.vectors.transform(every).select("doc_id", "features", F.col("y").cast("double").alias("label")).repartition(PARTS))
         part = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
-        self.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=42, maxBins=64).fit(rows.where(~part))
-        rest = self.probability(rows.where(part))
-        kinds = rest.agg(F.min("label"), F.max("label")).first()
-        self.steps = calibration(rest if kinds[0] == 0.0 and kinds[1] == 1.0 else self.probability(rows))
+        sides = rows.select("label", part.alias("part")).distinct().count()
+        fitted, rest = (rows.where(~part), rows.where(part)) if sides == 4 else (rows, rows)
+        self.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=42, maxBins=64).fit(fitted)
+        self.steps = calibration(self.probability(rest))
         self.lexicon = held.value[FOLDS]
 
     def features(self, rows: DataFrame, keep: list[str], left_out: int) -> DataFrame:

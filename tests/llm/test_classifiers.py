@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from factfold.llm import features, quality, toxicity
-from tests.llm.helpers import documents, empty_documents, odd_documents, prose
+from tests.llm.helpers import DOCS, documents, empty_documents, odd_documents, prose
 
 
 def auc(score, y):
@@ -183,3 +183,22 @@ def test_quality_query_equals_plain_features_and_ranking(spark, data):
         ahead = strength[i] - threshold
         assert r.score == pytest.approx(1 / (1 + np.exp(-ahead - np.log(0.7 / 0.3))), abs=2e-3)
         assert r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_few_labels_that_fall_on_one_side(spark):
+    """Toxic rows all in the calibrating part, or none of them there: both sides then take all rows."""
+    ids = [i for i in range(4_000) if zlib.crc32(str(i).encode()) % 5]
+    part = {r.id for r in spark.createDataFrame([(i,) for i in ids], "id long").where(F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(5)) == 0).collect()}
+    aside, others = [i for i in ids if i in part][:4], [i for i in ids if i not in part][:4]
+    for chosen in (aside, others, [aside[0], *others[:3]]):
+        docs = spark.createDataFrame([(i, f"you are an awful person {i}" if k % 2 else f"a gentle river {i}", "aa", "s", 1) for k, i in enumerate(chosen)], DOCS)
+        labels = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(chosen)], "doc_id long, quality int, toxic int")
+        rows = toxicity.score(docs, labels).collect()
+        assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_labels_of_one_kind_decide(spark):
+    docs = documents(spark, [prose("aa", 20, i) for i in range(20)])
+    for y in (0, 1):
+        labels = spark.createDataFrame([(i, y, y) for i in range(20)], "doc_id long, quality int, toxic int")
+        assert {r.predicted for r in quality.score(docs, labels).collect()} == {y}
