@@ -14,14 +14,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factfold.llm.common import BROADCAST_IDS, cut, read
+from factfold.llm.common import BROADCAST_IDS, cut, free_name, read
 
-#: Bounds: labelled rows that teach (about), words of the table. The table is broadcast, so its rows are bounded. A domain of
-#: which fewer than DOMAIN_ROWS rows would teach gives up to about that many. SUMS is how many sums one aggregation takes.
-TRAIN_ROWS, VOCABULARY, DOMAIN_ROWS, SUMS = 20_000, 20_000, 200, 1_024
+#: Bounds: labelled rows that teach (about), words of the table. The table is broadcast, so its rows are bounded: each domain has its
+#: own most frequent words in it, an equal part of VOCABULARY but OWN_WORDS at least, so no domain's words push out another's. A domain
+#: of which fewer than DOMAIN_ROWS rows would teach gives up to about that many. SUMS is how many sums one aggregation takes.
+TRAIN_ROWS, VOCABULARY, OWN_WORDS, DOMAIN_ROWS, SUMS = 20_000, 60_000, 1_000, 200, 1_024
 ROUNDS, STRIDE, TOLERANCE, STILL, FLATTEN, EVIDENCE, SCALE = 400, 8, 1e-6, 1e-4, 0.7, 25, 1 << 20
 _SPLIT = r"[\s.,;:!?|()\"']+"
 
@@ -40,9 +41,12 @@ def classifier(docs: DataFrame, domain: str, train_rows: int = TRAIN_ROWS, vocab
     chance = [int((1 << 20) * min(1.0, max(train_rows / max(total, 1), DOMAIN_ROWS / r["count"]))) for r in sizes]
     at = F.array_position(F.array(*map(F.lit, names)), F.col("__domain")).cast("int") - 1
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (F.array(*map(F.lit, chance))[at] if names else F.lit(0))
-    counts = [F.sum((F.col("__domain") == F.lit(name)).cast("long")).alias(f"c{k}") for k, name in enumerate(names)]
-    seen = _words(known.where(part), "__domain").where("word <> ''").groupBy("word").agg(F.count("*").alias("c"), *counts).where("c > 1")
-    table = cut(seen.orderBy(F.desc("c"), "word").limit(vocabulary))
+    seen = cut(_words(known.where(part), "__domain").where("word <> ''").groupBy("word", "__domain").agg(F.count("*").alias("c")))
+    rank = F.row_number().over(Window.partitionBy("__domain").orderBy(F.desc("c"), "word"))
+    own = max(OWN_WORDS, -(-vocabulary // max(len(names), 1)))
+    chosen = seen.withColumn("rank", rank).where(F.col("rank") <= own).select("word").distinct()
+    counts = [F.sum(F.when(F.col("__domain") == F.lit(name), F.col("c")).otherwise(0)).alias(f"c{k}") for k, name in enumerate(names)]
+    table = cut(seen.join(chosen, "word").groupBy("word").agg(F.sum("c").alias("c"), *counts).where("c > 1"))
     sums = table.agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(len(names))), F.count("*").alias("n")).first()
     weight = lambda k: F.round((F.log(F.col(f"c{k}") + 0.5) - math.log((sums[f"c{k}"] or 0) + 0.5 * (sums["n"] + 1))) * SCALE).cast("long").alias(f"w{k}")
     return names, [r["count"] / total for r in sizes], table.select("word", *(weight(k) for k in range(len(names))))
@@ -146,11 +150,12 @@ def rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | Non
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as its document's copies say."""
-    moved = cut(rates(docs, **options).where("copies <> 1").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")))
+    key, count, each = (free_name(docs, n) for n in ("mixed_id", "copies", "copy"))
+    moved = cut(rates(docs, **options).where("copies <> 1").select(F.col("doc_id").alias(key), F.col("copies").alias(count)))
     small = moved.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    joined = docs.join(F.broadcast(moved) if small else moved, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    copies = F.coalesce("__copies", F.lit(1)).cast("int")
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).drop("__copy")
+    joined = docs.join(F.broadcast(moved) if small else moved, docs["doc_id"].eqNullSafe(F.col(key)), "left")
+    copies = F.coalesce(count, F.lit(1)).cast("int")
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), copies)).alias(each)).drop(each)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

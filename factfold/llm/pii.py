@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factfold.llm.common import read
+from factfold.llm.common import free_name, read
 
 #: The session's setting that holds the key, and what op10 takes where it is unset: good for the synthetic tables only.
 SETTING, DEMONSTRATION_KEY, ROUNDS = "spark.factfold.pii.key", "factfold demonstration key", 8
@@ -237,12 +237,13 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     rows stay repeated and an empty table gives an empty result. Columns of docs by the two new names are replaced.
     """
     found = F.when(F.col("text").rlike("[0-9@=:]|AKIA"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    new = F.transform("__found", lambda m: pseudonym(key, m))
-    joined = F.concat_ws("", F.transform(F.split("text", ANY, -1), lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__new.value"), i), F.get(F.col("__found"), i), F.lit("")))))
-    kinds = F.filter(F.transform("__new", lambda x: F.when(x["value"].isNotNull(), x["kind"])), lambda k: k.isNotNull())
-    rows = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("__new", new)
-    text = F.when(F.size("__found") > 0, joined).otherwise(F.col("text"))
-    return rows.withColumn("text", text).withColumn("pii_kinds", kinds).withColumn("pii_count", F.size("pii_kinds").cast("long")).drop("__found", "__new")
+    values, made = free_name(docs, "values"), free_name(docs, "made")
+    new = F.transform(values, lambda m: pseudonym(key, m))
+    joined = F.concat_ws("", F.transform(F.split("text", ANY, -1), lambda g, i: F.concat(g, F.coalesce(F.get(F.col(made)["value"], i), F.get(F.col(values), i), F.lit("")))))
+    kinds = F.filter(F.transform(made, lambda x: F.when(x["value"].isNotNull(), x["kind"])), lambda k: k.isNotNull())
+    rows = docs.withColumn(values, F.coalesce(found, F.array().cast("array<string>"))).withColumn(made, new)
+    text = F.when(F.size(values) > 0, joined).otherwise(F.col("text"))
+    return rows.withColumn("text", text).withColumn("pii_kinds", kinds).withColumn("pii_count", F.size("pii_kinds").cast("long")).drop(values, made)
 
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factfold.llm.common import arrow_map, components, cut, join_ids, read
+from factfold.llm.common import arrow_map, components, cut, free_name, join_ids, read
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: So many distinct fingerprints make a bucket of a third of the bits (2^21) hold dozens of unrelated ones.
@@ -134,19 +134,20 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, segments: int | None = No
     """docs with one row of each group: that of the smallest doc_id, null ones last, and of several texts of that id the one of
     the smallest digest. Of rows that repeat id and text one stays. Groups are those of near_duplicates."""
     text = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.when(F.col("text").isNull(), "0").otherwise("1"), F.coalesce("text", F.lit(""))]
-    keyed = docs.withColumn("__key", F.md5(F.concat_ws(" ", *text)))
-    sig = cut(signatures(keyed, "__key", "doc_id", width=width))
-    rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("best")
+    key, repeats = free_name(docs, "key"), free_name(docs, "again")
+    keyed = docs.withColumn(key, F.md5(F.concat_ws(" ", *text)))
+    sig = cut(signatures(keyed.select("doc_id", "text", F.col(key).alias("key")), "key", "doc_id", width=width))
+    rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
     best = cut(sig.groupBy("fp").agg(rank))
     found = cut(groups(best, radius, segments).join(best, "fp"))
-    winners = found.join(found.groupBy("top").agg(F.min("best").alias("won")), "top").select("fp", F.col("won.__key").alias("won"))
-    marked = cut(sig.join(winners, "fp").select("__key", (F.col("__key") == F.col("won")).alias("stays")))
-    rest = join_ids(keyed, marked.where("not stays").select("__key").distinct(), "left_anti", "__key")
-    again = cut(marked.where("stays").groupBy("__key").count().where("count > 1").select("__key", F.lit(True).alias("__again")))
+    winners = found.join(found.groupBy("top").agg(F.min("best").alias("won")), "top").select("fp", F.col("won.key").alias("won"))
+    marked = cut(sig.join(winners, "fp").select(F.col("key").alias(key), (F.col("key") == F.col("won")).alias("stays")))
+    rest = join_ids(keyed, marked.where("not stays").select(key).distinct(), "left_anti", key)
+    again = cut(marked.where("stays").groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key, F.lit(True).alias(repeats)))
     if again.isEmpty():
         return rest.select(*docs.columns)
-    several = join_ids(rest, again, "left", "__key")
-    once = several.where("__again is null").unionByName(several.where("__again").dropDuplicates(["__key"]))
+    several = join_ids(rest, again, "left", key)
+    once = several.where(F.col(repeats).isNull()).unionByName(several.where(F.col(repeats)).dropDuplicates([key]))
     return once.select(*docs.columns)
 
 

@@ -219,3 +219,25 @@ def test_every_domain_is_kept_and_unknown_ones_raise(spark):
     assert totals["d39"] == pytest.approx(2 * totals["d00"], rel=0.05)
     with pytest.raises(ValueError, match="nope"):
         mixing.rates(docs, weights={"nope": 1.0})
+
+
+def test_frequent_domains_push_out_no_words_of_a_rare_one(spark):
+    """Two domains of 15,000 words each, whose words outnumber those of a third of a few rows."""
+    rng = random.Random(5)
+    own = {d: [f"{d}word{i}" for i in range(n)] for d, n in (("a", 15_000), ("b", 15_000), ("c", 1_500))}
+    langs = ["a"] * 9_000 + ["b"] * 9_000 + ["c"] * 400
+    rows = mixing.rates(documents(spark, [" ".join(rng.choices(own[d], k=20)) for d in langs], langs)).collect()
+    of_c = [r.domain for r in rows if langs[r.doc_id] == "c"]
+    assert sum(d == "c" for d in of_c) >= 0.98 * len(of_c)
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    from factfold.llm import langid, pii, simhash
+
+    names = ["mixed_id", "copies", "copy", "key", "again", "digest", "values", "made", "__key", "__copies", "__found", "_copy"]
+    docs = documents(spark, [prose("aa", 40, i // 2) for i in range(20)]).withColumns({n: F.lit(n) for n in names})
+    for stage in (langid.keep_identified, simhash.deduplicate, mixing.mix):
+        out = stage(docs)
+        assert out.columns == docs.columns and {tuple(r) for r in out.select(*names).collect()} == {tuple(names)}
+    out = pii.pseudonymise(docs, "k")
+    assert out.columns == [*docs.columns, "pii_kinds", "pii_count"] and {tuple(r) for r in out.select(*names).collect()} == {tuple(names)}
