@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factfold.operators.scan import running_max
+
 
 def deduplicate(edits: DataFrame) -> DataFrame:
     """The same edit found in several translation units counts once."""
@@ -12,10 +14,10 @@ def deduplicate(edits: DataFrame) -> DataFrame:
 
 
 def overlaps(edits: DataFrame) -> DataFrame:
-    """edits with rejected = 1 where one begins before an earlier one of its file ends; insertions at one place may follow."""
-    order = Window.partitionBy("file").orderBy("offset", "length", "text").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.max(F.col("offset") + F.col("length")).over(order)
-    return edits.withColumn("rejected", F.coalesce((F.col("offset") < end).cast("int"), F.lit(0)))
+    """edits with rejected = 1 where one begins before an earlier one of its file ends; insertions at one place may follow. A file of any
+    number of edits is spread over ranges of its offsets."""
+    known = running_max(edits.withColumn("__end", F.col("offset") + F.col("length")), "file", ["offset", "length", "text"], "__end", "__before")
+    return known.withColumn("rejected", F.coalesce((F.col("offset") < F.col("__before")).cast("int"), F.lit(0))).drop("__end", "__before")
 
 
 def commit_groups(edits: DataFrame, group: str) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Graphs of facts: closure, reachability, cycles, levels, ancestors.
+"""Graphs of facts: closure, reachability, components, cycles, levels, ancestors.
 
-Loops run on the driver over DataFrames; each round is a join and an aggregation whose result is written and read again, and the only
-value that comes back is whether anything changed. Pairs of nodes are made where they are what is asked for (``closure``) and nowhere
-else: questions about ancestors in a tree are answered by pointer jumping, in as many rounds as the depth has binary digits, and
-questions about reachability by frontiers.
+Loops run on the driver over DataFrames; each round is a join and an aggregation whose new rows are written and read again, and the only
+value that comes back is whether there are any. Pairs of nodes are made where they are what is asked for (``closure``, ``pairs_above``,
+``dominators``): questions about ancestors in a tree are answered by pointer jumping, in as many rounds as the depth has binary
+digits, questions about reachability and cycles by frontiers.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factfold.operators.lineage import cut
+from factfold.operators.lineage import Growing, cut, drop
 
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 40) -> DataFrame:
@@ -33,14 +33,17 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int =
 
 
 def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 10_000) -> DataFrame:
-    """(node, depth) of all nodes reached from roots (node), themselves at depth 0: a frontier joined round by round."""
+    """(node, depth) of all nodes reached from roots (node), themselves at depth 0: a frontier joined round by round. Only frontiers are
+    written, so what is written follows the nodes and not nodes times rounds."""
     steps = cut(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct())
-    seen = frontier = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    frontier = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = Growing(frontier)
     for k in range(1, rounds):
-        frontier = cut(frontier.join(steps, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(k)))
+        frontier = cut(frontier.join(steps, "node").select(F.col("next").alias("node")).distinct().join(seen.rows(), "node", "left_anti").withColumn("depth", F.lit(k)))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            drop(steps, frontier)
+            return seen.rows()
+        seen.add(frontier)
     raise RuntimeError(f"reachability did not settle in {rounds} rounds")
 
 
@@ -53,7 +56,8 @@ def trim(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     left = cut(edges.select("src", "dst").distinct())
     n = left.count()
     for _ in range(rounds):
-        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        old, left = left, cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        drop(old)
         now = left.count()
         if now == n:
             return left
@@ -62,33 +66,106 @@ def trim(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
 
 
 def cycle_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node) of all nodes that reach themselves; trimming first keeps the closure to the cyclic part."""
-    own = trim(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")))
-    return closure(own).where("src = dst").select(F.col("src").alias("node"))
-
-
-def levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, level) of an acyclic graph: the longest way in; the order of levels is topological."""
-    steps = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
-    nodes = steps.select(F.col("src").alias("node")).union(steps.select("dst")).distinct()
-    level = cut(nodes.withColumn("level", F.lit(0)))
-    total = 0
-    for _ in range(10_000):
-        raised = steps.join(level, steps["src"] == level["node"]).groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("up"))
-        level = cut(level.join(raised, "node", "left").select("node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        now = level.agg(F.sum("level")).first()[0] or 0
-        if now == total:
-            return level
-        total = now
-    raise RuntimeError("the graph has a cycle")
-
-
-def back_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Edges whose target reaches their source. Only what is left after trimming can be on a cycle, so paths are sought there."""
-    direct = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
-    core = trim(direct)
-    both = closure(core).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return core.join(both, ["src", "dst"], "left_semi").unionByName(direct.where("src = dst")).distinct()
+    """(node) of all nodes that reach themselves: those of a component of several nodes, and those with an edge to themselves."""
+    own = cut(strong_components(edges, src, dst))
+    several = own.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    selves = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("node"))
+    return own.join(several, "component").select("node").union(selves).distinct()
+
+
+def levels(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 10_000) -> DataFrame:
+    """(node, level) of an acyclic graph: the longest way in; the order of levels is topological.
+
+    Nodes leave in waves, each when all ways into it have come from earlier ones; a wave's rows alone are written. What never leaves
+    lies on or behind a cycle, and raises.
+    """
+    steps = cut(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct())
+    ways = cut(steps.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("ways")))
+    nodes = steps.select("node").union(steps.select("next")).distinct()
+    wave = cut(nodes.join(ways, "node", "left_anti").withColumn("level", F.lit(0)))
+    done, arrived = Growing(wave), Growing(cut(steps.select("node", F.lit(0).cast("long").alias("came")).limit(0)))
+    for k in range(1, rounds):
+        came = cut(wave.join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.count("*").alias("came")))
+        arrived.add(came)
+        so_far = arrived.rows().join(came.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("came").alias("came"))
+        wave = cut(so_far.join(ways, "node").where("came = ways").select("node", F.lit(k).alias("level")))
+        if wave.isEmpty():
+            break
+        done.add(wave)
+    if done.rows().count() < nodes.count():
+        raise RuntimeError("the graph has a cycle")
+    return done.rows()
+
+
+def spread(steps: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(node, value): the least value of start (node, value) that reaches each node along steps (node, next). Only what got a smaller
+    value in a round goes on."""
+    at, known = start, Growing(start)
+    for _ in range(rounds):
+        offered = at.join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.min("value").alias("value"))
+        held = known.rows().groupBy("node").agg(F.min("value").alias("held"))
+        at = cut(offered.join(held, "node", "left").where("held is null or value < held").select("node", "value"))
+        if at.isEmpty():
+            return cut(known.rows().groupBy("node").agg(F.min("value").alias("value")))
+        known.add(at)
+    raise RuntimeError(f"values did not settle in {rounds} rounds")
+
+
+def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 1_000) -> DataFrame:
+    """(node, component) of all nodes of the edges: component is the smallest node that a node reaches and that reaches it.
+
+    Nodes that no cycle can hold are trimmed away. Then every node takes, of the nodes that reach it, the one of the least hash as its
+    colour, and a flood back from each colour's own node, over edges of one colour, finds the component of that node. Found ones
+    leave, and the rest is coloured anew by other hashes. Neither pairs of nodes nor a closure are made.
+    """
+    direct = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct())
+    live, found = trim(direct.where("src <> dst")), None
+    for k in range(rounds):
+        if live.isEmpty():
+            break
+        nodes = live.select(F.col("src").alias("node")).distinct()
+        colours = cut(nodes.withColumn("value", F.struct(F.xxhash64("node", F.lit(k)).alias("hash"), F.col("node").alias("name"))))
+        colour = spread(live.select(F.col("src").alias("node"), F.col("dst").alias("next")), colours)
+        of = lambda end: colour.select(F.col("node").alias(end), F.col("value").alias(f"c{end}"))
+        within = cut(live.join(of("src"), "src").join(of("dst"), "dst").where("csrc = cdst").select("src", "dst"))
+        back = reachable(within, colour.where("node = value.name"), "dst", "src").select("node").join(colour, "node").select("node", F.col("value.name").alias("name"))
+        back = cut(back)
+        own = cut(back.join(back.groupBy("name").agg(F.min("node").alias("component")), "name").select("node", "component"))
+        found = own if found is None else found.unionByName(own)
+        gone = own.select("node")
+        live = trim(live.join(gone, live["src"] == gone["node"], "left_anti").join(gone, live["dst"] == gone["node"], "left_anti"))
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    nodes = direct.select(F.col("src").alias("node")).union(direct.select("dst")).distinct()
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def condensed(edges: DataFrame, components: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(src, dst): edges between different components of (node, component), which have no cycle."""
+    of = lambda end, name: components.select(F.col("node").alias(end), F.col("component").alias(name))
+    both = edges.select(F.col(src).alias("__src"), F.col(dst).alias("__dst")).join(of("__src", "src"), "__src").join(of("__dst", "dst"), "__dst")
+    return both.where("src <> dst").select("src", "dst").distinct()
+
+
+def recursion_groups(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component, size, recursive, level): the group of functions that call each other, whether a node can come back to itself, and the
+    level of its group in the order of calls."""
+    own = cut(strong_components(edges, src, dst))
+    size = own.groupBy("component").agg(F.count("*").alias("size"))
+    selves = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("node"), F.lit(True).alias("self")).distinct()
+    order = levels(condensed(edges, own, src, dst)).withColumnRenamed("node", "component")
+    rows = own.join(size, "component").join(selves, "node", "left").join(order, "component", "left")
+    return rows.select("node", "component", "size", ((F.col("size") > 1) | F.coalesce("self", F.lit(False))).alias("recursive"), F.coalesce("level", F.lit(0)).alias("level"))
+
+
+def cycle_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(src, dst): edges whose target reaches their source, which are those within a component."""
+    direct = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct())
+    own = cut(strong_components(direct))
+    of = lambda end: own.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    return direct.join(of("src"), "src").join(of("dst"), "dst").where("csrc = cdst").select("src", "dst")
 
 
 def nearest_ancestor(parents: DataFrame, wanted: DataFrame, rounds: int = 40) -> DataFrame:

@@ -175,7 +175,7 @@ SELECT src, dst FROM e WHERE src = dst OR (dst, src) IN (SELECT (src, dst) FROM
 def back_edges(t):
     n = t.part.agg(F.count("*").alias("n"))  # one row
     edges = t.part.crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).alias("dst"))
-    return graph.back_edges(edges)
+    return graph.cycle_edges(edges)
 
 
 @query("""WITH RECURSIVE e AS (SELECT n_regionkey AS p, n_nationkey + 1000 AS node FROM nation UNION SELECT n_nationkey + 1000, 5000 + n_nationkey % 7 FROM nation UNION SELECT -1, r_regionkey FROM region),
