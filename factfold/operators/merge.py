@@ -55,6 +55,43 @@ def merge_into(stored: DataFrame, new: DataFrame, keys: list[str], rules: Mappin
     return merge(first.unionByName(then), keys, rules, ["__batch", *(f"__{s}" for s in seq)])
 
 
+_ORDERED = ("first", "last", "last_but:")
+
+
+def merge_state(sightings: DataFrame, keys: list[str], rules: Mapping[str, str], seq: list[str]) -> DataFrame:
+    """What is kept of sightings so that merging goes on later: one row per key, in which the columns of rules that ask for an order are
+    (seq, value) pairs. States of any sightings add up in any order, by ``merge_states``."""
+    order = F.struct(*seq)
+
+    def part(c: str, how: str) -> Column:
+        if not how.startswith(_ORDERED):
+            return rule(c, how, order)
+        unset = how.partition(":")[2]
+        counts = F.lit(True) if not unset else F.col(c) != unset
+        pair = F.when(counts, F.struct(order.alias("seq"), F.col(c).alias("value")))
+        by = F.when(counts, order)
+        return (F.min_by(pair, by) if how == "first" else F.max_by(pair, by)).alias(c)
+
+    return sightings.groupBy(*keys).agg(*(part(c, how) for c, how in rules.items()))
+
+
+def merge_states(states: DataFrame, keys: list[str], rules: Mapping[str, str]) -> DataFrame:
+    """One state per key of states of several parts."""
+
+    def part(c: str, how: str) -> Column:
+        if not how.startswith(_ORDERED):
+            return rule(c, {"count": "sum"}.get(how, how), F.lit(0))
+        return (F.min_by(c, F.col(c)["seq"]) if how == "first" else F.max_by(c, F.col(c)["seq"])).alias(c)
+
+    return states.groupBy(*keys).agg(*(part(c, how) for c, how in rules.items()))
+
+
+def settled(states: DataFrame, keys: list[str], rules: Mapping[str, str]) -> DataFrame:
+    """The merged rows that states, one per key, stand for: those that ``merge`` gives for all their sightings."""
+    value = lambda c, how: F.coalesce(F.col(c)["value"], F.lit(how.partition(":")[2])) if how.startswith("last_but:") else F.col(c)["value"]
+    return states.select(*keys, *((value(c, how) if how.startswith(_ORDERED) else F.col(c)).alias(c) for c, how in rules.items()))
+
+
 def insert_ignore(rows: DataFrame, keys: list[str], seq: list[str], stored: DataFrame | None = None) -> DataFrame:
     """The first row of each key that is not stored yet; kept by one aggregation, not by sorting."""
     if stored is not None:

@@ -277,15 +277,18 @@ def store_versions(t):
     return at.read("nation").withColumn("version", F.lit(at.property("version"))).withColumn("others", F.lit(at.read("region").count()))
 
 
-@query("SELECT o_custkey AS usr, max((o_totalprice > 200000)::INT) AS defined, arg_max(o_orderstatus, o_orderkey) AS access, count(*)::BIGINT AS sightings FROM orders GROUP BY 1")
+@query("""SELECT o_custkey AS usr, max((o_totalprice > 200000)::INT) AS defined, arg_max(o_orderstatus, o_orderkey) AS access, arg_min(o_totalprice, o_orderkey) AS first_price,
+  coalesce(arg_max(o_orderpriority, o_orderkey) FILTER (WHERE o_orderpriority <> '5-LOW'), '5-LOW') AS priority, count(*)::BIGINT AS sightings FROM orders GROUP BY 1""")
 def upsert_stream(t):
-    """Orders as a stream of sightings, merged into the store by micro-batches; the second run finds nothing new."""
-    at, name = _store(t), "symbol"
-    rules = {"defined": "or", "access": "last", "sightings": "sum"}
-    source = t.orders.select(F.col("o_custkey").alias("usr"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") > 200000).cast("int").alias("defined"), F.col("o_orderstatus").alias("access"), F.lit(1).cast("long").alias("sightings"))
-    source.where("seq % 2 = 0").write.parquet(f"{at.root}-in")
-    source.where("seq % 2 = 1").write.mode("append").parquet(f"{at.root}-in")
-    for _ in range(2):
-        stream = t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{at.root}-in")
-        upsert.upsert_stream(stream, at, name, ["usr"], rules, ["seq"], f"{at.root}-checkpoint").awaitTermination()
-    return at.read(name).select("usr", "defined", "sightings").join(source.groupBy("usr").agg(F.max_by("access", "seq").alias("access")), "usr")
+    """Orders as a stream of sightings in four batches of which the newest comes first; a fifth run finds nothing new."""
+    root, keys = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}", ["usr"]
+    rules = {"defined": "or", "access": "last", "first_price": "first", "priority": "last_but:5-LOW", "sightings": "sum"}
+    source = t.orders.select(F.col("o_custkey").alias("usr"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") > 200000).cast("int").alias("defined"), F.col("o_orderstatus").alias("access"), F.col("o_totalprice").alias("first_price"), F.col("o_orderpriority").alias("priority"), F.lit(1).cast("long").alias("sightings"))
+    most = t.orders.agg(F.max("o_orderkey")).first()[0] or 0
+    for part in [3, 2, 1, 0, None]:
+        if part is not None:
+            within = (F.col("seq") * 4 >= part * (most + 1)) & (F.col("seq") * 4 < (part + 1) * (most + 1))
+            source.where(within).write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(source.schema).parquet(f"{root}/in")
+        upsert.upsert_stream(stream, f"{root}/states", keys, rules, ["seq"], f"{root}/checkpoint").awaitTermination()
+    return upsert.upserted(t.spark, f"{root}/states", keys, rules)

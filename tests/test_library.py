@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from factfold.operators import edits, graph, merge, resolve
 from factfold.plans import query
 from factfold.plans.store import Store, migrate_symbol_flags
 from factfold.sources import readers
-from factfold.streaming.upsert import upsert_stream
+from factfold.streaming import upsert
 
 
 def value(spark, column):
@@ -114,14 +117,37 @@ def test_store_switches_all_tables_at_once(spark, tmp_path):
         store.read("other")
 
 
-def test_stream_of_sightings_is_merged_once(spark, tmp_path):
-    src = str(tmp_path / "in")
-    spark.createDataFrame([("a", 1, 0), ("b", 1, 1), ("a", 2, 1)], "usr string, seq int, defined int").write.parquet(src)
-    store = Store(spark, str(tmp_path / "store"))
-    for _ in range(2):
-        stream = spark.readStream.schema("usr string, seq int, defined int").parquet(src)
-        upsert_stream(stream, store, "symbol", ["usr"], {"defined": "or"}, ["seq"], str(tmp_path / "checkpoint")).awaitTermination(120)
-    assert {r.usr: r.defined for r in store.read("symbol").collect()} == {"a": 1, "b": 1}
+RULES = {"defined": "or", "external": "and", "line": "first", "kind": "last", "access": "last_but:none", "n": "sum"}
+
+
+def _sightings(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("abcd"), i, rng.randint(0, 1), rng.randint(0, 1), rng.randint(1, 9), rng.choice(["x", None]), rng.choice(["none", "public", "private"]), 1) for i in range(60)]
+    return spark.createDataFrame(rows, "usr string, seq int, defined int, external int, line int, kind string, access string, n long")
+
+
+def test_states_of_any_parts_in_any_order_merge_alike(spark):
+    rows = _sightings(spark)
+    want = sorted(map(tuple, merge.merge(rows, ["usr"], RULES, ["seq"]).collect()))
+    parts = [merge.merge_state(rows.where(F.col("seq") % 4 == k), ["usr"], RULES, ["seq"]) for k in (2, 0, 3, 1)]
+    two = [merge.merge_states(a.unionByName(b), ["usr"], RULES) for a, b in ((parts[0], parts[1]), (parts[2], parts[3]))]
+    assert sorted(map(tuple, merge.settled(merge.merge_states(two[1].unionByName(two[0]), ["usr"], RULES), ["usr"], RULES).collect())) == want
+
+
+def test_a_stream_in_reverse_order_and_a_replayed_batch(spark, tmp_path):
+    rows, src, at = _sightings(spark), str(tmp_path / "in"), str(tmp_path / "states")
+    want = sorted(map(tuple, merge.merge(rows, ["usr"], RULES, ["seq"]).collect()))
+    for k in (3, 2, 1, 0, None):
+        if k is not None:
+            rows.where((F.col("seq") >= 15 * k) & (F.col("seq") < 15 * (k + 1))).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(rows.schema).parquet(src)
+        upsert.upsert_stream(stream, at, ["usr"], RULES, ["seq"], str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert sorted(x.name for x in Path(at).glob("batch=*")) == [f"batch={k}" for k in range(4)]
+    got = lambda where: sorted(map(tuple, upsert.upserted(spark, where, ["usr"], RULES).collect()))
+    assert got(at) == want
+    merge.merge_state(rows.where("seq >= 45"), ["usr"], RULES, ["seq"]).write.mode("overwrite").parquet(f"{at}/batch=0")  # replayed
+    upsert.compact(spark, at, str(tmp_path / "compacted"), ["usr"], RULES)
+    assert got(at) == want and got(str(tmp_path / "compacted")) == want
 
 
 def test_compile_commands(spark, tmp_path):
