@@ -48,10 +48,29 @@ def expression_text(source: Column, printed: Column) -> Column:
     return F.coalesce(F.when(source != "", source), printed)
 
 
+#: What the letter after a backslash stands for in a character literal.
+ESCAPES = {"n": 10, "t": 9, "r": 13, "0": 0, "a": 7, "b": 8, "f": 12, "v": 11, "\\": 92, "'": 39, '"': 34}
+_INTEGER = r"^([+-]?)(0[xX][0-9a-fA-F]+|0[bB][01]+|[0-9]+)[uUlLzZ]{0,3}$"
+_FLOATING = r"^([+-]?(?:[0-9]*\.[0-9]+|[0-9]+\.|[0-9]+(?=[eE]))(?:[eE][+-]?[0-9]+)?)[fFlL]?$"
+_CHARACTER = r"^(?:u8|u|U|L)?'(\\.|[^'\\])'$"
+
+
 def constant(text: Column) -> Column:
-    """struct(kind, value) of a literal: boolean, integer, floating or string, else none."""
-    kind = F.when(text.isin("true", "false"), "boolean").when(text.rlike(r'^".*"$'), "string").when(text.rlike("^[+-]?[0-9]+$"), "integer").when(text.rlike(r"^[+-]?[0-9]*\.[0-9]+([eE][+-]?[0-9]+)?$"), "floating").otherwise("none")
-    return F.struct(kind.alias("kind"), F.when(kind == "string", F.regexp_extract(text, '^"(.*)"$', 1)).when(kind != "none", text).alias("value"))
+    """struct(kind, value) of a literal: boolean, integer, floating or string, else none.
+
+    Integers may be hexadecimal, octal or binary, with marks between digits and a suffix, and come out in decimal (up to 64 bits); a character
+    is the integer of its code; floating literals lose their suffix; strings lose their quotes.
+    """
+    bare = F.regexp_replace(text, "(?<=[0-9a-fA-F])'(?=[0-9a-fA-F])", "")
+    sign, digits = F.regexp_extract(bare, _INTEGER, 1), F.regexp_extract(bare, _INTEGER, 2)
+    based = lambda skip, base: F.conv(F.substr(digits, F.lit(skip)), base, 10)
+    number = F.when(digits.rlike("^0[xX]"), based(3, 16)).when(digits.rlike("^0[bB]"), based(3, 2)).when(digits.rlike("^0[0-7]+$"), based(2, 8)).otherwise(digits)
+    letter, real = F.regexp_extract(text, _CHARACTER, 1), F.regexp_extract(bare, _FLOATING, 1)
+    escape = F.create_map(*(F.lit(x) for k, v in ESCAPES.items() for x in (k, v)))[F.substr(letter, F.lit(2), F.lit(1))]
+    code = F.when(F.char_length(letter) == 2, escape).otherwise(F.ascii(letter)).cast("string")
+    kind = F.when(text.isin("true", "false"), "boolean").when(text.rlike(r'^".*"$'), "string").when((digits != "") | (letter != ""), "integer").when(real != "", "floating").otherwise("none")
+    value = F.when(kind == "string", F.regexp_extract(text, '^"(.*)"$', 1)).when(kind == "boolean", text).when(letter != "", code).when(digits != "", F.concat(sign, number)).when(real != "", real)
+    return F.struct(kind.alias("kind"), value.alias("value"))
 
 
 def peel(type_text: Column) -> Column:

@@ -248,6 +248,13 @@ def dangling_edges(t):
     return t.orders.select("o_orderkey").join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").withColumn("missing", F.lit("l_orderkey"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_partkey' AS missing FROM lineitem WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_suppkey' FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)""")
+def dangling_ends(t):
+    """Edges either end of which is no symbol."""
+    return resolve.dangling(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), t.supplier, "l_partkey", "l_suppkey", "s_suppkey")
+
+
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def set_containment(t):
     return validate.contained(t.documents.select("doc_id"), t.labels.select("doc_id"))

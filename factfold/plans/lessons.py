@@ -203,6 +203,27 @@ def visible_nodes(t):
     return match.visible(rows, instantiations=False).select("id")
 
 
+@query("SELECT doc_id, strlen(left(text, 5)) AS byte_offset, substr(text, 6, 7) AS part FROM documents")
+def byte_regions_of_all(t):
+    """Regions in bytes of all texts, whatever their characters: those of the sixth to twelfth."""
+    size = lambda n: F.octet_length(F.substr("text", F.lit(1), F.lit(n))).cast("long")
+    rows = t.documents.select("doc_id", "text", size(5).alias("byte_offset"), (size(12) - size(5)).alias("size"))
+    return rows.select("doc_id", "byte_offset", text.slice_bytes(F.col("text"), F.col("byte_offset"), F.col("size")).alias("part"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 7 = 4 THEN 'floating' ELSE 'integer' END AS kind,
+  CASE l_linenumber % 7 WHEN 3 THEN (97 + l_suppkey % 26)::VARCHAR WHEN 4 THEN l_partkey || '.5e3' WHEN 5 THEN '10' WHEN 6 THEN '-' || (1000 + l_partkey % 1000) ELSE l_partkey::VARCHAR END AS value FROM lineitem""")
+def literal_values(t):
+    """Hexadecimal, suffixed, binary, character, floating and escaped literals, and marks between digits."""
+    n, part = F.col("l_linenumber") % 7, F.col("l_partkey").cast("string")
+    spelled = (
+        F.when(n == 0, F.concat(F.lit("0x"), F.lower(F.hex("l_partkey")))).when(n == 1, F.concat(part, F.lit("ull"))).when(n == 2, F.concat(F.lit("0B"), F.bin("l_partkey"))).when(n == 3, F.concat(F.lit("L'"), F.char(97 + F.col("l_suppkey") % 26), F.lit("'")))
+        .when(n == 4, F.concat(part, F.lit(".5e3f"))).when(n == 5, F.lit("'\\n'")).otherwise(F.concat(F.lit("-1'"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0")))
+    )
+    found = text.constant(spelled)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", found["kind"].alias("kind"), found["value"].alias("value"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) >= 12 THEN decode(encode(text)[6:12]) ELSE '' END AS part FROM documents WHERE regexp_full_match(left(text, 12), '[ -~\\n]*')")
 def byte_regions(t):
     """Seven bytes from the sixth on, of texts that begin in ASCII."""
