@@ -5,16 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One alternative per token class, in order: comment, string, number, identifier, mark.
-TOKEN = r"//[^\n]*|/\*(?s:.*?)\*/|\"(?:[^\"\\\n]|\\.)*\"|[0-9][0-9A-Za-z_.]*|[A-Za-z_][A-Za-z_0-9]*|[^\sA-Za-z_0-9]"
+_SPACE = r"[ \t\n\x0B\f\r]|\\\r?\n"
+_SUFFIX = r"(?:[\p{L}_][\p{L}\p{N}_]*+)?+"
+_ESCAPED = r"\\(?:\r\n|(?s:.))"
+_MARKS = r"<=>|<<=|>>=|->\*|\.\.\.|::|->|\.\*|\+\+|--|<<|>>|&&|\|\||##|[-+*/%&|^<>=!]=|(?s:.)"
+#: One alternative per token class, in order; together they match any text from end to end, so that pieces joined give the text again. Comments,
+#: strings and raw strings (up to their own delimiter) cross lines where the language lets them; repetitions are possessive, so that no
+#: text makes the matcher go back or nest.
+TOKEN = "|".join([
+    rf"(?:{_SPACE})++",
+    rf"//[^\\\n]*+(?:(?:{_ESCAPED}|\\)[^\\\n]*+)*+",
+    r"/\*(?s:.*?)(?:\*/|\z)",
+    r'(?:u8|[uUL])?R"([^ ()\\\t\n\x0B\f\r"]{0,16})\((?s:.*?)(?:\)\1"|\z)' + _SUFFIX,
+    rf'(?:u8|[uUL])?"[^"\\\n]*+(?:{_ESCAPED}[^"\\\n]*+)*+"{_SUFFIX}',
+    rf"(?:u8|[uUL])?'(?:[^'\\\n]|{_ESCAPED})++'{_SUFFIX}",
+    r"\.?[0-9](?:[eEpP][+-]|'[0-9A-Za-z_]|[0-9A-Za-z_.])*+",
+    r"[\p{L}_](?:[\p{L}\p{N}_]|\\\r?\n(?=[\p{L}\p{N}_]))*+",
+    _MARKS,
+])
+
+
+def pieces(text: Column) -> Column:
+    """All tokens in order, comments and space among them."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    """Tokens in order with comments, without space."""
+    return F.filter(pieces(text), lambda t: token_kind(t) != "space")
 
 
 def token_kind(spelling: Column) -> Column:
-    return F.when(spelling.rlike(r"^(//|/\*)"), "comment").when(spelling.startswith('"'), "string").when(spelling.rlike("^[0-9]"), "number").when(spelling.rlike("^[A-Za-z_]"), "identifier").otherwise("mark")
+    """space, comment, raw string, string, character, number, identifier, mark, or unknown for a quote that nothing closes."""
+    prefixed = lambda rest: spelling.rlike("^(?:u8|[uUL])?" + rest)
+    literal = F.when(prefixed('R"'), "raw string").when(prefixed('"'), "string").when(prefixed("'"), "character")
+    early = F.when(spelling.rlike(f"^(?:{_SPACE})"), "space").when(spelling.rlike(r"^(?://|/\*)"), "comment").when(spelling.isin('"', "'"), "unknown")
+    late = F.when(spelling.rlike(r"^\.?[0-9]"), "number").when(spelling.rlike(r"^[\p{L}_]"), "identifier").otherwise("mark")
+    return F.coalesce(early, literal, late)
+
+
+def unspliced(spelling: Column) -> Column:
+    """A token's spelling without the backslashes and line ends that continue a line."""
+    return F.regexp_replace(spelling, r"\\\r?\n", "")
 
 
 def slice_bytes(text: Column, offset: Column, size: Column) -> Column:

@@ -148,7 +148,7 @@ def uninitialised(edges: DataFrame, entry, uses: DataFrame, defines: DataFrame,
 
 
 def token_totals(files: DataFrame, file: str, column: str) -> DataFrame:
-    """(file, tokens, comments, identifiers) of each text."""
+    """(file, tokens, comments, identifiers) of each text; space is no token."""
     spelled = files.select(file, F.explode_outer(text.tokens(F.col(column))).alias("t"))
     kind = text.token_kind(F.col("t"))
     return spelled.groupBy(file).agg(F.count("t").alias("tokens"), F.count_if(kind == "comment").alias("comments"), F.count_if(kind == "identifier").alias("identifiers"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factfold.functions import text
 from factfold.operators import lessons, match
-from factfold.plans.registered import big, query
+from factfold.plans.registered import TOKEN_SQL, big, query
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE (l_returnflag = 'A' AND (l_linestatus = 'F' OR l_quantity > 40)) OR l_returnflag = 'R'")
@@ -151,8 +151,8 @@ def uninitialised_values(t):
     return lessons.uninitialised(edges, 0, uses, defines)
 
 
-@query(r"""SELECT doc_id, count(s) AS tokens, count(*) FILTER (WHERE s LIKE '//%' OR s LIKE '/*%') AS comments, count(*) FILTER (WHERE regexp_matches(s, '^[A-Za-z_]')) AS identifiers
-FROM (SELECT doc_id, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS s FROM (SELECT doc_id, regexp_extract_all(text, '//[^\n]*|/\*(?s:.*?)\*/|"(?:[^"\\\n]|\\.)*"|[0-9][0-9A-Za-z_.]*|[A-Za-z_][A-Za-z_0-9]*|[^\sA-Za-z_0-9]') AS x FROM documents)) GROUP BY 1""")
+@query(rf"""SELECT doc_id, count(s) AS tokens, count(*) FILTER (WHERE s LIKE '//%' OR s LIKE '/*%') AS comments, count(*) FILTER (WHERE regexp_full_match(s, '[\p{{L}}_][\p{{L}}\p{{N}}_]*')) AS identifiers
+FROM (SELECT doc_id, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS s FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '{TOKEN_SQL}'), lambda s: NOT regexp_matches(s, '^[ \t\n\x0B\f\r]')) AS x FROM documents)) GROUP BY 1""")
 def token_totals(t):
     return lessons.token_totals(t.documents, "doc_id", "text")
 

@@ -31,3 +31,17 @@ def query(sql: str):
 
 
 big = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
+
+#: Tokens as SQL's own pattern, for texts whose raw strings have the delimiters x0, x1, x2 or none: it has no references back.
+_SUFFIX = r"(?:[\p{L}_][\p{L}\p{N}_]*)?"
+TOKEN_SQL = "|".join([
+    r"(?:[ \t\n\x0B\f\r]|\\\r?\n)+",
+    r"//(?:[^\\\n]|\\(?:\r\n|(?s:.)))*\\?",
+    r"/\*(?s:.*?)(?:\*/|\z)",
+    *(rf'(?:u8|[uUL])?R"{d}\((?s:.*?)(?:\){d}"|\z){_SUFFIX}' for d in ("", "x0", "x1", "x2")),
+    rf'(?:u8|[uUL])?"(?:[^"\\\n]|\\(?:\r\n|(?s:.)))*"{_SUFFIX}',
+    rf"(?:u8|[uUL])?''(?:[^''\\\n]|\\(?:\r\n|(?s:.)))+''{_SUFFIX}",
+    r"\.?[0-9](?:[eEpP][+-]|''[0-9A-Za-z_]|[0-9A-Za-z_.])*",
+    r"[\p{L}_][\p{L}\p{N}_]*",
+    r"<=>|<<=|>>=|->\*|\.\.\.|::|->|\.\*|\+\+|--|<<|>>|&&|\|\||##|[-+*/%&|^<>=!]=|(?s:.)",
+])
