@@ -41,12 +41,12 @@ _H = "CAST((doc_id * 7 + i * 5) % 13 AS INT) AS h, CAST((doc_id + i) % 3 AS INT)
 d AS MATERIALIZED (SELECT doc_id, h, k, i, i % 4 AS v, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn, i + row_number() OVER (PARTITION BY doc_id ORDER BY i) AS line FROM p WHERE h < 10),
 z AS (SELECT doc_id, max(n) + count(h) AS total, count(h) AS last FROM n LEFT JOIN d USING (doc_id) GROUP BY 1),
 r(doc_id, rn, m, st, line, h, k, i, v, emits, odd, test, cut) AS (
-  SELECT doc_id, 0::BIGINT, [NULL, NULL, NULL]::BIGINT[], []::STRUCT(name VARCHAR, first BIGINT, at BIGINT, parent BOOLEAN, taken BOOLEAN, is_on BOOLEAN, last BOOLEAN)[], 0::BIGINT, 99, 0, 0::BIGINT, 0::BIGINT, false, false, false, NULL::BIGINT FROM n
+  SELECT doc_id, 0::BIGINT, [NULL, NULL, NULL]::BIGINT[], []::STRUCT(name VARCHAR, head BIGINT, pos BIGINT, parent BOOLEAN, taken BOOLEAN, is_on BOOLEAN, last BOOLEAN)[], 0::BIGINT, 99, 0, 0::BIGINT, 0::BIGINT, false, false, false, NULL::BIGINT FROM n
   UNION ALL SELECT doc_id, rn, CASE WHEN act AND h = 0 THEN [CASE WHEN k = 0 THEN v ELSE m[1] END, CASE WHEN k = 1 THEN v ELSE m[2] END, CASE WHEN k = 2 THEN v ELSE m[3] END]
       WHEN act AND h = 1 THEN [CASE WHEN k <> 0 THEN m[1] END, CASE WHEN k <> 1 THEN m[2] END, CASE WHEN k <> 2 THEN m[3] END] ELSE m END,
-    CASE WHEN h IN (2, 3, 7) THEN list_append(st, {{'name': CASE h WHEN 2 THEN 'ifdef' WHEN 3 THEN 'ifndef' ELSE 'if' END, 'first': line, 'at': line, 'parent': act, 'taken': test, 'is_on': test, 'last': false}})
-      WHEN odd THEN st WHEN h IN (4, 8) THEN list_append(st[:-2], {{'name': tip.name, 'first': tip.first, 'at': line, 'parent': tip.parent, 'taken': tip.taken OR test, 'is_on': test, 'last': h = 4}}) WHEN h = 5 THEN st[:-2] ELSE st END,
-    line, h, k, i, v, CASE WHEN h IN (4, 5, 8) THEN coalesce(tip.parent, true) ELSE act END, odd, test, CASE WHEN h IN (4, 5, 8) AND NOT odd AND tip.parent AND NOT tip.is_on AND line - 1 > tip.at THEN tip.at + 1 END
+    CASE WHEN h IN (2, 3, 7) THEN list_append(st, {{'name': CASE h WHEN 2 THEN 'ifdef' WHEN 3 THEN 'ifndef' ELSE 'if' END, 'head': line, 'pos': line, 'parent': act, 'taken': test, 'is_on': test, 'last': false}})
+      WHEN odd THEN st WHEN h IN (4, 8) THEN list_append(st[:-2], {{'name': tip.name, 'head': tip.head, 'pos': line, 'parent': tip.parent, 'taken': tip.taken OR test, 'is_on': test, 'last': h = 4}}) WHEN h = 5 THEN st[:-2] ELSE st END,
+    line, h, k, i, v, CASE WHEN h IN (4, 5, 8) THEN coalesce(tip.parent, true) ELSE act END, odd, test, CASE WHEN h IN (4, 5, 8) AND NOT odd AND tip.parent AND NOT tip.is_on AND line - 1 > tip.pos THEN tip.pos + 1 END
   FROM (SELECT *, CASE WHEN h IN (2, 3, 7) THEN act AND holds WHEN h IN (4, 8) AND NOT odd THEN tip.parent AND NOT tip.taken AND holds ELSE false END AS test
     FROM (SELECT d.*, m, st, tip, coalesce(tip.is_on, true) AS act, (d.h IN (4, 8) AND (tip IS NULL OR tip.last)) OR (d.h = 5 AND tip IS NULL) AS odd,
       CASE d.h WHEN 2 THEN m[d.k + 1] IS NOT NULL WHEN 3 THEN m[d.k + 1] IS NULL WHEN 7 THEN coalesce(m[d.k + 1], 0) > 1 WHEN 8 THEN coalesce(m[d.k + 1], 0) - 1 < 0 ELSE true END AS holds
@@ -56,7 +56,7 @@ SELECT doc_id AS file, line, line AS end_line, CASE WHEN odd THEN 'unbalanced' E
   CASE WHEN odd THEN ['else', 'endif', NULL, NULL, 'elif'][h - 3] WHEN h IN (0, 1, 2, 3) THEN 'M' || k WHEN h = 6 THEN 'f' || i || '.h' WHEN h = 7 THEN 'M' || k || ' > 1' WHEN h = 8 THEN '(M' || k || ' - 1) < 0' WHEN h = 9 THEN 'once' END AS name,
   CASE WHEN odd THEN NULL WHEN h = 0 THEN v::VARCHAR WHEN h IN (2, 3, 4, 7, 8) THEN test::VARCHAR WHEN h = 6 THEN 'quoted' END AS value FROM e WHERE emits
 UNION ALL SELECT doc_id, cut, line - 1, 'skipped', NULL, NULL FROM e WHERE cut IS NOT NULL
-UNION ALL SELECT doc_id, s.first, s.first, 'unbalanced', s.name, NULL FROM o WHERE s.parent UNION ALL SELECT doc_id, s.at + 1, total, 'skipped', NULL, NULL FROM o WHERE s.parent AND NOT s.is_on AND total > s.at""")
+UNION ALL SELECT doc_id, s.head, s.head, 'unbalanced', s.name, NULL FROM o WHERE s.parent UNION ALL SELECT doc_id, s.pos + 1, total, 'skipped', NULL, NULL FROM o WHERE s.parent AND NOT s.is_on AND total > s.pos""")
 def preprocessor_events(t):
     """Inclusions, definitions, conditionals and skipped lines of all texts, with directives before most of their lines."""
     lines = t.documents.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
@@ -68,11 +68,11 @@ def preprocessor_events(t):
 
 # Scopes are parts in a binary tree; every third declares its brand, every fifth of all is a shadow of the part at a fifth of its key.
 @query("""WITH RECURSIVE d AS MATERIALIZED (SELECT p_partkey AS p, p_brand AS name FROM part WHERE p_partkey % 3 = 0),
-a(use, scope, name) AS (SELECT l_orderkey * 1000 + l_linenumber, l_partkey, 'Brand#' || l_suppkey % 25 FROM lineitem), q(s, name, at) AS (SELECT DISTINCT scope, name, scope FROM a
-  UNION ALL SELECT s, name, at // 2 FROM q WHERE at > 0 AND (at, name) NOT IN (SELECT (p, name) FROM d)),
-h AS (SELECT s, name, at FROM q WHERE (at, name) IN (SELECT (p, name) FROM d)), c(p, last) AS (SELECT p_partkey, p_partkey // 5 FROM part WHERE p_partkey % 5 = 0 AND p_partkey > 0 UNION ALL SELECT p, last // 5 FROM c WHERE last % 5 = 0 AND last > 0),
+a(use, scope, name) AS (SELECT l_orderkey * 1000 + l_linenumber, l_partkey, 'Brand#' || l_suppkey % 25 FROM lineitem), q(s, name, pos) AS (SELECT DISTINCT scope, name, scope FROM a
+  UNION ALL SELECT s, name, pos // 2 FROM q WHERE pos > 0 AND (pos, name) NOT IN (SELECT (p, name) FROM d)),
+h AS (SELECT s, name, pos FROM q WHERE (pos, name) IN (SELECT (p, name) FROM d)), c(p, last) AS (SELECT p_partkey, p_partkey // 5 FROM part WHERE p_partkey % 5 = 0 AND p_partkey > 0 UNION ALL SELECT p, last // 5 FROM c WHERE last % 5 = 0 AND last > 0),
 l AS (SELECT p, min(last) AS last FROM c GROUP BY 1)
-SELECT use, at AS holder, at AS found, coalesce(last, at) AS referred FROM a LEFT JOIN h ON a.scope = h.s AND a.name = h.name LEFT JOIN l ON l.p = at""")
+SELECT use, pos AS holder, pos AS found, coalesce(last, pos) AS referred FROM a LEFT JOIN h ON a.scope = h.s AND a.name = h.name LEFT JOIN l ON l.p = pos""")
 def resolved_names(t):
     """Lines use a brand in the scope of their part: the nearest scope around that declares it, and what is behind the shadow found there."""
     p = F.col("p_partkey")
