@@ -171,3 +171,46 @@ def name_and_path(text: Column) -> Column:
     """struct(name, path) of ``name=path``; null unless both sides are there."""
     ok = text.rlike("^[^=]+=.+$")
     return F.when(ok, F.struct(F.regexp_extract(text, "^([^=]+)=(.+)$", 1).alias("name"), F.regexp_extract(text, "^([^=]+)=(.+)$", 2).alias("path")))
+
+
+# adjusters: each takes a command line and its source file and gives a command line --------------------------------------
+
+Adjuster = Callable[[Column, Column], Column]
+
+
+def adjusted(argv: Column, source: Column, *adjusters: Adjuster) -> Column:
+    """A command line after all adjusters, in order."""
+    for adjuster in adjusters:
+        argv = adjuster(argv, source)
+    return argv
+
+
+def insert_arguments(values: list[str], at_end: bool = True, unless: str | None = None) -> Adjuster:
+    """Adds arguments at the end or right behind the compiler; not where the flag ``unless`` stands already, alone or joined to its value."""
+    added = F.array(*map(F.lit, values)).cast("array<string>")
+
+    def adjust(argv: Column, source: Column) -> Column:
+        more = F.concat(argv, added) if at_end else F.concat(F.slice(argv, 1, 1), added, F.slice(argv, 2, F.greatest(F.size(argv), F.lit(1))))
+        return F.when(F.exists(argv, lambda x: x.startswith(unless)), argv).otherwise(more) if unless else more
+
+    return adjust
+
+
+def strip_output(argv: Column, source: Column) -> Column:
+    """Without ``-o`` and its value, joined or apart."""
+    def step(s: Column, x: Column) -> Column:
+        goes = s["next"] | x.startswith("-o")
+        return F.struct((~s["next"] & (x == "-o")).alias("next"), F.when(goes, s["out"]).otherwise(F.array_append(s["out"], x)).alias("out"))
+
+    return F.aggregate(argv, F.struct(F.lit(False).alias("next"), _empty().alias("out")), step)["out"]
+
+
+def syntax_only(argv: Column, source: Column) -> Column:
+    """Checks the syntax in place of compiling: without ``-c`` and ``-S``, with ``-fsyntax-only`` behind the compiler."""
+    rest = F.filter(argv, lambda x: ~x.isin("-c", "-S", "-fsyntax-only"))
+    return insert_arguments(["-fsyntax-only"], at_end=False)(rest, source)
+
+
+def platform_flags(resource_dir: str, sysroot: str | None = None) -> list[Adjuster]:
+    """What a platform adds to every command line: its compiler's headers, and the root of its system if there is one."""
+    return [insert_arguments(["-resource-dir", resource_dir])] + ([insert_arguments(["-isysroot", sysroot])] if sysroot else [])

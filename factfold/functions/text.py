@@ -118,6 +118,13 @@ def type_flags(type_text: Column) -> list[Column]:
     return [c.cast("int").alias(name) for name, c in tests.items()]
 
 
+def is_forwarding(type_text: Column, parameters: Column) -> Column:
+    """0/1: whether a parameter's type is ``T&&`` for one of the function's own template parameters (an array of names), without qualifiers;
+    such a reference takes what it is given, lvalues too."""
+    named = F.regexp_extract(F.trim(type_text), r"^([A-Za-z_][A-Za-z_0-9]*)\s*&&(?:\s*\.\.\.)?$", 1)
+    return ((named != "") & F.coalesce(F.array_contains(parameters, named), F.lit(False))).cast("int")
+
+
 def like_ascii(text: Column, pattern: str) -> Column:
     """LIKE that ignores the case of letters, as fact queries expect."""
     return text.ilike(pattern)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factfold.operators import layout, lexing, lookup
+from factfold.functions import argv, text
+from factfold.operators import inventory, layout, lexing, lookup
 from factfold.plans.registered import TOKEN_SQL, big, query
 
 # Texts within a raw string, a string, a comment or a statement with character literals and marks, by document.
@@ -116,3 +117,100 @@ def nested_offsets(t):
 @query(f"{_NESTED} SELECT p AS record, greatest(8, {_UP.format('l.s', 'l.a')})::BIGINT AS size, l.a AS alignment FROM r")
 def nested_sizes(t):
     return layout.composed_layout(*_records(t))[1]
+
+
+# Nodes are parts in a binary tree, kinds by key.
+_KINDS = ["IntegerLiteral", "ParenExpr", "CXXMemberCallExpr", "SubstNonTypeTemplateParmExpr", "IntegerLiteral", "MaterializeTemporaryExpr", "FunctionDecl", "CallExpr", "UserDefinedLiteral", "CXXOperatorCallExpr", "ImplicitCastExpr"]
+_TREE = f"n AS MATERIALIZED (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 2 END AS parent, {_KINDS}[1 + p_partkey % 11] AS kind FROM part)"
+_TRANSPARENT = ["ParenExpr", "ImplicitCastExpr"]
+
+
+def _tree(t):
+    p = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (1 + p % 11).cast("int"))
+    return t.part.select(p.alias("id"), F.when(p > 0, big(F.floor(p / 2))).alias("parent_id"), kind.alias("kind"))
+
+
+@query(f"WITH {_TREE} SELECT id, kind, CASE kind WHEN 'CallExpr' THEN 'plain' WHEN 'CXXMemberCallExpr' THEN 'member' WHEN 'CXXOperatorCallExpr' THEN 'operator' ELSE 'literal' END AS family, kind <> 'UserDefinedLiteral' AS has_written_arguments FROM n WHERE kind LIKE '%CallExpr' OR kind = 'UserDefinedLiteral'")
+def call_population(t):
+    return inventory.calls(_tree(t))
+
+
+@query(f"""WITH RECURSIVE {_TREE}, u(id, up) AS (SELECT id, parent FROM n WHERE kind = 'IntegerLiteral' UNION ALL SELECT u.id, n.parent FROM u JOIN n ON n.id = u.up WHERE n.kind IN ('ParenExpr', 'ImplicitCastExpr'))
+SELECT id FROM n WHERE kind = 'IntegerLiteral' AND id NOT IN (SELECT u.id FROM u JOIN n ON n.id = u.up WHERE n.kind = 'SubstNonTypeTemplateParmExpr')""")
+def literals_in_source(t):
+    """Literals that somebody wrote, whatever casts and parentheses stand between them and a replaced template parameter."""
+    return inventory.written_literals(_tree(t), "IntegerLiteral", "SubstNonTypeTemplateParmExpr", _TRANSPARENT)
+
+
+@query(f"""WITH RECURSIVE {_TREE}, u(id, up) AS (SELECT id, parent FROM n WHERE kind = 'MaterializeTemporaryExpr' UNION ALL SELECT u.id, n.parent FROM u JOIN n ON n.id = u.up WHERE n.kind <> 'FunctionDecl'),
+o AS (SELECT n.id, count(*) AS n FROM u JOIN n ON n.id = u.up WHERE n.kind = 'FunctionDecl' GROUP BY 1) SELECT id, coalesce(o.n, 0) AS n FROM n LEFT JOIN o USING (id) WHERE kind = 'FunctionDecl'""")
+def temporaries_inside(t):
+    """Temporaries by the nearest function around them."""
+    return inventory.count_inside(_tree(t), ["MaterializeTemporaryExpr"], "FunctionDecl")
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '2-HIGH' AND EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND l_linenumber = 2 AND l_returnflag = 'R' AND p_type = 'ECONOMY')""")
+def specialisations_of_template(t):
+    """Specialisations of one template whose second argument points to one record."""
+    facts = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("template"))
+    arguments = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("type_id"), (F.col("l_returnflag") == "R").alias("is_pointer"))
+    return inventory.specialisations(facts, arguments, t.part.select(F.col("p_partkey").alias("type_id"), F.col("p_type").alias("name")), "2-HIGH", 2, "ECONOMY")
+
+
+_JUMPS = "j AS (SELECT o_custkey AS function, o_orderkey AS id FROM orders WHERE o_orderstatus = 'O'), l AS (SELECT DISTINCT o_custkey AS function, o_orderpriority AS label FROM orders WHERE o_orderstatus = 'F')"
+
+
+@query(f"""WITH {_JUMPS} SELECT function, id AS src, NULL AS dst FROM j WHERE function IN (SELECT function FROM l) UNION ALL SELECT function, NULL, label FROM l WHERE function IN (SELECT function FROM j)""")
+def computed_jumps(t):
+    """Jumps through a value go to every label of their function whose address is taken, by way of one node per function."""
+    function = F.col("o_custkey").alias("function")
+    jumps, labels = t.orders.where("o_orderstatus = 'O'"), t.orders.where("o_orderstatus = 'F'")
+    return inventory.computed_jumps(jumps.select(function, F.col("o_orderkey").alias("id")), labels.select(function, F.col("o_orderpriority").alias("label")))
+
+
+_STEPS = "s AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'failed at ' || event_id END AS error FROM events), f AS (SELECT user_id, min(event_id) AS first FROM s WHERE error IS NOT NULL GROUP BY 1)"
+
+
+@query(f"WITH {_STEPS} SELECT s.* FROM s LEFT JOIN f USING (user_id) WHERE first IS NULL OR event_id <= first")
+def fail_fast(t):
+    """Each user's steps up to the first that fails, and that one; what comes after goes."""
+    failed = F.when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), F.concat(F.lit("failed at "), F.col("event_id").cast("string")))
+    kept, failures = inventory.fail_fast(t.events.select("user_id", "event_id", failed.alias("error")), "user_id", "event_id", "error")
+    return kept.unionByName(failures)
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'Brand#' || doc_id % 40 END AS usr, CASE WHEN doc_id % 5 > 1 THEN (SELECT min(p_partkey) FROM part WHERE p_brand = 'Brand#' || doc_id % 40) END AS id,
+CASE WHEN doc_id % 5 <= 1 THEN 'a symbol needs a usr' END AS error FROM documents""")
+def find_by_usr(t):
+    """Empty and missing names are errors, names of no symbol are nulls."""
+    n = F.col("doc_id") % 5
+    wanted = t.documents.select("doc_id", F.when(n == 0, "").when(n > 1, F.concat(F.lit("Brand#"), (F.col("doc_id") % 40).cast("string"))).alias("usr"))
+    return inventory.find_ids(wanted, t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("usr")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_orderkey AS id, l_returnflag AS node, coalesce((SELECT o_orderstatus FROM orders WHERE o_orderkey = l_orderkey) = CASE l_returnflag WHEN 'R' THEN 'F' WHEN 'N' THEN 'O' ELSE 'P' END, false) AS found FROM lineitem")
+def find_by_id_and_node(t):
+    symbols = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "R").when(F.col("o_orderstatus") == "O", "N").when(F.col("o_orderstatus") == "P", "A").alias("node"))
+    return inventory.find_nodes(t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("node")), symbols)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['cc', '-fsyntax-only', p_name, '-resource-dir', '/r', '-isysroot', '/s'] WHEN 1 THEN ['cc', '-fsyntax-only', '-x', p_name, '-resource-dir', '/r', '-isysroot', '/s', '-w']
+WHEN 2 THEN ['cc', '-fsyntax-only', '-resource-dir', '/r', '-isysroot', '/s', '-w'] ELSE ['cc', '-fsyntax-only', '-weak', p_name, '-O2', '-resource-dir', '/r', '-isysroot', '/s'] END AS argv FROM part""")
+def adjusted_commands(t):
+    """Command lines without their outputs, checked only, with what the platform adds and a flag that some have already."""
+    of = lambda *parts: F.array(*(F.col(p) if p == "p_name" else F.lit(p) for p in parts))
+    n = F.col("p_partkey") % 4
+    lines = F.when(n == 0, of("cc", "-c", "p_name", "-o", "-o", "-fsyntax-only")).when(n == 1, of("cc", "-x", "-oout", "p_name", "-c")).when(n == 2, of("cc", "-S", "-o")).otherwise(of("cc", "-weak", "p_name", "-o", "-c", "-O2"))
+    added = argv.insert_arguments(["-w"], unless="-w")
+    keeps = F.when(n == 0, argv.adjusted(lines, F.col("p_name"), argv.strip_output, argv.syntax_only, *argv.platform_flags("/r", "/s")))
+    return t.part.select("p_partkey", keeps.otherwise(argv.adjusted(lines, F.col("p_name"), argv.strip_output, argv.syntax_only, *argv.platform_flags("/r", "/s"), added)).alias("argv"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 4) THEN 1 ELSE 0 END AS is_forwarding FROM part""")
+def forwarding_parameters(t):
+    """Which of six forms of a parameter forward, one of the template's names being the part's own."""
+    forms = ["T &&", "const T &&", "int &&", "T &", "T&& ...", "std::vector<T> &&"]
+    own = F.concat(F.lit("T"), F.col("p_partkey").cast("string"))
+    spelled = F.replace(F.element_at(F.array(*map(F.lit, forms)), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit("T"), own)
+    return t.part.select("p_partkey", text.is_forwarding(spelled, F.array(F.lit("U"), own)).alias("is_forwarding"))
