@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factfold.functions import text
 from factfold.operators.graph import chain_ends, nearest_ancestor, pairs_above, reachable
-from factfold.operators.lineage import cut
+from factfold.operators.lineage import Growing, cut
 from factfold.operators.match import Tree
 
 #: Kinds of special members that have no body of their own to call by name.
@@ -124,26 +124,28 @@ def live_in(edges: DataFrame, uses: DataFrame, defines: DataFrame, rounds: int =
     back along the edges and ends where a variable is defined.
     """
     back = cut(edges.select(F.col("dst").alias("block"), F.col("src").alias("before")).distinct())
-    seen = at = cut(uses.select("block", "variable").distinct())
+    at = cut(uses.select("block", "variable").distinct())
+    seen = Growing(at)
     for _ in range(rounds):
         found = at.join(back, "block").select(F.col("before").alias("block"), "variable").distinct()
-        at = cut(found.join(defines, ["block", "variable"], "left_anti").join(seen, ["block", "variable"], "left_anti"))
+        at = cut(found.join(defines, ["block", "variable"], "left_anti").join(seen.rows(), ["block", "variable"], "left_anti"))
         if at.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(at))
+            return seen.rows()
+        seen.add(at)
     raise RuntimeError("liveness did not settle")
 
 
 def uninitialised(edges: DataFrame, entry, uses: DataFrame, defines: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Uses (block, variable) that some way from the entry reaches without a definition of the variable."""
     steps = cut(edges.select(F.col("src").alias("block"), F.col("dst").alias("after")).distinct())
-    seen = at = cut(uses.select(F.lit(entry).cast(uses.schema["block"].dataType).alias("block"), "variable").distinct())
+    at = cut(uses.select(F.lit(entry).cast(uses.schema["block"].dataType).alias("block"), "variable").distinct())
+    seen = Growing(at)
     for _ in range(rounds):
         found = at.join(defines, ["block", "variable"], "left_anti").join(steps, "block").select(F.col("after").alias("block"), "variable").distinct()
-        at = cut(found.join(seen, ["block", "variable"], "left_anti"))
+        at = cut(found.join(seen.rows(), ["block", "variable"], "left_anti"))
         if at.isEmpty():
-            return uses.select("block", "variable").distinct().join(seen, ["block", "variable"], "left_semi")
-        seen = cut(seen.unionByName(at))
+            return uses.select("block", "variable").distinct().join(seen.rows(), ["block", "variable"], "left_semi")
+        seen.add(at)
     raise RuntimeError("definitions did not settle")
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from factfold.operators import layout, lexing, lookup
+from factfold.functions import argv
+from factfold.operators import inventory, layout, lexing, lookup
 
 TEXTS = [
     "", " \n", 'a = R"x(no " end )" )y" )x"_s + b;', "'\"' \"'\" 'ab\\'c' u8'x' L\"s\\\"t\"_w", "// goes \\\non\nx \\\n y // last \\", "/* open \" ' R\"(",
@@ -135,3 +137,45 @@ def test_layout_of_records_in_records(spark):
     with pytest.raises(RuntimeError, match="cycle"):
         laid(spark, [("a", False), ("b", False)], [("a", 0, "b", None, None, None), ("b", 0, "a", None, None, None)])
     assert laid(spark, [("a", False)], []) == ({}, {"a": (8, 8)})
+
+
+def test_folds_end_at_the_first_failure(spark):
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("a", 3, None), ("a", 4, "y"), ("b", 1, None), (None, 1, "z"), (None, 2, None)], "g string, n int, e string")
+    kept, failures = inventory.fail_fast(rows, "g", "n", "e")
+    assert {tuple(r) for r in kept.collect()} == {("a", 1, None), ("b", 1, None)} and {tuple(r) for r in failures.collect()} == {("a", 2, "x"), (None, 1, "z")}
+
+
+def test_jumps_through_values_reach_what_all_pairs_would(spark):
+    jumps = spark.createDataFrame([("f", 1), ("f", 2), ("g", 3), ("f", 1)], "function string, id int")
+    labels = spark.createDataFrame([("f", "x"), ("f", "y"), ("f", "x"), ("h", "z")], "function string, label string")
+    edges = inventory.computed_jumps(jumps.distinct(), labels).collect()
+    pairs = {(a.src, b.dst) for a in edges for b in edges if a.function == b.function and a.dst is None and b.src is None}
+    assert pairs == {(1, "x"), (1, "y"), (2, "x"), (2, "y")} and len(edges) == 4
+
+
+def test_written_literals_and_counts(spark):
+    kinds = ["Function", "Subst", "Paren", "Literal", "Literal", "Paren", "Temporary", "Function", "Temporary", "Literal"]
+    parents = [None, 0, 1, 2, 0, 0, 5, 5, 7, 8]
+    nodes = spark.createDataFrame(list(zip(range(10), parents, kinds, strict=True)), "id int, parent_id int, kind string")
+    assert {r.id for r in inventory.written_literals(nodes, "Literal", "Subst", ["Paren"]).collect()} == {4, 9}
+    assert {tuple(r) for r in inventory.count_inside(nodes, ["Temporary"], "Function").collect()} == {(0, 1), (7, 1)}
+
+
+def test_guarded_look_ups(spark):
+    symbols = spark.createDataFrame([(7, "u", 1), (8, "", 2), (9, None, 3)], "id int, usr string, node int")
+    wanted = spark.createDataFrame([("u",), ("v",), ("",), (None,)], "usr string")
+    got = {r.usr: (r.id, r.error is not None) for r in inventory.find_ids(wanted, symbols).collect()}
+    assert got == {"u": (7, False), "v": (None, False), "": (None, True), None: (None, True)}
+    asked = spark.createDataFrame([(7, 1), (7, 2), (5, 1), (None, None)], "id int, node int")
+    assert {(r.id, r.node): r.found for r in inventory.find_nodes(asked, symbols).collect()} == {(7, 1): True, (7, 2): False, (5, 1): False, (None, None): False}
+
+
+def test_adjusters(spark):
+    def adjust(line, *adjusters):
+        df = spark.createDataFrame([(line,)], "a array<string>")
+        return df.select(argv.adjusted(F.col("a"), F.lit("x.c"), *adjusters)).first()[0]
+
+    assert adjust(["cc", "-o", "-o", "-c", "x.c", "-oy"], argv.strip_output) == ["cc", "-c", "x.c"]
+    assert adjust(["cc", "-c", "x.c", "-o"], argv.strip_output, argv.syntax_only) == ["cc", "-fsyntax-only", "x.c"]
+    assert adjust(["cc"], argv.insert_arguments(["-v"], at_end=False), *argv.platform_flags("/r")) == ["cc", "-v", "-resource-dir", "/r"]
+    assert adjust([], argv.insert_arguments(["-v"])) == ["-v"] and adjust(["cc", "-std=c++20"], argv.insert_arguments(["-std=c++17"], unless="-std")) == ["cc", "-std=c++20"]
