@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factfold.functions import argv, flags, ids, paths, text
 from factfold.operators import allocate, edits, graph, match, merge, resolve, validate
 from factfold.plans import analysis, extraction, language, lessons, patterns, projects  # noqa: F401  register their queries
-from factfold.plans.registered import ORACLE_SQL, QUERIES, big, query  # noqa: F401
+from factfold.plans.registered import ORACLE_SQL, QUERIES, TOKEN_SQL, big, query  # noqa: F401
 
 # filters, scalars ---------------------------------------------------------------------------------------------------
 
@@ -345,15 +345,17 @@ def ordered_list(t):
     return t.orders.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda x: x["o_orderkey"]).alias("parameters"))
 
 
-@query(r"""SELECT spelling, count(*)::BIGINT AS n, bool_or(regexp_matches(spelling, '^[0-9]')) AS has_digits FROM (SELECT unnest(regexp_extract_all(text, '[0-9][0-9A-Za-z_.]*|[A-Za-z_][A-Za-z_0-9]*')) AS spelling FROM documents) GROUP BY 1""")
+@query(rf"""SELECT s AS spelling, count(*)::BIGINT AS n, bool_or(regexp_matches(s, '^\.?[0-9]')) AS has_digits FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN_SQL}')) AS s FROM documents)
+WHERE regexp_matches(s, '^\.?[0-9]') OR regexp_full_match(s, '[\p{{L}}_][\p{{L}}\p{{N}}_]*') GROUP BY 1""")
 def token_inventory(t):
-    spelled = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[0-9][0-9A-Za-z_.]*|[A-Za-z_][A-Za-z_0-9]*"), F.lit(0))).alias("spelling"))
-    return spelled.groupBy("spelling").agg(F.count("*").alias("n"), F.bool_or(F.col("spelling").rlike("^[0-9]")).alias("has_digits"))
+    kind = text.token_kind(F.col("spelling"))
+    spelled = t.documents.select(F.explode(text.tokens(F.col("text"))).alias("spelling")).where(kind.isin("number", "identifier"))
+    return spelled.groupBy("spelling").agg(F.count("*").alias("n"), F.bool_or(kind == "number").alias("has_digits"))
 
 
-@query(r"""SELECT spelling, n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z_0-9]*')) AS spelling, count(*)::BIGINT AS n FROM documents GROUP BY 1) ORDER BY n DESC, spelling LIMIT 5""")
+@query(rf"""SELECT s AS spelling, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN_SQL}')) AS s FROM documents) WHERE regexp_full_match(s, '[\p{{L}}_][\p{{L}}\p{{N}}_]*') GROUP BY 1 ORDER BY n DESC, spelling LIMIT 5""")
 def top_identifiers(t):
-    spelled = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z_0-9]*"), F.lit(0))).alias("spelling"))
+    spelled = t.documents.select(F.explode(text.tokens(F.col("text"))).alias("spelling")).where(text.token_kind(F.col("spelling")) == "identifier")
     return spelled.groupBy("spelling").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "spelling").limit(5)
 
 
