@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factfold.functions import argv, text
-from factfold.operators import inventory, layout, lexing, lookup
+from factfold.operators import edits, inventory, layout, lexing, lookup
+from factfold.plans import query as statements
+from factfold.plans import registry
 from factfold.plans.registered import TOKEN_SQL, big, query
 
 # Texts within a raw string, a string, a comment or a statement with character literals and marks, by document.
@@ -214,3 +216,34 @@ def forwarding_parameters(t):
     own = F.concat(F.lit("T"), F.col("p_partkey").cast("string"))
     spelled = F.replace(F.element_at(F.array(*map(F.lit, forms)), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit("T"), own)
     return t.part.select("p_partkey", text.is_forwarding(spelled, F.array(F.lit("U"), own)).alias("is_forwarding"))
+
+
+@query(rf"""SELECT doc_id AS file, array_to_string(list_transform(regexp_extract_all(replace(text, ', ', ', NULL, '), '{TOKEN_SQL}'), lambda s: CASE WHEN s = 'NULL' THEN 'nullptr' ELSE s END), '') AS text FROM documents WHERE text IS NOT NULL""")
+def null_literals(t):
+    """Null constants of all texts are replaced where they are tokens, not where they are parts of strings or comments."""
+    files = t.documents.where("text is not null").select(F.col("doc_id").alias("file"), F.replace("text", F.lit(", "), F.lit(", NULL, ")).alias("text"))
+    return edits.rewrite(files, edits.null_literals(lexing.lexed(files, "file", "text")))
+
+
+@query("SELECT 10 + row_number() OVER (ORDER BY path) AS id, path FROM (SELECT '/w/f' || p_partkey || '.c' AS path FROM part WHERE p_partkey <> 7) UNION ALL SELECT 10, '/none'")
+def files_without_own(t):
+    """Files in a registry, without the registry's own."""
+    key = F.col("p_partkey").cast("string")
+    found = t.part.select(F.concat(F.lit("/w/p"), key, F.lit("/../f"), key, F.lit(".c")).alias("path"))
+    stored = t.spark.createDataFrame([(10, "/none", "/")], "id long, path string, owner string")
+    roots = t.spark.createDataFrame([("/w",)], "root string")
+    return registry.register_files(stored, found, roots, own_path="/w/f7.c").select("id", "path")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority || '?' AS marked FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000 AND o_orderpriority <> '1-URGENT'")
+def bound_statement(t):
+    """A statement with values bound to its markers; a mark in a string is none."""
+    sql = f"SELECT o_orderkey, o_custkey, o_orderpriority || '?' AS marked FROM parquet.`{t.folder}/orders.parquet` WHERE o_orderstatus = ? AND o_totalprice > ? AND o_orderpriority <> ?"
+    return statements.frame(t.spark, sql, "F", 200_000, "1-URGENT")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey >= l_partkey % 20 THEN l_partkey % 20 END AS \"offset\", CASE WHEN l_suppkey >= l_partkey % 20 THEN l_suppkey - l_partkey % 20 END AS size FROM lineitem")
+def regions(t):
+    """Regions from one place to another; none where the end lies before."""
+    found = t.lineitem.select("l_orderkey", "l_linenumber", text.region(F.col("l_partkey") % 20, F.col("l_suppkey")).alias("r"))
+    return found.select("l_orderkey", "l_linenumber", "r.offset", "r.size")
