@@ -11,6 +11,9 @@ A dense group never gives all its pairs: first each bucket is linked in a star t
 allow, which makes nearly all of a group one. Then only fingerprints of different groups are compared: in a crowded bucket, one of
 many fingerprints in few groups, a look-up goes to the groups first and to the fingerprints of other groups only. What comes out is
 pairs of groups.
+
+Segments of up to MAPPED bits have so few keys that a map of those in use fits into every task, whatever the number of texts: a
+look-up whose key nobody holds, or nobody of another group, ends where it is made and is never shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 WIDE = 1 << 27
 #: A bucket is crowded from so many fingerprints on if they are in so many times fewer groups.
 CROWD, CROWDED = 64, 8
+#: The widest segments whose keys in use are mapped: 2^16 rows of 64 keys for a segment of 22 bits, 2^17 for all three.
+MAPPED = 22
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE = np.arange(8) * 256
 
@@ -83,11 +88,25 @@ def balls(radius: int, n: int) -> list[list[int]]:
 
 
 def _keys(fps: DataFrame, masks: list[list[int]]) -> DataFrame:
-    """The columns of fps with (seg, key): the segments of each fingerprint XORed with the masks of that segment."""
+    """The columns of fps with (seg, key, mask): the segments of each fingerprint XORed with the masks of that segment."""
     spots = [(k, at, (1 << w) - 1, m) for k, ((at, w), own) in enumerate(zip(_segments(len(masks)), masks, strict=True)) for m in own]
     table = ",".join(f"({k},{at},{ones}L,{m}L)" for k, at, ones, m in spots)
     probes = fps.select("*", F.inline(F.expr(f"transform(array({table}), x -> named_struct('seg', x.col1, 'at', x.col2, 'ones', x.col3, 'mask', x.col4))")))
-    return probes.select(*fps.columns, "seg", F.expr("(shiftrightunsigned(fp, at) & ones) ^ mask").alias("key"))
+    return probes.select(*fps.columns, "seg", F.expr("(shiftrightunsigned(fp, at) & ones) ^ mask").alias("key"), "mask")
+
+
+def _entries(fps: DataFrame, n: int) -> DataFrame:
+    return _keys(fps, [[0]] * n).drop("mask")
+
+
+def _answered(probes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The probes whose key is among keys (seg, key, groups); those of a fingerprint's own key need a key of several groups. 64 keys make a
+    row of the map that is broadcast, so its size is bounded by the width of the segments."""
+    bit, word = "shiftleft(1L, cast(key & 63 as int))", F.expr("shiftrightunsigned(key, 6)")
+    held, shared = F.expr(f"bit_or({bit})").alias("held"), F.expr(f"bit_or(if(groups > 1, {bit}, 0L))").alias("shared")
+    bits = keys.groupBy("seg", word.alias("word")).agg(held, shared)
+    met = probes.withColumn("word", word).join(F.broadcast(bits), ["seg", "word"])
+    return met.where(f"if(mask = 0, shared, held) & {bit} <> 0").select(probes.columns)
 
 
 def _near(a: str, b: str, radius: int):
@@ -98,14 +117,18 @@ def groups(fps: DataFrame, radius: int = RADIUS, segments: int | None = None) ->
     """(fp, top): the fingerprint that names the group of each; fingerprints within ``radius`` bits are in one group, and so on.
     fps: distinct (fp)."""
     n = segments or (3 if fps.limit(WIDE).count() < WIDE else 2)
-    entries = _keys(fps.select("fp"), [[0]] * n)
+    entries = _entries(fps.select("fp"), n)
     centres = entries.groupBy("seg", "key").agg(F.min_by("fp", F.xxhash64("fp")).alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = entries.join(centres, ["seg", "key"]).where((F.col("fp") != F.col("centre")) & _near("fp", "centre", radius))
     first = components(stars.select(F.col("fp").alias("a"), F.col("centre").alias("b"))).withColumnsRenamed({"node": "fp", "component": "top"})
     own = cut(fps.select("fp").join(first, "fp", "left").select("fp", F.coalesce("top", "fp").alias("top")))
-    table, probes = _keys(own, [[0]] * n), _keys(own, balls(radius, n)).withColumnsRenamed({"fp": "p", "top": "from"})
+    table, probes = _entries(own, n), _keys(own, balls(radius, n)).withColumnsRenamed({"fp": "p", "top": "from"})
     by_group = table.groupBy("seg", "key", "top").agg(F.count("*").alias("n"))
-    crowded = by_group.groupBy("seg", "key").agg(F.sum("n").alias("n"), F.count("*").alias("groups")).where((F.col("n") >= CROWD) & (F.col("n") >= CROWDED * F.col("groups"))).select("seg", "key")
+    keys = by_group.groupBy("seg", "key").agg(F.sum("n").alias("n"), F.count("*").alias("groups"))
+    if max(width for _, width in _segments(n)) <= MAPPED:
+        probes = _answered(probes, keys)
+    probes = probes.drop("mask")
+    crowded = keys.where((F.col("n") >= CROWD) & (F.col("n") >= CROWDED * F.col("groups"))).select("seg", "key")
     other, near = F.col("from") != F.col("top"), _near("p", "fp", radius)
     plain = probes.join(table.join(crowded, ["seg", "key"], "left_anti"), ["seg", "key"]).where(other & near)
     asked = probes.join(by_group.join(crowded, ["seg", "key"], "left_semi").drop("n"), ["seg", "key"]).where(other)
