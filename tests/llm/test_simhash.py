@@ -116,34 +116,3 @@ def test_deduplicate_goes_by_rows_and_not_by_ids(spark):
     got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, one), (2, other), (3, None), next(tuple(r) for r in got if r.doc_id is None)], key=str)
     assert next(r.text for r in got if r.doc_id is None).strip() == third
-
-
-def test_only_look_ups_that_can_meet_another_group_are_kept(spark):
-    rng = random.Random(11)
-    centres = [rng.getrandbits(63) for _ in range(40)]
-    fps = sorted({c ^ sum(1 << x for x in rng.sample(range(63), rng.randint(0, 3))) for c in centres for _ in range(6)})
-    top = {f: min(g for g in fps if (f ^ g).bit_count() <= 1) for f in fps}
-    own = spark.createDataFrame(list(top.items()), "fp long, top long")
-    table = simhash._entries(own, 3)
-    keys = table.groupBy("seg", "key").agg(simhash.F.countDistinct("top").alias("groups"))
-    probes = simhash._keys(own, simhash.balls(4, 3))
-    held: dict = {}
-    for r in table.collect():
-        held.setdefault((r.seg, r.key), set()).add(r.top)
-    want = [tuple(r) for r in probes.collect() if len(held.get((r.seg, r.key), ())) > (r["mask"] == 0)]
-    got = [tuple(r) for r in simhash._answered(probes, keys).collect()]
-    assert sorted(got) == sorted(want) and 0 < len(got) < probes.count() / 4
-
-
-def test_map_of_keys_changes_no_group(spark, monkeypatch):
-    rng = random.Random(12)
-    centres = [rng.getrandbits(63) for _ in range(30)]
-    fps = sorted({c ^ sum(1 << x for x in rng.sample(range(63), rng.randint(0, 6))) for c in centres for _ in range(20)})
-    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
-    groups = {}
-    for widest in (22, 0):
-        monkeypatch.setattr(simhash, "MAPPED", widest)
-        groups[widest] = {}
-        for r in simhash.groups(frame).collect():
-            groups[widest].setdefault(r.top, set()).add(r.fp)
-    assert sorted(map(sorted, groups[22].values())) == sorted(map(sorted, groups[0].values()))
