@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -202,3 +203,79 @@ def test_labels_of_one_kind_decide(spark):
     for y in (0, 1):
         labels = spark.createDataFrame([(i, y, y) for i in range(20)], "doc_id long, quality int, toxic int")
         assert {r.predicted for r in quality.score(docs, labels).collect()} == {y}
+
+
+# fits in plain Python -----------------------------------------------------------------------------------------------
+
+
+def _seeded(*values) -> int:
+    """Spark's xxhash64 of longs and strings."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_ranking(x: dict, y: dict) -> tuple:
+    """Weights of least penalised logistic loss, and that loss, over the differences of pairs that meet in a bucket, by Newton's method."""
+    worse = max(1, sum(v == 0 for v in y.values()))
+    buckets: dict = {}
+    for i in y:
+        if y[i] == 0:
+            buckets.setdefault(_seeded(i, "worse") % worse, []).append(i)
+    d = np.array([np.subtract(x[i], x[j]) for i in y if y[i] == 1 for j in buckets.get(_seeded(i, "better") % worse, [])], float)
+    penalty = quality.PENALTY * (2 * (d**2).sum(axis=0) / (2 * len(d) - 1))
+    w = np.zeros(d.shape[1])
+
+    def loss(v):
+        return np.logaddexp(0, -d @ v).mean() + 0.5 * (penalty * v**2).sum()
+
+    for _ in range(60):
+        p = 1 / (1 + np.exp(d @ w))
+        step = np.linalg.lstsq((d.T * (p * (1 - p))) @ d / len(d) + np.diag(penalty), d.T @ p / len(d) - penalty * w, rcond=None)[0]
+        size = 1.0
+        while loss(w + size * step) > loss(w) and size > 1e-9:
+            size /= 2
+        w = w + size * step
+    return w, loss
+
+
+def test_ranking_equals_newtons_method(spark, data):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.quality is not None}
+    y = {i: v for i, v in known.items() if i in docs and zlib.crc32(str(i).encode()) % 4 != 2}
+    x = {i: plain_quality(t) for i, t in docs.items()}
+    best, loss = plain_ranking(x, y)
+    taught = spark.createDataFrame([(i, y[i], *map(float, x[i])) for i in y], "doc_id long, y int, " + ", ".join(f"{f} double" for f in features.QUALITY))
+    own = np.array(quality.fit(taught))
+    assert loss(best) <= loss(own) + 1e-9 and loss(own) < loss(best) + 0.05 * loss(np.zeros(len(best)))
+    strength = {i: float(np.dot(v, best)) for i, v in x.items()}
+    threshold = np.quantile([strength[i] for i in y], 1 - np.mean(list(y.values())))
+    got = {r.doc_id: r for r in quality.op6_quality(spark, data).collect()}
+    assert np.mean([got[i].predicted == (strength[i] >= threshold) for i in docs]) > 0.98
+    held = [i for i in known if i in docs and zlib.crc32(str(i).encode()) % 4 == 2]
+    assert abs(auc([strength[i] for i in held], [known[i] for i in held]) - auc([got[i].score for i in held], [known[i] for i in held])) < 0.01
+
+
+def plain_isotonic(p: list[float], label: list[float]) -> list[tuple[float, float, float]]:
+    """(first, last, mean) of each step: neighbours that fall are pooled until none does."""
+    pools: list = []
+    for value in sorted(set(p)):
+        own = [v for q, v in zip(p, label, strict=True) if q == value]
+        pools.append([value, value, sum(own), len(own)])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            _, last, total, n = pools.pop()
+            pools[-1][1:] = [last, pools[-1][2] + total, pools[-1][3] + n]
+    return [(a, b, total / n) for a, b, total, n in pools]
+
+
+def test_calibration_equals_pooling_of_neighbours(spark):
+    rng = np.random.default_rng(4)
+    p = np.round(rng.beta(0.6, 0.8, 400), 3).clip(0.001, 0.999).tolist()
+    label = [float(rng.random() < v**1.5) for v in p]
+    model = toxicity.calibration(spark.createDataFrame(list(zip(p, label, strict=True)), "p double, label double"))
+    least = 0.5 / (len(p) + 1)
+    knots = [(0.0, 0.0), *(((a + b) / 2, min(max(v, least), 1 - least)) for a, b, v in plain_isotonic(p, label)), (1.0, 1.0)]
+    at = np.linspace(0, 1, 301)
+    got = np.interp(at, list(model.boundaries), list(model.predictions))
+    assert got == pytest.approx(np.interp(at, *zip(*knots, strict=True)), abs=1e-9) and len(knots) > 8

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from factfold.llm import sharding
@@ -80,3 +81,58 @@ def test_odd_rows(spark):
         slots[r.shard].append(r.slot)
     assert set(slots) <= {0, 1, 2} and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard(empty_documents(spark)).collect() == []
+
+
+def _hash(value, seed: int) -> int:
+    """Spark's xxhash64 of one string, long or int, seeded with the hash of what stands before it."""
+    raw = value.encode() if isinstance(value, str) else int(value).to_bytes(8 if isinstance(value, np.int64) else 4, "little", signed=True)
+    return int(np.uint64(xxhash.xxh64_intdigest(raw, seed)).view(np.int64))
+
+
+def _chain(*values) -> int:
+    seed = 42
+    for v in values:
+        seed = _hash(v, seed % (1 << 64))
+    return seed
+
+
+def _replayed(loads: list, room: list, given: list) -> None:
+    """Each piece, the largest first, went where its weighted dot product with the room that was left is highest."""
+    scale = [max(sum(max(r[d], 0.0) for r in room), 1e-9) / len(room) for d in range(3)]
+    left = [[r[d] / scale[d] for d in range(3)] for r in room]
+    own = [[v[d] / scale[d] for d in range(3)] for v in loads]
+    for i in sorted(range(len(own)), key=lambda i: (-sum(own[i]), i)):
+        fit = [own[i][0] * r[0] + 0.02 * own[i][1] * r[1] + 0.02 * own[i][2] * r[2] for r in left]
+        assert fit[given[i]] >= max(fit) - 1e-9 * (1 + abs(max(fit)))
+        for d in range(3):
+            left[given[i]][d] -= own[i][d]
+
+
+def test_placement_equals_packing_in_plain_python(spark):
+    """Groups, cells, large pieces first and the dot products, worked out from the texts alone."""
+    shards, cell_rows = 8, 300
+    texts = [prose("aa", 5 + i * 7 % 50, i) for i in range(3_000)]
+    texts += [t for k in range(30) for t in [prose("bb", 60, k)] * (5 + k)] + [prose("aa", 900, k) for k in range(12)] + [""] * 3
+    rows = sharding.shard(documents(spark, texts), shards, cell_rows=cell_rows).collect()
+    groups: dict = defaultdict(lambda: [0, 0, 0])
+    of = {}
+    for i, t in enumerate(texts):
+        of[i] = (_chain(t, 7), zlib.crc32(t.encode()), len(t.encode()) + 16)
+        for d, v in enumerate((of[i][2], len(t.split()), 1)):
+            groups[of[i]][d] += v
+    placed: dict = {}
+    for r in rows:
+        assert placed.setdefault(of[r.doc_id], r.shard) == r.shard  # no group here fills half a shard
+    full = [sum(g[d] for g in groups.values()) / shards for d in range(3)]
+    big = sorted(k for k, g in groups.items() if max(g[d] / (full[d] * 0.01) for d in range(3)) > 1)
+    assert 20 < len(big) < 200 and placed.keys() == groups.keys()
+    _replayed([groups[k] for k in big], [list(full) for _ in range(shards)], [placed[k] for k in big])
+    room = [[max(full[d] - sum(groups[k][d] for k in big if placed[k] == s), 0.0) for d in range(3)] for s in range(shards)]
+    cells, total = defaultdict(list), [sum(r[d] for r in room) for d in range(3)]
+    number = max(1, round(len(groups) / cell_rows))
+    for key in sorted(groups.keys() - set(big)):
+        cells[_chain(np.int64(key[0]), np.int64(key[1]), np.int64(key[2])) % number].append(key)
+    assert len(cells) == number > 5
+    for keys in cells.values():
+        own = [sum(groups[k][d] for k in keys) for d in range(3)]
+        _replayed([groups[k] for k in keys], [[r[d] / max(total[d], 1e-9) * own[d] for d in range(3)] for r in room], [placed[k] for k in keys])
