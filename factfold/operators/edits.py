@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factfold.operators.lineage import cut
 from factfold.operators.scan import running_max
 
 
@@ -65,12 +66,12 @@ def with_and_without(owners: DataFrame, having: DataFrame, lacking: DataFrame, o
     return owners.join(having.select(on), on, "left_semi").join(lacking.select(on), on, "left_anti")
 
 
-def missing_cases(owners: DataFrame, handled: DataFrame, owner: str, case: str, most: int = 4_096) -> DataFrame:
-    """(owner, case) for each owner and each case that any owner handles and it doesn't. The cases are an enumeration's: more than
-    ``most`` of them raise."""
-    cases = [r[0] for r in handled.select(case).where(F.col(case).isNotNull()).distinct().limit(most + 1).collect()]
-    if len(cases) > most:
-        raise ValueError(f"{case} has more than {most} values")
-    every = F.array(*map(F.lit, cases)) if cases else F.array().cast(f"array<{handled.schema[case].dataType.simpleString()}>")
-    wanted = owners.select(owner, F.explode(every).alias(case))
+def missing_cases(owners: DataFrame, handled: DataFrame, owner: str, case: str, block: int = 4_096) -> DataFrame:
+    """(owner, case) for each owner and each case that any owner handles and it doesn't; null cases are none. The cases, however many,
+    stand in blocks of about ``block``, and an owner meets each block once."""
+    cases = cut(handled.select(case).where(F.col(case).isNotNull()).distinct())
+    blocks = -(-cases.count() // block)
+    dealt = cases.groupBy(F.pmod(F.xxhash64(case), F.lit(max(blocks, 1))).cast("int").alias("__block")).agg(F.collect_list(case).alias("__cases"))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1)) if blocks else F.array().cast("array<int>")
+    wanted = owners.select(owner, F.explode(every).alias("__block")).join(dealt, "__block").select(owner, F.explode("__cases").alias(case))
     return wanted.join(handled, [owner, case], "left_anti")

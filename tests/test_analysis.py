@@ -132,3 +132,12 @@ def test_packs_of_any_depth(spark):
     got = {(r.owner, r.position): (r.value, r.pack_index, r.depth) for r in declarations.template_values(rows, "owner", "v").collect()}
     want = {(k, n): (x, p[1] if len(p) > 1 else -1, len(p) - 1) for k, v in cases.items() if v for n, (p, x) in enumerate(flat(v))}
     assert got == want
+
+
+@pytest.mark.parametrize("block", [4_096, 7])
+def test_missing_cases_of_any_number(spark, block):
+    handled = {(i, f"c{j}") for i in range(9) for j in range(60) if (i * 7 + j) % 5} | {(0, None), (None, "c60")}
+    own = spark.createDataFrame([(i,) for i in range(11)], "o int")
+    got = [tuple(r) for r in edits.missing_cases(own, spark.createDataFrame(list(handled), "o int, c string"), "o", "c", block).collect()]
+    assert sorted(got) == sorted((i, f"c{j}") for i in range(11) for j in range(61) if (i, f"c{j}") not in handled)
+    assert edits.missing_cases(own, spark.createDataFrame([], "o int, c string"), "o", "c").count() == 0
