@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factfold.functions import argv, flags, ids, paths, text
 from factfold.operators import allocate, edits, graph, match, merge, resolve, validate
-from factfold.plans import analysis, extraction, language, lessons, patterns, projects  # noqa: F401  register their queries
+from factfold.plans import analysis, extraction, language, lessons, migration, patterns, projects  # noqa: F401  register their queries
 from factfold.plans.registered import ORACLE_SQL, QUERIES, TOKEN_SQL, big, query  # noqa: F401
 
 # filters, scalars ---------------------------------------------------------------------------------------------------
