@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[ \t\n\x0B\f\r]|\\\r?\n"
+SPACE = r"[ \t\n\x0B\f\r]|\\\r?\n"
 _SUFFIX = r"(?:[\p{L}_][\p{L}\p{N}_]*+)?+"
 _ESCAPED = r"\\(?:\r\n|(?s:.))"
 _MARKS = r"<=>|<<=|>>=|->\*|\.\.\.|::|->|\.\*|\+\+|--|<<|>>|&&|\|\||##|[-+*/%&|^<>=!]=|(?s:.)"
@@ -13,7 +13,7 @@ _MARKS = r"<=>|<<=|>>=|->\*|\.\.\.|::|->|\.\*|\+\+|--|<<|>>|&&|\|\||##|[-+*/%&|^
 #: strings and raw strings (up to their own delimiter) cross lines where the language lets them; repetitions are possessive, so that no
 #: text makes the matcher go back or nest.
 TOKEN = "|".join([
-    rf"(?:{_SPACE})++",
+    rf"(?:{SPACE})++",
     rf"//[^\\\n]*+(?:(?:{_ESCAPED}|\\)[^\\\n]*+)*+",
     r"/\*(?s:.*?)(?:\*/|\z)",
     r'(?:u8|[uUL])?R"([^ ()\\\t\n\x0B\f\r"]{0,16})\((?s:.*?)(?:\)\1"|\z)' + _SUFFIX,
@@ -39,7 +39,7 @@ def token_kind(spelling: Column) -> Column:
     """space, comment, raw string, string, character, number, identifier, mark, or unknown for a quote that nothing closes."""
     prefixed = lambda rest: spelling.rlike("^(?:u8|[uUL])?" + rest)
     literal = F.when(prefixed('R"'), "raw string").when(prefixed('"'), "string").when(prefixed("'"), "character")
-    early = F.when(spelling.rlike(f"^(?:{_SPACE})"), "space").when(spelling.rlike(r"^(?://|/\*)"), "comment").when(spelling.isin('"', "'"), "unknown")
+    early = F.when(spelling.rlike(f"^(?:{SPACE})"), "space").when(spelling.rlike(r"^(?://|/\*)"), "comment").when(spelling.isin('"', "'"), "unknown")
     late = F.when(spelling.rlike(r"^\.?[0-9]"), "number").when(spelling.rlike(r"^[\p{L}_]"), "identifier").otherwise("mark")
     return F.coalesce(early, literal, late)
 
