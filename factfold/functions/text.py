@@ -37,11 +37,12 @@ def tokens(text: Column) -> Column:
 
 def token_kind(spelling: Column) -> Column:
     """space, comment, raw string, string, character, number, identifier, mark, or unknown for a quote that nothing closes."""
+    word = F.when(spelling.rlike(r"^[\p{L}_][\p{L}\p{N}_]*+\z"), "identifier")  # most tokens, so one match tells them
     prefixed = lambda rest: spelling.rlike("^(?:u8|[uUL])?" + rest)
     literal = F.when(prefixed('R"'), "raw string").when(prefixed('"'), "string").when(prefixed("'"), "character")
     early = F.when(spelling.rlike(f"^(?:{SPACE})"), "space").when(spelling.rlike(r"^(?://|/\*)"), "comment").when(spelling.isin('"', "'"), "unknown")
     late = F.when(spelling.rlike(r"^\.?[0-9]"), "number").when(spelling.rlike(r"^[\p{L}_]"), "identifier").otherwise("mark")
-    return F.coalesce(early, literal, late)
+    return F.coalesce(word, early, literal, late)
 
 
 def unspliced(spelling: Column) -> Column:
