@@ -51,20 +51,6 @@ def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, src: str =
     return nodes.select("node").distinct().join(reachable(edges, roots, src, dst), "node", "left_anti")
 
 
-def trim(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Edges (src, dst) that are left when nodes without a way in or a way out are taken away again and again."""
-    left = cut(edges.select("src", "dst").distinct())
-    n = left.count()
-    for _ in range(rounds):
-        old, left = left, cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        drop(old)
-        now = left.count()
-        if now == n:
-            return left
-        n = now
-    raise RuntimeError(f"trimming did not settle in {rounds} rounds")
-
-
 def cycle_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node) of all nodes that reach themselves: those of a component of several nodes, and those with an edge to themselves."""
     own = cut(strong_components(edges, src, dst))
@@ -111,15 +97,77 @@ def spread(steps: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataFram
     raise RuntimeError(f"values did not settle in {rounds} rounds")
 
 
+def chains(edges: DataFrame, rounds: int = 60) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(rings, inner, ways) of the nodes of edges (src, dst) that have one way in and one way out, or None if there are none.
+
+    rings (node, label): those on a cycle of such nodes alone, with its least node. inner (node, last): the others, with the last such node of
+    their chain; ways (last, head, tail): what stands before and behind each chain. By pointer jumping, in as many rounds as the
+    longest chain has binary digits.
+    """
+    one = lambda end, other, name: edges.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n"), F.min(other).alias(name)).where("n = 1").drop("n")
+    own = cut(one("src", "dst", "next").join(one("dst", "src", "before"), "node"))
+    if own.isEmpty():
+        return None
+    known = lambda name, flag: own.select(F.col("node").alias(name), F.lit(True).alias(flag))
+    own = cut(own.join(known("next", "goes_on"), "next", "left").join(known("before", "came"), "before", "left"))
+    state = cut(own.select("node", F.when(F.col("goes_on"), F.col("next")).alias("jump"), F.col("node").alias("last"), F.col("node").alias("least")))
+    done, still = None, state.where("jump is not null").count()
+    for _ in range(rounds):
+        if not still:
+            break
+        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("__jump"), F.col("last").alias("__last"), F.col("least").alias("__least"))
+        moved = state.where("jump is not null").join(ahead, "jump").select("node", F.col("__jump").alias("jump"), F.col("__last").alias("last"), F.least("least", "__least").alias("least"), (F.col("__least") < F.col("least")).alias("fell"))
+        old, state = state, cut(moved.unionByName(state.where("jump is null").withColumn("fell", F.lit(False))))
+        drop(old)
+        now = state.where("jump is not null").agg(F.count("*").alias("n"), F.count_if("fell").alias("fell")).first()
+        if now.n == still and not now.fell:  # a chain gets shorter in each round; only rings stay
+            break
+        still = now.n
+    else:
+        raise RuntimeError(f"chains did not settle in {rounds} rounds")
+    inner = state.where("jump is null").select("node", "last")
+    heads = own.where("came is null").select("node", F.col("before").alias("head")).join(inner, "node").select("last", "head")
+    ways = cut(heads.join(own.select(F.col("node").alias("last"), F.col("next").alias("tail")), "last"))
+    return state.where("jump is not null").select("node", F.col("least").alias("label")), inner, ways
+
+
+def thinned(edges: DataFrame, rounds: int = 1_000) -> tuple[DataFrame, list[DataFrame], list[tuple[DataFrame, DataFrame]]]:
+    """What is left of edges (src, dst) when chains become one edge and nodes without a way in or a way out go, by turns; with the rings and the
+    (inner, ways) of ``chains``, first ones first."""
+    live, found, contracted = cut(edges.select("src", "dst").distinct()), [], []
+    n = live.count()
+    for _ in range(rounds):
+        if not n:
+            return live, found, contracted
+        if short := chains(live):
+            rings, inner, ways = short
+            found.append(rings)
+            contracted.append((inner, ways))
+            gone = cut(rings.select("node").unionByName(inner.select("node")))
+            rest = live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+            live = cut(rest.unionByName(ways.where("head <> tail").select(F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct())
+        old = live
+        live = cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        drop(old)
+        now = live.count()
+        if now == n:
+            return live, found, contracted
+        n = now
+    raise RuntimeError(f"chains did not settle in {rounds} rounds")
+
+
 def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 1_000) -> DataFrame:
     """(node, component) of all nodes of the edges: component is the smallest node that a node reaches and that reaches it.
 
-    Nodes that no cycle can hold are trimmed away. Then every node takes, of the nodes that reach it, the one of the least hash as its
-    colour, and a flood back from each colour's own node, over edges of one colour, finds the component of that node. Found ones
-    leave, and the rest is coloured anew by other hashes. Neither pairs of nodes nor a closure are made.
+    Chains of nodes with one way in and one way out become one edge, and nodes without a way in or a way out are taken away, by turns:
+    however long paths, trees and rings are, the rounds follow the digits of their lengths. Of what is left, every node takes, of the nodes that
+    reach it, the one of the least hash as its colour, and a flood back from each colour's own node, over edges of one colour, finds the
+    component of that node. Found ones leave, and the rest is coloured anew by other hashes. At last the nodes of a chain join the component
+    that is at both its ends, if it is one. Neither pairs of nodes nor a closure are made.
     """
     direct = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct())
-    live, found = trim(direct.where("src <> dst")), None
+    live, rings, contracted = thinned(direct.where("src <> dst"))
+    labels = rings
     for k in range(rounds):
         if live.isEmpty():
             break
@@ -128,18 +176,33 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst", roun
         colour = spread(live.select(F.col("src").alias("node"), F.col("dst").alias("next")), colours)
         of = lambda end: colour.select(F.col("node").alias(end), F.col("value").alias(f"c{end}"))
         within = cut(live.join(of("src"), "src").join(of("dst"), "dst").where("csrc = cdst").select("src", "dst"))
-        back = reachable(within, colour.where("node = value.name"), "dst", "src").select("node").join(colour, "node").select("node", F.col("value.name").alias("name"))
+        back = reachable(within, colour.where("node = value.name"), "dst", "src").select("node").join(colour, "node").select("node", F.col("value.name").alias("label"))
         back = cut(back)
-        own = cut(back.join(back.groupBy("name").agg(F.min("node").alias("component")), "name").select("node", "component"))
-        found = own if found is None else found.unionByName(own)
-        gone = own.select("node")
-        live = trim(live.join(gone, live["src"] == gone["node"], "left_anti").join(gone, live["dst"] == gone["node"], "left_anti"))
+        gone = back.select("node")
+        live, rings, more = thinned(live.join(gone, live["src"] == gone["node"], "left_anti").join(gone, live["dst"] == gone["node"], "left_anti"))
+        labels, contracted = [*labels, back, *rings], contracted + more
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = direct.select(F.col("src").alias("node")).union(direct.select("dst")).distinct()
-    if found is None:
-        return nodes.select("node", F.col("node").alias("component"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    found = direct.select(F.col("src").alias("node"), F.col("src").alias("label")).limit(0)
+    for more in labels:
+        found = found.unionByName(more)
+    found = cut(found)
+    for inner, ways in reversed(contracted):  # ends without a label are components of their own
+        at = lambda end: found.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))  # noqa: E731, B023
+        ends = ways.join(at("head"), "head", "left").join(at("tail"), "tail", "left").select("last", F.coalesce("lhead", "head").alias("label"), F.coalesce("ltail", "tail").alias("other"))
+        ends = ends.where("label = other").select("last", "label")
+        joined = inner.join(ends, "last").select("node", "label")
+        found = cut(found.unionByName(joined).unionByName(_missing(ways, found)))
+    least = found.groupBy("label").agg(F.min("node").alias("component"))
+    own = found.join(least, "label").select("node", "component")
+    return nodes.join(own, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _missing(ways: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, label): nodes that a chain leads back to and that have no label so far."""
+    back = ways.where("head = tail").select(F.col("head").alias("node")).distinct()
+    return back.join(found, "node", "left_anti").select("node", F.col("node").alias("label"))
 
 
 def condensed(edges: DataFrame, components: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
