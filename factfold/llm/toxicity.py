@@ -2,7 +2,7 @@
 
 A lexicon of words and stems is learned from the labelled rows by smoothed log odds, in FOLDS folds: the rows of one fold get
 their features from the lexicon of the others, so that the trees don't trust words that only their own row made look toxic.
-Trees are fitted on four fifths of the sample and calibrated on the rest (both on all of it, if either side lacks toxic or clean rows); texts are scored with the lexicon of all folds.
+Trees are fitted on four fifths of all labelled rows and calibrated on the rest (both on all of it, if either side lacks toxic or clean rows); texts are scored with the lexicon of all folds.
 """
 
 from __future__ import annotations
@@ -18,27 +18,29 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factfold.llm.common import crc_bucket, cut, read
+from factfold.llm.common import crc_bucket, cut, join_ids, read
 from factfold.llm.features import TOXICITY, feature_rows, runs, toxicity
 
-#: Labelled rows that are fitted on, about: the bound of everything here. A lexicon has the words and stems that at least so many
-#: toxic rows hold and that are so much likelier there.
-TRAIN_ROWS, FOLDS, LEAST_ROWS, LEAST_ODDS = 12_000, 5, 3, 2.5
-#: Partitions of the fitted rows, which are numbers only.
-PARTS = 8
+#: All labelled rows teach: there is no bound. A lexicon has the words and stems that at least so many toxic rows hold and that are so much
+#: likelier there.
+TRAIN_ROWS, FOLDS, LEAST_ROWS, LEAST_ODDS = None, 5, 3, 2.5
+#: Least partitions of the fitted rows, which are numbers only, and rows of a partition.
+PARTS, PART_ROWS = 8, 100_000
 TREES, DEPTH, STEP = 12, 3, 0.4
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, taught, train_rows: int) -> DataFrame:
-    """(doc_id, y, text): about ``train_rows`` ids at most that may teach and have a label, chosen by hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, taught) -> DataFrame:
+    """(doc_id, y, text): all ids that may teach and have a label.
 
     One row per id: of repeated ids the smallest text, of several labels the greatest.
     """
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
-    y = cut(y.where(taught))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 20)) < int((1 << 20) * train_rows / max(y.count(), train_rows))
-    chosen = y.where(part)  # bounded by train_rows, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return join_ids(docs.select("doc_id", "text"), y.where(taught), "inner").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def parted(rows: DataFrame, n: int) -> DataFrame:
+    """rows, which are numbers only and n in number, in at least PARTS parts of about PART_ROWS rows."""
+    return rows.repartition(max(PARTS, -(-n // PART_ROWS)))
 
 
 def lexicons(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -56,11 +58,22 @@ def lexicons(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 
     schema = "h long, " + ", ".join(f"{c} long" for c in cells)
     toxic = sum((F.col(f"p{k}") for k in range(FOLDS)), F.lit(0))
-    seen = sample.select("text", "y", "fold").mapInArrow(run, schema).groupBy("h").agg(*(F.sum(c).alias(c) for c in cells)).where(toxic >= LEAST_ROWS).toArrow()
-    h, counts = seen.column("h").to_numpy().view(np.uint64), np.stack([seen.column(c).to_numpy() for c in cells]).reshape(2, FOLDS, -1)
     size = np.zeros((2, FOLDS))
     for r in sample.groupBy("y", "fold").count().collect():
         size[r.y, r.fold] = r["count"]
+
+    def likely(left_out: int):
+        """Whether the lexicon without a fold may take a word; a little wide, as the driver decides below."""
+        folds = [k for k in range(FOLDS) if k != left_out]
+        n, p = (sum((F.col(f"{a}{k}") for k in folds), F.lit(0)) for a in "np")
+        rows = size[:, folds].sum(axis=1)
+        return F.log((p + 0.5) / F.lit(float(rows[1] + 1))) - F.log((n + 0.5) / F.lit(float(rows[0] + 1))) >= LEAST_ODDS - 1e-6
+
+    some = likely(FOLDS)
+    for k in range(FOLDS):
+        some = some | likely(k)
+    seen = sample.select("text", "y", "fold").mapInArrow(run, schema).groupBy("h").agg(*(F.sum(c).alias(c) for c in cells)).where((toxic >= LEAST_ROWS) & some).toArrow()
+    h, counts = seen.column("h").to_numpy().view(np.uint64), np.stack([seen.column(c).to_numpy() for c in cells]).reshape(2, FOLDS, -1)
     out = []
     for left_out in range(FOLDS + 1):
         folds = [k for k in range(FOLDS) if k != left_out]
@@ -95,7 +108,7 @@ class Fitted:
         for other in crossed[1:]:
             every = every.unionByName(other)
         self.vectors = VectorAssembler(inputCols=TOXICITY, outputCol="features")
-        rows = cut(self.vectors.transform(every).select("doc_id", "features", F.col("y").cast("double").alias("label")).repartition(PARTS))
+        rows = cut(parted(self.vectors.transform(every).select("doc_id", "features", F.col("y").cast("double").alias("label")), sample.count()))
         part = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
         sides = rows.select("label", part.alias("part")).distinct().count()
         fitted, rest = (rows.where(~part), rows.where(part)) if sides == 4 else (rows, rows)
@@ -115,22 +128,25 @@ class Fitted:
         return self.steps.transform(self.probability(self.vectors.transform(self.features(docs, list(keep), FOLDS)))).select(*keep, "calibrated")
 
 
-def taught_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """The sample of ``sample_labelled`` outside the held-out fifth, with the fold of each row."""
-    sample = sample_labelled(docs, labels, "toxic", crc_bucket("doc_id", 5) != 0, train_rows)
-    return cut(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")))
+def taught_rows(docs: DataFrame, labels: DataFrame, train_rows: int | None = TRAIN_ROWS) -> DataFrame:
+    """All rows of ``labelled`` outside the held-out fifth, with the fold of each row, a folder per fold; ``train_rows`` is no longer
+    a bound and must be None."""
+    if train_rows is not None:
+        raise ValueError("all labelled rows teach")
+    rows = labelled(docs, labels, "toxic", crc_bucket("doc_id", 5) != 0)
+    return cut(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), by="fold")
 
 
-def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of docs.
 
     Only labelled rows outside the held-out fifth teach; an id with several labels counts as toxic if one says so. Null and
-    empty texts have zero features and get the score that these earn. If the sample has no label or one kind only, every
+    empty texts have zero features and get the score that these earn. If the rows that teach have no label or one kind only, every
     score is the share of toxic rows smoothed by one of each. Null ids are scored and teach nothing; repeated rows stay;
     other columns are ignored; an empty table gives an empty result.
     """
     held_out = crc_bucket("doc_id", 5) == 0
-    sample = taught_rows(docs, labels, train_rows)
+    sample = taught_rows(docs, labels)
     counts = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     if not 0 < counts.p < counts.n:
         flat = F.lit((counts.p + 1) / (counts.n + 2))
