@@ -13,22 +13,31 @@ from pyspark.sql import functions as F
 
 from factfold.operators.lineage import Growing, cut, drop
 
+#: Rows that a task gets, on average, of a table whose partitions are counted out.
+ROWS_OF_A_TASK = 500_000
+
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 40) -> DataFrame:
     """(src, dst, distance): all pairs joined by a path of one edge or more, and the length of a shortest one.
 
-    Path doubling: after k rounds all paths of up to 2**k edges are there. Cycles end by themselves.
+    Path doubling: with all pairs of distance up to n = 2**k known, those of distance n + 1 to 2 n are the pairs of distance n, each gone on by
+    a known pair. A shortest path is then made once for each node it has at n steps, and not once for each of its nodes; cycles end by
+    themselves. Partitions follow the counted rows, so that what a task holds does not grow with the pairs.
     """
-    known = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct().withColumn("distance", F.lit(1)))
-    size = known.agg(F.count("*"), F.sum("distance")).first()
-    for _ in range(rounds):
-        left, right = known.select("src", F.col("dst").alias("mid"), F.col("distance").alias("d1")), known.select(F.col("src").alias("mid"), "dst", F.col("distance").alias("d2"))
-        longer = left.join(right, "mid").select("src", "dst", (F.col("d1") + F.col("d2")).alias("distance"))
-        known = cut(known.unionByName(longer).groupBy("src", "dst").agg(F.min("distance").alias("distance")))
-        now = known.agg(F.count("*"), F.sum("distance")).first()
-        if now == size:
+    known = far = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct().withColumn("distance", F.lit(1)))
+    n = ends = known.count()
+    for k in range(rounds):
+        dealt = lambda rows, *by: rows.repartition(1 + (n + ends) // ROWS_OF_A_TASK, *by)  # noqa: E731, B023
+        left = dealt(far.select("src", F.col("dst").alias("mid"), F.col("distance").alias("d1")), "mid")
+        right = dealt(known.select(F.col("src").alias("mid"), "dst", F.col("distance").alias("d2")), "mid")
+        longer = left.join(right.hint("merge"), "mid").select("src", "dst", (F.col("d1") + F.col("d2")).alias("distance"))
+        least = dealt(longer, "src", "dst").groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+        new = cut(least.join(known.hint("merge"), ["src", "dst"], "left_anti"))
+        far = new.where(F.col("distance") == 2 << k)
+        known = known.unionByName(new)
+        n, ends = n + new.count(), far.count()
+        if not ends:
             return known
-        size = now
     raise RuntimeError(f"closure did not settle in {rounds} rounds")
 
 
