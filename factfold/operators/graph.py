@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factfold.operators.lineage import Growing, cut, drop
+from factfold.operators.lineage import Growing, cut, drop, sized
 
 #: Rows that a task gets, on average, of a table whose partitions are counted out.
 ROWS_OF_A_TASK = 500_000
@@ -47,12 +47,16 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "
     steps = cut(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct())
     frontier = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     seen = Growing(frontier)
+    n = total = frontier.count()
     for k in range(1, rounds):
-        frontier = cut(frontier.join(steps, "node").select(F.col("next").alias("node")).distinct().join(seen.rows(), "node", "left_anti").withColumn("depth", F.lit(k)))
-        if frontier.isEmpty():
+        found = sized(frontier, n).join(steps, "node").select(F.col("next").alias("node")).distinct()
+        frontier = cut(found.join(sized(seen.rows(), total), "node", "left_anti").withColumn("depth", F.lit(k)))
+        n = frontier.count()
+        if not n:
             drop(steps, frontier)
             return seen.rows()
         seen.add(frontier)
+        total += n
     raise RuntimeError(f"reachability did not settle in {rounds} rounds")
 
 
@@ -77,14 +81,17 @@ def levels(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 1
     steps = cut(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct())
     ways = cut(steps.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("ways")))
     nodes = steps.select("node").union(steps.select("next")).distinct()
-    wave = cut(nodes.join(ways, "node", "left_anti").withColumn("level", F.lit(0)))
+    wave = cut(nodes.join(sized(ways), "node", "left_anti").withColumn("level", F.lit(0)))
+    n = wave.count()
     done, arrived = Growing(wave), Growing(cut(steps.select("node", F.lit(0).cast("long").alias("came")).limit(0)))
     for k in range(1, rounds):
-        came = cut(wave.join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.count("*").alias("came")))
+        came = cut(sized(wave, n).join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.count("*").alias("came")))
         arrived.add(came)
-        so_far = arrived.rows().join(came.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("came").alias("came"))
-        wave = cut(so_far.join(ways, "node").where("came = ways").select("node", F.lit(k).alias("level")))
-        if wave.isEmpty():
+        n = came.count()
+        so_far = arrived.rows().join(sized(came.select("node"), n), "node", "left_semi").groupBy("node").agg(F.sum("came").alias("came"))
+        wave = cut(sized(so_far, n).join(ways, "node").where("came >= ways").select("node", F.lit(k).alias("level")))
+        n = wave.count()
+        if not n:
             break
         done.add(wave)
     if done.rows().count() < nodes.count():
@@ -286,7 +293,7 @@ def pairs_above(parents: DataFrame, starts: DataFrame, rounds: int = 10_000) ->
     steps = cut(parents.where("parent is not null").select(F.col("node").alias("ancestor"), "parent").distinct())
     at, out = cut(starts.select("node", F.col("node").alias("ancestor")).distinct()), None
     for k in range(1, rounds):
-        at = cut(at.join(steps, "ancestor").select("node", F.col("parent").alias("ancestor")))
+        at = cut(sized(at).join(steps, "ancestor").select("node", F.col("parent").alias("ancestor")))
         if at.isEmpty():
             return out if out is not None else at.withColumn("distance", F.lit(k))
         level = at.withColumn("distance", F.lit(k))
@@ -301,17 +308,17 @@ def dominators(edges: DataFrame, root, src: str = "src", dst: str = "dst", round
     dominate all predecessors go, until none goes.
     """
     reach = cut(reachable(edges, edges.sparkSession.createDataFrame([(root,)], ["node"]), src, dst))
-    steps = edges.select(F.col(src).alias("p"), F.col(dst).alias("node")).distinct().join(reach.select(F.col("node").alias("p"), F.col("depth").alias("__d")), "p").where(F.col("node") != F.lit(root))
+    steps = edges.select(F.col(src).alias("p"), F.col(dst).alias("node")).distinct().join(sized(reach.select(F.col("node").alias("p"), F.col("depth").alias("__d"))), "p").where(F.col("node") != F.lit(root))
     steps = cut(steps)
-    tree = steps.join(reach, "node").where("depth = __d + 1").groupBy("node").agg(F.min("p").alias("parent"))
+    tree = steps.join(sized(reach), "node").where("depth = __d + 1").groupBy("node").agg(F.min("p").alias("parent"))
     own = reach.select("node", F.col("node").alias("dominator"))
     doms = cut(pairs_above(tree, reach).select("node", F.col("ancestor").alias("dominator")).unionByName(own))
-    ways = cut(steps.groupBy("node").agg(F.count("*").alias("__ways")))
+    ways = sized(cut(steps.groupBy("node").agg(F.count("*").alias("__ways"))))
     size = doms.count()
     for _ in range(rounds):
-        held = steps.select("p", "node").join(doms.withColumnRenamed("node", "p"), "p").groupBy("node", "dominator").agg(F.count("*").alias("__held"))
+        held = steps.select("p", "node").join(sized(doms.withColumnRenamed("node", "p"), size), "p").groupBy("node", "dominator").agg(F.count("*").alias("__held"))
         stays = held.join(ways, "node").where("__held = __ways").select("node", "dominator")
-        doms = cut(doms.where("node <> dominator").join(stays, ["node", "dominator"], "left_semi").unionByName(own))
+        doms = cut(doms.where("node <> dominator").join(sized(stays, size), ["node", "dominator"], "left_semi").unionByName(own))
         now = doms.count()
         if now == size:
             return doms

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factfold.operators.graph import levels
-from factfold.operators.lineage import Growing, cut
+from factfold.operators.lineage import Growing, cut, sized
 
 _FIELD = "struct<position:bigint,size:bigint,align:bigint,bits:bigint>"
 _OUT = "array<struct<position:bigint,offset:bigint,size:bigint>>"
@@ -45,23 +45,27 @@ def composed_layout(records: DataFrame, fields: DataFrame) -> tuple[DataFrame, D
     """
     holds = fields.where("type is not null").select(F.col("type").alias("src"), F.col("record").alias("dst")).distinct()
     level = cut(levels(holds))
-    leveled = lambda df: df.join(level.withColumnRenamed("node", "record"), "record", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    placed = sized(level.withColumnRenamed("node", "record"))
+    leveled = lambda df: df.join(placed, "record", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     by_level = cut(leveled(fields.select("record", F.col("position").cast("long").alias("position"), "type", *(F.col(c).cast("long").alias(c) for c in ("size", "align", "bits")))), by="level")
     heads = cut(leveled(records.select("record", "is_union").distinct()), by="level")
     last = level.agg(F.max("level")).first()[0] or 0
-    sizes = laid = None
+    counts = {r.level: r["count"] for r in by_level.groupBy("level").count().collect()}  # one row per level
+    heads_of = {r.level: r["count"] for r in heads.groupBy("level").count().collect()}
+    sizes, laid, known = None, None, 0
     for k in range(last + 1):
         mine = by_level.where(F.col("level") == k)
         if sizes is not None:  # records of level 0 hold none
             inner = sizes.rows().select(F.col("record").alias("type"), F.col("size").alias("__size"), F.col("alignment").alias("__align"))
             of = lambda own, held: F.when(F.col("type").isNull(), F.col(own)).otherwise(F.col(held))
-            mine = mine.join(inner, "type", "left").withColumn("size", of("size", "__size")).withColumn("align", of("align", "__align"))
+            mine = mine.join(sized(inner, known), "type", "left").withColumn("size", of("size", "__size")).withColumn("align", of("align", "__align"))
         item = F.struct("position", "size", "align", "bits").cast(_FIELD)
         lists = mine.groupBy("record").agg(F.array_sort(F.collect_list(item)).alias("__fields"), F.bool_or(F.col("size").isNull() | F.col("align").isNull()).alias("__open"))
-        whole = heads.where(F.col("level") == k).join(lists, "record", "left").where("__open is null or not __open")
+        whole = heads.where(F.col("level") == k).join(sized(lists, counts.get(k, 0)), "record", "left").where("__open is null or not __open")
         done = _placed(F.coalesce("__fields", F.array().cast(f"array<{_FIELD}>")), F.coalesce("is_union", F.lit(False)))
         part = cut(whole.select("record", done.alias("r")).select("record", F.greatest(_up(F.col("r.end"), F.col("r.align")), F.lit(8)).alias("size"), F.col("r.align").alias("alignment"), F.col("r.out").alias("out")))
         own = part.select("record", "size", "alignment")
+        known += heads_of.get(k, 0)
         if sizes is None:
             sizes, laid = Growing(own), part
         else:

@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table that is joined in a loop is sent to all tasks.
+MOST_SENT = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +42,15 @@ def drop(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def sized(df: DataFrame, n: int | None = None) -> DataFrame:
+    """df as one side of a join: sent to all tasks if it has few rows, counted here or at most n, else merged.
+
+    Left to itself Spark goes by the size of a written file, in which rising numbers take a byte or two, so that each round of a loop sends
+    tables of a million rows through the driver.
+    """
+    return F.broadcast(df) if (df.count() if n is None else n) <= MOST_SENT else df.hint("merge")
+
+
 class Growing:
     """A table that a loop adds rows to: parts are written as they come, and many parts are made one now and then, so that what is
     written stays in proportion to the table."""
