@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factfold.operators.graph import dominators, reachable
-from factfold.operators.lineage import Growing, cut
+from factfold.operators.lineage import Growing, cut, sized
 
 
 def natural_loops(edges: DataFrame, root, src: str = "src", dst: str = "dst", rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
@@ -22,53 +22,65 @@ def natural_loops(edges: DataFrame, root, src: str = "src", dst: str = "dst", ro
     doms = cut(dominators(edges, root, src, dst))
     reached = doms.where("node = dominator").select("node")
     steps = edges.select(F.col(src).alias("before"), F.col(dst).alias("node")).distinct()
-    steps = cut(steps.join(reached.withColumnRenamed("node", "before"), "before", "left_semi"))
-    back = steps.join(doms, (steps["before"] == doms["node"]) & (steps["node"] == doms["dominator"])).select(doms["dominator"].alias("header"), doms["node"].alias("node"))
+    steps = cut(steps.join(sized(reached.withColumnRenamed("node", "before")), "before", "left_semi"))
+    back = steps.join(sized(doms), (steps["before"] == doms["node"]) & (steps["node"] == doms["dominator"])).select(doms["dominator"].alias("header"), doms["node"].alias("node"))
     heads = back.select("header", F.col("header").alias("node"))
     at = cut(back.unionByName(heads).distinct())
     seen = Growing(at)
+    n = total = at.count()
     for _ in range(rounds):
-        found = at.where("node <> header").join(steps, "node").select("header", F.col("before").alias("node")).distinct()
-        at = cut(found.join(seen.rows(), ["header", "node"], "left_anti"))
-        if at.isEmpty():
+        found = sized(at.where("node <> header"), n).join(steps, "node").select("header", F.col("before").alias("node")).distinct()
+        at = cut(found.join(sized(seen.rows(), total), ["header", "node"], "left_anti"))
+        n = at.count()
+        if not n:
             break
         seen.add(at)
+        total += n
     else:
         raise RuntimeError(f"loops did not settle in {rounds} rounds")
     members = cut(seen.rows())
-    size = members.groupBy("header").agg(F.count("*").alias("size"))
-    inside = members.join(size.select(F.col("header").alias("node")), "node").select(F.col("node").alias("header"), F.col("header").alias("outer"))
+    size = cut(members.groupBy("header").agg(F.count("*").alias("size")))
+    n = size.count()  # of loops, which all joins below have one row each of
+    inside = members.join(sized(size.select(F.col("header").alias("node")), n), "node").select(F.col("node").alias("header"), F.col("header").alias("outer"))
     depth = cut(inside.groupBy("header").agg(F.count("*").alias("depth")))
-    around = inside.where("header <> outer").join(depth.select(F.col("header").alias("outer"), F.col("depth").alias("outer_depth")), "outer")
+    around = inside.where("header <> outer").join(sized(depth.select(F.col("header").alias("outer"), F.col("depth").alias("outer_depth")), n), "outer")
     parent = around.groupBy("header").agg(F.max_by("outer", "outer_depth").alias("parent"))
-    return members, size.join(depth, "header").join(parent, "header", "left").select("header", "parent", "depth", "size")
+    return members, size.join(sized(depth, n), "header").join(sized(parent, n), "header", "left").select("header", "parent", "depth", "size")
 
 
-def lacking(edges: DataFrame, starts: DataFrame, gains: DataFrame, loses: DataFrame, rounds: int = 10_000) -> DataFrame:
+def _reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    return reachable(edges, starts.select(F.col("block").alias("node"))).select(F.col("node").alias("block"))
+
+
+def lacking(edges: DataFrame, starts: DataFrame, gains: DataFrame, loses: DataFrame, rounds: int = 10_000, reached: DataFrame | None = None) -> DataFrame:
     """(block, item): the items that some way from a start comes to the block without.
 
     starts (block, item) name the entries with the items asked for there, which nothing holds yet; gains and loses (block, item) are what
     holds or is gone when a block is left, whatever was before. An item holds at a block if it holds at the end of all blocks before
     it: the meet is an intersection. What doesn't hold is then a union, which grows by frontiers from the entries and the losing blocks; so
-    the greatest solution is reached, also around loops.
+    the greatest solution is reached, also around loops. reached (block) are the blocks reached from starts, if they are known already.
     """
     steps = cut(edges.select(F.col("src").alias("block"), F.col("dst").alias("after")).distinct())
-    reached = reachable(edges, starts.select(F.col("block").alias("node"))).select(F.col("node").alias("block"))
-    lost = loses.join(reached, "block", "left_semi").join(steps, "block").select(F.col("after").alias("block"), "item")
+    if reached is None:
+        reached = _reached(edges, starts)
+    lost = loses.join(sized(reached), "block", "left_semi").join(sized(steps), "block").select(F.col("after").alias("block"), "item")
     at = cut(starts.select("block", "item").unionByName(lost).distinct())
-    seen = Growing(at)
+    seen, gains = Growing(at), sized(cut(gains.select("block", "item")))
+    n = total = at.count()
     for _ in range(rounds):
-        found = at.join(gains, ["block", "item"], "left_anti").join(steps, "block").select(F.col("after").alias("block"), "item").distinct()
-        at = cut(found.join(seen.rows(), ["block", "item"], "left_anti"))
-        if at.isEmpty():
+        found = sized(at.join(gains, ["block", "item"], "left_anti"), n).join(steps, "block").select(F.col("after").alias("block"), "item").distinct()
+        at = cut(found.join(sized(seen.rows(), total), ["block", "item"], "left_anti"))
+        n = at.count()
+        if not n:
             return seen.rows()
         seen.add(at)
+        total += n
     raise RuntimeError(f"items did not settle in {rounds} rounds")
 
 
 def guarded(edges: DataFrame, starts: DataFrame, gains: DataFrame, loses: DataFrame, accesses: DataFrame) -> DataFrame:
     """accesses (block, item, ...) of reached blocks with is_guarded: whether the item is held there on all ways; accesses come before what
     their block gains or loses."""
-    open_ = lacking(edges, starts, gains, loses).withColumn("is_guarded", F.lit(False))
-    reached = reachable(edges, starts.select(F.col("block").alias("node"))).select(F.col("node").alias("block"))
-    return accesses.join(reached, "block", "left_semi").join(open_, ["block", "item"], "left").withColumn("is_guarded", F.coalesce("is_guarded", F.lit(True)))
+    reached = _reached(edges, starts)
+    open_ = lacking(edges, starts, gains, loses, reached=reached).withColumn("is_guarded", F.lit(False))
+    return accesses.join(sized(reached), "block", "left_semi").join(sized(open_), ["block", "item"], "left").withColumn("is_guarded", F.coalesce("is_guarded", F.lit(True)))
