@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factfold.functions.paths import normalise
+from factfold.functions.paths import normalise, once
 
 #: Arguments that a stored command line leaves out.
 DROP = [
@@ -77,8 +77,8 @@ def sanitise(argv: Column) -> Column:
 
 def _replaced(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
     """text with every match of the pattern replaced; what comes in is not looked at again."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.concat_ws("", F.transform(F.split(text, pattern, -1), lambda gap, i: F.concat(gap, F.coalesce(by(F.get(found, i)), F.lit("")))))
+    filled = lambda t, found: F.concat_ws("", F.transform(F.split(t, pattern, -1), lambda gap, i: F.concat(gap, F.coalesce(once(F.get(found, i), by), F.lit("")))))
+    return once(text, lambda t: once(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: filled(t, found)))
 
 
 def _looked_up(names: Mapping[str, str], name: Column) -> Column:
@@ -101,7 +101,7 @@ def expand_environment(text: Column, env: Mapping[str, str]) -> Column:
 
 
 def expand_home(path: Column, home: str) -> Column:
-    return F.when((path == "~") | path.startswith("~/"), F.concat(F.lit(home), F.substr(path, F.lit(2), F.length(path)))).otherwise(path)
+    return once(path, lambda p: F.when((p == "~") | p.startswith("~/"), F.concat(F.lit(home), F.substr(p, F.lit(2), F.length(p)))).otherwise(p))
 
 
 def resolve_path(value: Column, labels: Mapping[str, str], env: Mapping[str, str], home: str, base: str) -> Column:
@@ -110,30 +110,39 @@ def resolve_path(value: Column, labels: Mapping[str, str], env: Mapping[str, str
     return F.when(indirect, normalise(expand_home(expand_environment(expand_labels(value, labels), env), home), F.lit(base))).otherwise(value)
 
 
-def _values(argv: Column, flag_of: Callable[[Column], Column], separate: list[str], joined: Callable[[Column, Column], Column], change: Callable[[Column], Column]) -> Column:
-    """argv with the values of flags changed: the argument after a flag, which is taken whatever it is, or what is joined to it."""
-    start = F.struct(_empty().alias("out"), F.lit(False).alias("value"))
+def _values(argv: Column, flag_of: Callable[[Column], Column], separate: list[str], joint: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """argv with the values of flags changed: the argument after a flag, which is taken whatever it is, or what is joined to it; joint(flag)
+    is what stands between a flag and the value joined to it.
+
+    One pass tells values from what stays; change, which may be large, is applied in one place behind it.
+    """
+    item = "struct<head:string,value:string,changes:boolean>"
+    start = F.struct(F.array().cast(f"array<{item}>").alias("out"), F.lit(False).alias("value"))
+
+    def of(head: Column, value: Column, changes: bool) -> Column:
+        return F.struct(head.cast("string").alias("head"), value.cast("string").alias("value"), F.lit(changes).alias("changes")).cast(item)
 
     def step(s: Column, x: Column) -> Column:
-        changed = lambda f: F.when(f.isNull(), x).otherwise(joined(f, F.substr(x, F.length(f) + 1, F.length(x))))
-        new = F.when(s["value"], change(x)).when(x.isin(*separate), x).otherwise(F.transform(F.array(flag_of(x)), changed)[0])  # the flag is sought once
+        stays = of(x, F.lit(None), False)
+        joined = lambda f: F.when(f.isNull(), stays).otherwise(of(F.concat(f, joint(f)), F.substr(x, F.length(f) + F.length(joint(f)) + 1, F.length(x)), True))
+        new = F.when(s["value"], of(F.lit(""), x, True)).when(x.isin(*separate), stays).otherwise(once(flag_of(x), joined))  # the flag is sought once
         return F.struct(F.array_append(s["out"], new).alias("out"), (~s["value"] & x.isin(*separate)).alias("value"))
 
-    return F.aggregate(argv, start, step)["out"]
+    changed = lambda p: F.when(p["changes"], F.concat(p["head"], once(p["value"], change))).otherwise(p["head"])
+    return F.transform(F.aggregate(argv, start, step)["out"], changed)
 
 
 def resolve_includes(argv: Column, change: Callable[[Column], Column]) -> Column:
     """A stored command line with the values of its path flags changed, as with ``resolve_path``."""
     flag = lambda x: F.coalesce(*(F.when(x.startswith(f) & (F.length(x) > len(f)), F.lit(f)) for f in PATH_FLAGS))
-    return _values(argv, flag, PATH_FLAGS, lambda f, value: F.concat(f, change(value)), change)
+    return _values(argv, flag, PATH_FLAGS, lambda f: F.lit(""), change)
 
 
 def portable_includes(argv: Column, change: Callable[[Column], Column]) -> Column:
     """A command line to be stored with the values of its path flags changed. A flag of two dashes is joined by ``=``, others are not."""
     fits = lambda x, f: (F.substr(x, F.lit(len(f) + 1), F.lit(1)) == "=") if f.startswith("--") else (F.substr(x, F.lit(len(f) + 1), F.lit(1)) != "=")
     flag = lambda x: F.coalesce(*(F.when(x.startswith(f) & (F.length(x) > len(f)) & fits(x, f), F.lit(f)) for f in STORED_FLAGS))
-    joined = lambda f, value: F.concat(f, F.when(f.startswith("--"), "=").otherwise(""), change(F.regexp_replace(value, "^=", "")))
-    return _values(argv, flag, STORED_FLAGS, joined, change)
+    return _values(argv, flag, STORED_FLAGS, lambda f: F.when(f.startswith("--"), "=").otherwise(""), change)
 
 
 def include_roots(argv: Column, directory: Column | None = None) -> Column:

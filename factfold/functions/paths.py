@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 VERSION = r"^v?[0-9]+([._-][0-9]+)*$"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once, however often f names it: what stands in lambdas is not shared, so places multiply."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dirname(path: Column) -> Column:
     cut = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
     return F.when(cut != "", cut).when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
@@ -25,16 +32,20 @@ def extension(path: Column) -> Column:
 
 def normalise(path: Column, base: Column | None = None) -> Column:
     """Absolute if a base is given, without empty, ``.`` and ``..`` segments. Links need a file system and stay."""
-    whole = path if base is None else F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", base, path))
-    absolute = whole.startswith("/")
+    whole = path if base is None else once(path, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat_ws("/", base, p)))
+
+    def normal(whole: Column) -> Column:
+        absolute = whole.startswith("/")
+
+        def keep(stack: Column, s: Column) -> Column:
+            up = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+            bare = F.coalesce(F.get(stack, F.size(stack) - 1), F.lit("..")) == ".."  # nothing left to go up from
+            return F.when(s.isin("", "."), stack).when((s == "..") & ~bare, up).when((s == "..") & absolute, stack).otherwise(F.array_append(stack, s))
 
-    def keep(stack: Column, s: Column) -> Column:
-        up = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
-        bare = F.coalesce(F.get(stack, F.size(stack) - 1), F.lit("..")) == ".."  # nothing left to go up from
-        return F.when(s.isin("", "."), stack).when((s == "..") & ~bare, up).when((s == "..") & absolute, stack).otherwise(F.array_append(stack, s))
+        joined = F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), keep), "/")
+        return once(joined, lambda j: F.when(absolute, F.concat(F.lit("/"), j)).when(j == "", F.lit(".")).otherwise(j))
 
-    joined = F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), keep), "/")
-    return F.when(absolute, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
+    return once(whole, normal)
 
 
 def version_key(version: Column) -> Column:
@@ -58,7 +69,8 @@ def prefixes(path: Column) -> Column:
 
 def portable(path: Column, root: Column, name: Column) -> Column:
     """Below the root: ``<name>/rest``; elsewhere the path."""
-    return F.when(path == root, F.concat(F.lit("<"), name, F.lit(">"))).when(path.startswith(F.concat(root, F.lit("/"))), F.concat(F.lit("<"), name, F.lit(">"), F.substr(path, F.length(root) + 1, F.length(path)))).otherwise(path)
+    label = F.concat(F.lit("<"), name, F.lit(">"))
+    return once(path, lambda p: F.when(p == root, label).when(p.startswith(F.concat(root, F.lit("/"))), F.concat(label, F.substr(p, F.length(root) + 1, F.length(p)))).otherwise(p))
 
 
 def effective_root(path: Column, clone: Column, version: Column, has_repository: Column) -> Column:
