@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factfold.operators.lineage import Growing, cut, drop, sized
+from factfold.operators.scan import running_sum
 
 #: Rows that a task gets, on average, of a table whose partitions are counted out.
 ROWS_OF_A_TASK = 500_000
@@ -276,6 +277,38 @@ def depths(parents: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"depths did not settle in {rounds} rounds")
 
 
+def intervals(parents: DataFrame, others: DataFrame) -> DataFrame | None:
+    """(node, first, last): numbers of the nodes of a forest (node, parent) and of the single nodes others (node), such that the nodes
+    below a node are those whose first lies after its first and up to its last. None where a node has two parents or is above itself.
+
+    By pointer jumping over the nodes: after k rounds a node knows its ancestor 2**k steps up and how many nodes are less than 2**k steps
+    below it. A node's first is then the sum, over the way to it, of one and the sizes of the earlier siblings, by pointer jumping again.
+    """
+    up = cut(parents.where("node is not null and parent is not null").select("node", "parent").distinct())
+    every = up.select("node").unionByName(up.select(F.col("parent").alias("node"))).unionByName(others.select("node").where("node is not null")).distinct()
+    own = cut(every.join(up.hint("merge"), "node", "left"))
+    n = own.count()
+    if n != every.count():
+        return None
+    state, steps = own.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), 1
+    while not (seeking := state.where("up is not null")).isEmpty():
+        if steps > n:  # no way up is longer than all nodes
+            return None
+        above = seeking.select(F.col("node").alias("up"), F.col("up").alias("__up"))
+        moved = seeking.join(sized(above, n), "up", "left").select("node", F.col("__up").alias("up"), "size")
+        more = seeking.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("__more"))
+        both = state.where("up is null").unionByName(moved).join(sized(more, n), "node", "left")
+        state = cut(both.select("node", "up", (F.col("size") + F.coalesce("__more", F.lit(0))).alias("size")))
+        steps *= 2
+    siblings = running_sum(own.join(sized(state.select("node", "size"), n), "node"), "parent", ["node"], "size", "__before")
+    state = cut(siblings.select("node", F.col("parent").alias("up"), (F.col("__before") + 1).alias("first"), "size"))
+    while not (seeking := state.where("up is not null")).isEmpty():
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("first").alias("__first"))
+        moved = seeking.join(sized(above, n), "up").select("node", F.col("__up").alias("up"), (F.col("first") + F.col("__first")).alias("first"), "size")
+        state = cut(state.where("up is null").unionByName(moved))
+    return state.select("node", "first", (F.col("first") + F.col("size") - 1).alias("last"))
+
+
 def chain_ends(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, last, hops) of links (node, next), one per node: where following them ends, by pointer jumping. Cycles raise."""
     state = cut(links.where("next is not null").select("node", F.col("next").alias("last"), F.lit(1).cast("long").alias("hops")))

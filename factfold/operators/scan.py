@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from factfold.operators.lineage import cut
 
 
-def _scan(rows: DataFrame, group: str, order: list[str], of: Column, name: str, add, join) -> DataFrame:
+def _scan(rows: DataFrame, group: str, order: list[str], of: Column, name: str, add, join, ranges: int | None = None) -> DataFrame:
     """rows with ``name``: ``add`` over ``of`` of the rows before in the group (null for the first); ``join`` puts two such together."""
-    ranged = cut(rows.repartitionByRange(F.col(group), *order).withColumn("__range", F.spark_partition_id()))
+    ranged = cut(rows.repartitionByRange(*([ranges] if ranges else []), F.col(group), *order).withColumn("__range", F.spark_partition_id()))
     before = Window.partitionBy("__range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = ranged.withColumn("__within", add(of).over(before))
     sums = ranged.groupBy(F.col(group).alias("__group"), F.col("__range").alias("__at")).agg(add(of).alias("__sum"))
@@ -25,9 +25,9 @@ def _scan(rows: DataFrame, group: str, order: list[str], of: Column, name: str,
     return joined.select(*rows.columns, join(F.col("__carry"), F.col("__within")).alias(name))
 
 
-def running_max(rows: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+def running_max(rows: DataFrame, group: str, order: list[str], value: str, name: str, ranges: int | None = None) -> DataFrame:
     """rows with the greatest ``value`` of the rows before in their group; null for the first and where all before are null."""
-    return _scan(rows, group, order, F.col(value), name, F.max, lambda a, b: F.greatest(a, b))
+    return _scan(rows, group, order, F.col(value), name, F.max, lambda a, b: F.greatest(a, b), ranges)
 
 
 def running_sum(rows: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
