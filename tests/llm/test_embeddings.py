@@ -152,3 +152,56 @@ def test_doubles_stay_doubles_and_lengths_stay_apart(spark):
     flat = plain([r for r in rows if len(r[1]) == 2], float)
     assert {i: got[i] for i in flat} == flat and flat[0][0] in (3, 4)
     assert got[5] == got[6] == (1, 5) and got[8] == (0, 8)
+
+
+def test_many_shards_miss_no_more_links_than_few(spark, monkeypatch):
+    """Pairs near the threshold whose nearest shards differ are found by the first search, however many shards there are."""
+    rng, calls, linked = np.random.default_rng(12), [], embeddings._linked
+    monkeypatch.setattr(embeddings, "_linked", lambda *a: calls.append(a) or linked(*a))
+    monkeypatch.setattr(embeddings, "SAMPLE", 500)  # few of the vectors shape the centroids, as in a large table
+    x = embeddings._unit(rng.normal(size=(3_000, 64)))
+    aside = rng.normal(size=(500, 64))
+    aside = embeddings._unit(aside - (aside * x[:500]).sum(axis=1, keepdims=True) * x[:500])
+    cosine = rng.uniform(0.902, 0.94, (500, 1))
+    x = np.concatenate([x, cosine * x[:500] + np.sqrt(1 - cosine * cosine) * aside])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=20).collect()}
+    want = plain(rows)
+    assert len(calls) == 1 and all(got[i][0] <= n for i, (n, _) in want.items())
+    assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values())
+
+
+def test_classes_near_to_too_many_shards_are_counted_once(spark, monkeypatch):
+    """A pair is counted once whether both, one or none of its classes are members of all shards that they are near to."""
+    monkeypatch.setattr(embeddings, "PLACES", 3)
+    rng = np.random.default_rng(13)
+    x = np.concatenate([np.repeat(rng.normal(size=(300, 12)), 2, 0) + 0.1 * rng.normal(size=(600, 12)), rng.normal(size=12) + 0.1 * rng.normal(size=(200, 12))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    placed = embeddings.place(spark.createDataFrame([(i, v, 1) for i, v in rows], "rep long, e array<float>, n long"), embeddings.centroids(embeddings._unit(x), 20), 0.3)
+    assert 0 < placed.where("size(places) > 3").count() < 800
+    got, want = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=40).collect(), plain(rows)
+    assert all(r.n_links <= want[r.vec_id][0] for r in got)
+    assert sum(r.n_links for r in got) >= 0.98 * sum(n for n, _ in want.values())
+
+
+def test_a_vertex_near_to_many_and_a_crowd_are_reached_from_each_vertex():
+    rng = np.random.default_rng(14)
+    centre = rng.normal(size=64)
+    x = embeddings._unit(np.concatenate([centre[None], centre + 0.1 * rng.normal(size=(400, 64)), rng.normal(size=(600, 64))]))
+    low, (first, flat) = x.astype(np.float32), embeddings.build(x)
+    block = np.arange(256)
+    q, v = embeddings.greedy_search(low, first, flat, block, block, low[block], 0.9, embeddings.BEAM)
+    assert (np.bincount(q) >= 401).all() and np.isin(np.arange(256) * 1001, q * 1001 + v).all()
+
+
+def test_links_count_in_the_first_shared_shard_only():
+    import pyarrow as pa
+
+    table = pa.table({
+        "rep": pa.array([1, 2, 3, 4], pa.int64()), "e": pa.array([[1.0, 0.0], [1.0, 0.01], [1.0, 0.02], [1.0, 0.03]], pa.list_(pa.float32())), "n": pa.array([1, 1, 1, 1], pa.int64()),
+        "before": pa.array([[0], [0, 1], [], None], pa.list_(pa.int32())), "member": [True, True, True, False], "home": [True, False, True, False], "asks": [True] * 4,
+    })
+    for beam in (2, None):
+        got = {r["rep"]: (r["links"], r["root"]) for r in embeddings.search(table, 0.9, beam).to_pylist()}
+        # 1 and 2 meet in shard 0; 4 is no member and counts those that are at home here
+        assert got == {1: (1, 1), 2: (1, 1), 3: (2, 1), 4: (2, 1)}
