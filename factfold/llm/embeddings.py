@@ -34,8 +34,8 @@ THRESHOLD, SHARD_ROWS, SAMPLE, MAX_CENTROIDS = 0.9, 1_000, 16_384, 2_048
 #: Splitting of large shards: from how many times SHARD_ROWS on (nearest ones, members), into how many at most, rows of its sample, rows dealt at a time, levels.
 SPLIT, CROWDED, FANOUT, SHARD_SAMPLE, DEALT, LEVELS = 4, 24, 32, 2_048, 20_000, 16
 DEGREE, NEAREST, SURE, ALPHA, BEAM, SLACK, MARGIN = 24, 32, 4, 1.2, 2, 0.1, 1.0
-#: The beam of a search that doesn't start at its own vertex, in beams; shards that a class is a member of at most.
-FAR, PLACES = 12, 64
+#: The beam of a search that doesn't start at its own vertex, in beams; shards that a class is a member of at most; links that are followed one by one.
+FAR, PLACES, WAVE = 12, 64, 1 << 20
 AUDIT_ROWS, PLANTED, RECALL, ROUNDS, BLOCK = 4_096, 512, 0.98, 4, 256
 ROUTED = "shard string, rep long, e {}, n long, before array<int>, member boolean, home boolean"
 
@@ -97,13 +97,38 @@ def robust_prune(x: np.ndarray, near: np.ndarray, degree: int = DEGREE, alpha: f
     return out
 
 
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """The different ones in order; sorting whole numbers is faster than hashing them."""
+    numbers = np.sort(numbers)
+    return numbers[np.diff(numbers, prepend=numbers[:1] - 1) > 0]
+
+
+def nearest(scores: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k highest scores of each row, in any order.
+
+    In long rows only what exceeds a bound is compared, which about twice as many do; one column in eight tells it. Where fewer than k do, all are.
+    """
+    if scores.shape[1] < 64 * k:
+        return np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    row, column = np.divmod(np.flatnonzero(scores > -np.partition(-scores[:, ::8], k // 4, axis=1)[:, k // 4, None]), scores.shape[1])
+    count = np.bincount(row, minlength=len(scores))
+    few = count < k
+    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    value, names = np.full((len(scores), max(k, count.max())), np.inf, scores.dtype), np.zeros((len(scores), max(k, count.max())), np.int64)
+    value[row, at], names[row, at] = -scores[row, column], column
+    out = np.take_along_axis(names, np.argpartition(value, k - 1, axis=1)[:, :k], 1)
+    if few.any():
+        out[few] = np.argpartition(-scores[few], k - 1, axis=1)[:, :k]
+    return out
+
+
 def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, flat) adjacency lists of one shard: pruned nearest members, links back, and a few links chosen at random. The list of
     v is flat[first[v]:first[v + 1]]."""
     m, lists = len(x), []
     low, k = x.astype(np.float32), min(NEAREST + 1, m)
     for i in range(0, m, BLOCK):
-        lists += robust_prune(low, np.argpartition(-(low[i : i + BLOCK] @ low.T), k - 1, axis=1)[:, :k], first=i)
+        lists += robust_prune(low, nearest(low[i : i + BLOCK] @ low.T, k), first=i)
     degree = np.array([len(a) for a in lists])
     v, u = np.repeat(np.arange(m), degree), np.concatenate(lists).astype(np.int64)
     place = np.arange(len(v)) - np.repeat(np.cumsum(degree) - degree, degree)
@@ -111,17 +136,31 @@ def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.arange(len(v)) - np.searchsorted(u[order], u[order])
     back = order[(rank < DEGREE) | (place[order] < SURE)]  # the nearest links lead back even to a vertex that many are near to
     far = np.random.default_rng(42).integers(0, m, (m, 3))
-    links = np.unique(np.concatenate([v * m + u, u[back] * m + v[back], (np.arange(m)[:, None] * m + far).ravel()]))
+    links = _distinct(np.concatenate([v * m + u, u[back] * m + v[back], (np.arange(m)[:, None] * m + far).ravel()]))
     src, dst = np.divmod(links, m)
     src, dst = src[src != dst], dst[src != dst]
     return np.searchsorted(src, np.arange(m + 1)), dst
 
 
+def _followed(first: np.ndarray, flat: np.ndarray, q: np.ndarray, v: np.ndarray, queries: int) -> np.ndarray:
+    """(query, vertex) as a table: whether the vertex is on the list of one that the query expands. The queries of a vertex are bits
+    of words, so that a crowd's lists are followed once for all queries."""
+    m = len(first) - 1
+    expanded = np.zeros((m, -(-queries // 64) * 64), bool)
+    expanded[v, q] = True
+    order = np.argsort(flat, kind="stable")
+    starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    words = np.packbits(expanded, axis=1).view(np.uint64)[np.repeat(np.arange(m), np.diff(first))[order]]
+    out = np.zeros(expanded.shape, bool)
+    out[flat[order][starts]] = np.unpackbits(np.bitwise_or.reduceat(words, starts, axis=0).view(np.uint8), axis=1)
+    return np.ascontiguousarray(out.T[:queries])
+
+
 def greedy_search(x: np.ndarray, first: np.ndarray, flat: np.ndarray, q: np.ndarray, v: np.ndarray, queries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, vertex) pairs of cosine near or over the threshold, by range-expanding greedy search for a block of queries from the
     vertices v of the queries q. x and queries are of single precision."""
     m, used, step, found = len(x), 0, min(4, beam), []
-    seen, fresh = np.zeros(len(queries) * m, bool), np.zeros(len(queries) * m, bool)
+    seen = np.zeros(len(queries) * m, bool)
     pool, worth = np.zeros(0, np.int64), np.zeros(0, np.float32)  # the best of what was seen and not expanded yet
     while True:
         pairs = q * m + v
@@ -146,12 +185,12 @@ def greedy_search(x: np.ndarray, first: np.ndarray, flat: np.ndarray, q: np.ndar
         if not len(q):
             return np.divmod(np.concatenate(found), m)
         count = first[v + 1] - first[v]
-        to = flat[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first[v], count)]
-        pairs = np.repeat(q, count) * m + to
-        pairs = pairs[~seen[pairs]]
-        fresh[pairs] = True
-        pairs = np.flatnonzero(fresh) if len(pairs) * 64 > len(fresh) else np.unique(pairs)
-        fresh[pairs] = False
+        if count.sum() > WAVE:
+            pairs = np.flatnonzero(_followed(first, flat, q, v, len(queries)).ravel() & ~seen)
+        else:
+            to = flat[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first[v], count)]
+            pairs = np.repeat(q * m, count) + to
+            pairs = _distinct(pairs[~seen[pairs]])
         q, v = np.divmod(pairs, m)
 
 

@@ -205,3 +205,21 @@ def test_links_count_in_the_first_shared_shard_only():
         got = {r["rep"]: (r["links"], r["root"]) for r in embeddings.search(table, 0.9, beam).to_pylist()}
         # 1 and 2 meet in shard 0; 4 is no member and counts those that are at home here
         assert got == {1: (1, 1), 2: (1, 1), 3: (2, 1), 4: (2, 1)}
+
+
+def test_nearest_are_the_highest_scores():
+    rng = np.random.default_rng(15)
+    for scores in (rng.normal(size=(40, 2_000)), np.repeat(rng.normal(size=(40, 1)), 2_000, 1), rng.normal(size=(40, 50))):
+        got = np.take_along_axis(scores, embeddings.nearest(scores, 20), 1)
+        assert (np.sort(got) == np.sort(scores)[:, -20:]).all()
+        assert all(len(set(r)) == 20 for r in embeddings.nearest(scores, 20).tolist())
+
+
+def test_lists_followed_for_all_queries_at_once_lead_to_the_same(monkeypatch):
+    rng = np.random.default_rng(16)
+    x = embeddings._unit(np.concatenate([rng.normal(size=32) + 0.1 * rng.normal(size=(150, 32)), rng.normal(size=(250, 32))]))
+    low, (first, flat), block = x.astype(np.float32), embeddings.build(x), np.arange(100, 200)
+    search = lambda: {*zip(*map(np.ndarray.tolist, embeddings.greedy_search(low, first, flat, np.arange(100), block, low[block], 0.9, 8)), strict=True)}
+    one_by_one = search()
+    monkeypatch.setattr(embeddings, "WAVE", 0)
+    assert search() == one_by_one and len(one_by_one) >= 50 * 150 + 50
